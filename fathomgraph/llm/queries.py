@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fathomgraph.llm.leaks import leaks
+from fathomgraph.llm.pii import personal_data, redacted
 from fathomgraph.llm.quantiles import METRICS, PERMILLES, population_percentiles, population_percentiles_of_days
+from fathomgraph.llm.tokenizer import token_ids
 from fathomgraph.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": lambda s, d: population_percentiles(table(s, d, "population")),
     "p2_percentiles_of_days": lambda s, d: population_percentiles_of_days(table(s, d, "population")),
+    "p6_ids": lambda s, d: token_ids(table(s, d, "documents")),
+    "p7_found": lambda s, d: leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
+    "p7_answers": lambda s, d: leaks(table(s, d, "documents"), table(s, d, "eval_items")),
+    "p8_found": lambda s, d: personal_data(table(s, d, "documents"), table(s, d, "contributors")),
+    "p8_redacted": lambda s, d: redacted(table(s, d, "documents"), table(s, d, "contributors")),
 }
 
 _RANKED = f"""
