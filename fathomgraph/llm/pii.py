@@ -89,7 +89,10 @@ DE_TYPES = ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "rin
 ES_TYPES = ("calle", "avenida", "avda.", "plaza", "paseo", "camino", "ronda")
 DE_NUMBER = re.compile(rf"{SPACE}+\d{{1,4}}(?:{SPACE}?[A-Za-z])?(?![\w-])(?!\.\d)")
 DE_LEAD = re.compile(rf"(?:(?<![\w-]){_CAP}{SPACE}+){{0,2}}(?<![\w-])[^\W\d_]*(?:-[^\W\d_]*)*\Z")
-ADDRESS_FR = re.compile(rf"(?<![\w.:/-])\d{{1,4}}{SPACE}?(?:bis|ter|[a-z])?,?{SPACE}+(?:rue|avenue|av\.|boulevard|bd|place|quai|impasse|allée|chemin|cours|route){SPACE}+(?:(?:de|du|des|la|le|les|d['’]|l['’]|de{SPACE}+la){SPACE}*){{0,3}}{_WORD}(?:{SPACE}+{_WORD})*", re.I)
+ADDRESS_FR = re.compile(
+    rf"(?<![\w.:/-])\d{{1,4}}(?i:{SPACE}?(?:bis|ter|[a-z])?,?{SPACE}+(?:rue|avenue|av\.|boulevard|bd|place|quai|impasse|allée|chemin|cours|route){SPACE}+"
+    rf"(?:(?:de|du|des|la|le|les|d['’]|l['’]){SPACE}*){{0,3}}){_WORD}(?:{SPACE}+{_CAP})*"
+)
 ADDRESS_ES = re.compile(rf"(?<![\w-])(?:calle|avenida|avda\.|plaza|paseo|camino|ronda){SPACE}+(?:(?:de|del|la|las|los|el){SPACE}+){{0,3}}{_WORD}(?:{SPACE}+{_WORD}){{0,3}},?{SPACE}+\d{{1,4}}{SPACE}?[a-z]?(?![\w-])(?!\.\d)", re.I)
 
 SIGNED = re.compile(rf"(?m)^{SPACE}*(?:[A-Z][\w-]*-by|Author|Committer|Cc|From):{SPACE}+(?:(?:Dr|Prof|Mr|Mrs|Ms)\.?{SPACE}+)?({_CAP}(?:,?{SPACE}+(?:[^\W\d_]\.|{_CAP})){{1,3}}){SPACE}+<")
