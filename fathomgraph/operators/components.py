@@ -6,6 +6,8 @@ executor costs a round's tasks, not the run. Rounds end when nothing changes, an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +40,53 @@ def _least_label(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
+def _followed(steps: DataFrame) -> DataFrame:
+    """(node, end, low, ring): where each node of steps(node, ptr) ends outside of steps, and the least node on the way.
+
+    Steps double, so rounds are the logarithm of the longest chain. Chains that bite their own tail are rings: they have no end, and low is
+    the ring's least node.
+    """
+    state = kept(steps.select("node", "ptr", F.col("node").alias("low"), F.lit(True).alias("open")))
+    n = state.count()
+    for _ in range(math.ceil(math.log2(n + 1)) + 1 if n else 0):
+        via = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("low").alias("low2"))
+        met = state.join(via, "ptr", "left")
+        state = kept(met.select("node", F.coalesce("next", "ptr").alias("ptr"), F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("next").isNotNull().alias("open")))
+        if state.filter("open").isEmpty():
+            break
+    return state.select("node", F.col("ptr").alias("end"), "low", F.col("open").alias("ring"))
+
+
 def strong_components(links: DataFrame) -> DataFrame:
     """(node, component, size) of the strongly connected parts of links(src, dst) with more than one node; component is the part's least node.
 
-    Colours every node with the least node that reaches it; a colour's root and the nodes that reach the root
-    backwards within the colour form one part. Parts found are taken out and the rest starts over, after shedding what no cycle can use.
-    Self-links are ignored. Each pass finds a part for every colour, so passes are few.
+    Links that no cycle can use are shed. Nodes with one way in and one way on are drawn into a link between the ends of their chain, which
+    leaves a small graph even where cycles are long. Its nodes are coloured with the least node that reaches them; a colour's
+    root and the nodes that reach it backwards within the colour form a part. Parts found are taken out and the rest starts over.
+    Self-links are ignored.
     """
-    left = kept(links.filter("src is not null and dst is not null and src != dst").select("src", "dst").distinct())
-    found = None
+    core = trimmed(kept(links.filter("src is not null and dst is not null and src != dst").select("src", "dst").distinct()))
+    ins = core.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("prev"))
+    outs = core.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("next"))
+    inner = kept(ins.join(outs, "node").filter("n_in = 1 and n_out = 1").select("node", "prev", "next"))
+    on = _followed(inner.select("node", F.col("next").alias("ptr")))
+    back = _followed(inner.select("node", F.col("prev").alias("ptr")))
+    rings = on.filter("ring").select("node", F.col("low").alias("part"))
+    chains = kept(on.filter("not ring").select("node", F.col("end").alias("tail")).join(back.select("node", F.col("end").alias("head")), "node"))
+    direct = core.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(inner.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    small = direct.unionByName(chains.select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct()
+    parts = kept(_parts(small.filter("src != dst")))
+    a, b = parts.select(F.col("node").alias("head"), F.col("part").alias("a")), parts.select(F.col("node").alias("tail"), F.col("part").alias("b"))
+    drawn = kept(chains.join(a, "head", "left").join(b, "tail", "left").filter("head = tail or a = b").select("node", "head", F.coalesce("a", "head").alias("part")))
+    own = drawn.select(F.col("head").alias("node"), "part")
+    every = parts.unionByName(drawn.select("node", "part")).unionByName(own).unionByName(rings).distinct()
+    named = every.groupBy("part").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return kept(every.join(named, "part").select("node", "component", "size"))
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """(node, part) of the nodes of links(src, dst) that the passes reach; a part of one node may be among them."""
+    left, found = kept(links), None
     while True:
         left = trimmed(left)
         if left.isEmpty():
@@ -55,23 +95,15 @@ def strong_components(links: DataFrame) -> DataFrame:
         colour = _least_label(nodes, left)
         a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("src_colour")), colour.select(F.col("node").alias("dst"), F.col("label").alias("dst_colour"))
         inside = kept(left.join(a, "src").join(b, "dst").filter("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
-        # backwards from the roots
-        frontier = kept(colour.filter("node = label").select("node", F.col("label").alias("component")))
+        frontier = kept(colour.filter("node = label").select("node", F.col("label").alias("part")))  # backwards from the roots
         part = frontier
-        while True:
-            back = frontier.join(inside.select(F.col("dst").alias("node"), F.col("src").alias("next"), "colour"), "node").filter("colour = component")
-            frontier = kept(back.select(F.col("next").alias("node"), "component").distinct().join(part.select("node"), "node", "left_anti"))
-            if frontier.isEmpty():
-                break
+        while not frontier.isEmpty():
+            back = frontier.join(inside.select(F.col("dst").alias("node"), F.col("src").alias("next"), "colour"), "node").filter("colour = part")
+            frontier = kept(back.select(F.col("next").alias("node"), "part").distinct().join(part.select("node"), "node", "left_anti"))
             part = kept(part.unionByName(frontier))
         found = part if found is None else kept(found.unionByName(part))
-        gone = part.select("node")
-        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        left = kept(left)
-    if found is None:
-        return links.sparkSession.createDataFrame([], "node string, component string, size bigint")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return found.join(sizes, "component").select("node", "component", "size")
+        left = kept(left.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    return links.select(F.col("src").alias("node"), F.col("dst").alias("part")).limit(0) if found is None else found
 
 
 def longest_depth(links: DataFrame, cyclic: DataFrame) -> DataFrame:

@@ -234,7 +234,10 @@ query(
 JOIN depths a ON a.node = from_id JOIN depths b ON b.node = to_id JOIN fans ON fans.id = to_id
 WHERE b.depth - a.depth >= 2 AND from_id NOT IN (SELECT node FROM scc) AND to_id NOT IN (SELECT node FROM scc) AND fan_in <= (SELECT (list_sort(list(fan_in)))[least(count(*) * 95 // 100, count(*) - 1) + 1] FROM fans WHERE fan_in > 0)"""),
 )(lambda g: _layers(g))
-query("blast_radius", _with("preach gn calls", _HOT.replace("LIMIT 5", "LIMIT 20"), "SELECT hot.id, count(DISTINCT src) FILTER (src <> hot.id) AS blast FROM hot LEFT JOIN preach ON dst = hot.id GROUP BY 1"))(lambda g: C.blast_radius(g.links(), g.hot(20).select(F.col("seed").alias("id"))))
+query(
+    "blast_radius",
+    _with("plinks gn calls", _HOT.replace("LIMIT 5", "LIMIT 20") + ",\nbr AS (SELECT id AS seed, id AS node FROM hot UNION SELECT br.seed, src FROM br JOIN plinks ON dst = br.node)", "SELECT seed AS id, count(*) - 1 AS blast FROM br GROUP BY 1"),
+)(lambda g: C.blast_radius(g.links(), g.hot(20).select(F.col("seed").alias("id"))))
 query("cohesion")(lambda g: C.cohesion(g.edges, g.functions, g.modules))
 query("test_only_files")(lambda g: _test_only(g))
 

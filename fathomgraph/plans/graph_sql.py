@@ -86,7 +86,14 @@ FROM (SELECT *, try_cast(properties AS JSON) AS p, try_cast(location AS JSON) AS
     "medges": (("struct", "mods"), "SELECT e.*, a.module AS from_module, b.module AS to_module FROM struct e LEFT JOIN mods a ON e.from_id = a.id LEFT JOIN mods b ON e.to_id = b.id"),
     "clinks": (("prod",), f"SELECT DISTINCT from_id AS src, to_id AS dst FROM prod WHERE from_id <> to_id AND kind IN ({', '.join(repr(k) for k in CALL_LIKE)})"),
     "plinks": (("prod",), "SELECT DISTINCT from_id AS src, to_id AS dst FROM prod WHERE from_id <> to_id"),
-    "preach": (("plinks",), "SELECT src, dst FROM plinks UNION SELECT r.src, l.dst FROM preach r JOIN plinks l ON r.dst = l.src"),
+    "core0": (("plinks",), "SELECT * FROM plinks"),
+    "core1": (("core0",), "SELECT * FROM core0 WHERE src IN (SELECT dst FROM core0) AND dst IN (SELECT src FROM core0)"),
+    "core2": (("core1",), "SELECT * FROM core1 WHERE src IN (SELECT dst FROM core1) AND dst IN (SELECT src FROM core1)"),
+    "core3": (("core2",), "SELECT * FROM core2 WHERE src IN (SELECT dst FROM core2) AND dst IN (SELECT src FROM core2)"),
+    "core4": (("core3",), "SELECT * FROM core3 WHERE src IN (SELECT dst FROM core3) AND dst IN (SELECT src FROM core3)"),
+    "core5": (("core4",), "SELECT * FROM core4 WHERE src IN (SELECT dst FROM core4) AND dst IN (SELECT src FROM core4)"),
+    "core6": (("core5",), "SELECT * FROM core5 WHERE src IN (SELECT dst FROM core5) AND dst IN (SELECT src FROM core5)"),
+    "preach": (("core6",), "SELECT src, dst FROM core6 UNION SELECT r.src, l.dst FROM preach r JOIN core6 l ON r.dst = l.src"),
     "scc": (
         ("preach",),
         "SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM preach a JOIN preach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY 1",

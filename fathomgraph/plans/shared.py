@@ -6,7 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 def ensure_folder(spark: SparkSession) -> None:
     """Uses the folder of spark.checkpoint.dir; only where none is named (tests), a temporary one."""
     sc = spark.sparkContext
@@ -18,6 +17,13 @@ def ensure_folder(spark: SparkSession) -> None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder: computed once, without lineage, safe from lost executors."""
-    ensure_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of df, written to the shared folder: computed once, without lineage, safe from lost executors.
+
+    A checkpoint hands the statistics and constraints of its plan on to the next plan. In a loop of joins they
+    multiply each round, until planning takes longer than running; so the rows are taken up as a plain table.
+    """
+    spark = df.sparkSession
+    ensure_folder(spark)
+    written = df.checkpoint(eager=True)
+    execution = written._jdf.queryExecution()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(execution.toRdd(), written._jdf.schema(), False), spark)
