@@ -42,7 +42,7 @@ def prune(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFra
     gone = nodes.join(files, "file", "left_semi").select("id")
     left = nodes.join(files, "file", "left_anti")
     kept = edges.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-    return left, kept
+    return left, kept.select(*edges.columns)
 
 
 TOPOLOGY = ("Call", "Import", "Uses", "Type", "Extends", "Implements")
