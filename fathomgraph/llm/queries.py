@@ -12,14 +12,21 @@ from fathomgraph.llm.quantiles import METRICS, PERMILLES, population_percentiles
 from fathomgraph.llm.tokenizer import token_ids
 from fathomgraph.sources.tables import table
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of texts; a table of fewer splits than there are cores is spread over them, as each text costs far more than its transport."""
+    texts = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return texts if texts.rdd.getNumPartitions() >= cores else texts.select("doc_id", "text").repartition(cores)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": lambda s, d: population_percentiles(table(s, d, "population")),
     "p2_percentiles_of_days": lambda s, d: population_percentiles_of_days(table(s, d, "population")),
-    "p6_ids": lambda s, d: token_ids(table(s, d, "documents")),
-    "p7_found": lambda s, d: leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
-    "p7_answers": lambda s, d: leaks(table(s, d, "documents"), table(s, d, "eval_items")),
-    "p8_found": lambda s, d: personal_data(table(s, d, "documents"), table(s, d, "contributors")),
-    "p8_redacted": lambda s, d: redacted(table(s, d, "documents"), table(s, d, "contributors")),
+    "p6_ids": lambda s, d: token_ids(_documents(s, d)),
+    "p7_found": lambda s, d: leaks(_documents(s, d), table(s, d, "eval_items")).select("doc_id", "item_id"),
+    "p7_answers": lambda s, d: leaks(_documents(s, d), table(s, d, "eval_items")),
+    "p8_found": lambda s, d: personal_data(_documents(s, d), table(s, d, "contributors")),
+    "p8_redacted": lambda s, d: redacted(_documents(s, d), table(s, d, "contributors")),
 }
 
 _RANKED = f"""
