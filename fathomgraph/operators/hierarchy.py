@@ -1,8 +1,8 @@
 """Parent-child links to full hierarchies: level-wise frontier joins from the roots.
 
 The links are partitioned once by parent; each level joins the frontier, partitioned alike, and the nodes
-it finds are the next frontier, with path and depth extended. All levels are one plan in which the links'
-exchange is reused. A parent with very many children has its links split over slots, to which its one
+it finds are the next frontier, with path and depth extended. LEVELS_A_PLAN levels are one plan, in which the
+links' exchange is reused. A parent with very many children has its links split over slots, to which its one
 frontier row is copied.
 
 Trees have a long thin tail of deep nodes, and cycles are reached by no level. So after `levels` levels, the
@@ -21,6 +21,7 @@ from fathomgraph.operators.orphans import hot_slots
 from fathomgraph.plans.shared import kept
 
 ON_CYCLE, BELOW_CYCLE = -1, -2
+LEVELS_A_PLAN = 4
 
 
 def parent_links(links: DataFrame, newest: Column) -> DataFrame:
@@ -67,18 +68,25 @@ def hierarchy(links: DataFrame, levels: int = 16, paths: bool = True) -> DataFra
         return df.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).repartition(parts, "node", "slot")
 
     begin = [F.array("node").alias("path")] if paths else []
-    frontier = slotted(links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), "own", *begin))
-    found = [frontier]
-    for _ in range(levels):
-        extended = [F.concat("path", F.array("child")).alias("path")] if paths else []
-        met = children.join(frontier.hint("shuffle_hash"), (children["parent"] == frontier["node"]) & (children["slot"] == frontier["slot"]))
-        frontier = slotted(met.select(F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.col("child_own").alias("own"), *extended))
-        found.append(frontier)
     columns = ["node", "root", "depth", *(["path"] if paths else [])]
-    reached = found[0].filter("slot = 0").select(*columns)
-    for f in found[1:]:
-        reached = reached.unionByName(f.filter("slot = 0").select(*columns))
-    reached = kept(reached)
+    last = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), "own", *begin)
+    reached = None
+    for first in range(0, levels, LEVELS_A_PLAN):
+        frontier = slotted(last)
+        found = [frontier]
+        for _ in range(min(LEVELS_A_PLAN, levels - first)):
+            extended = [F.concat("path", F.array("child")).alias("path")] if paths else []
+            met = children.join(frontier.hint("shuffle_hash"), (children["parent"] == frontier["node"]) & (children["slot"] == frontier["slot"]))
+            frontier = slotted(met.select(F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.col("child_own").alias("own"), *extended))
+            found.append(frontier)
+        some = found[0] if reached is None else found[1]
+        for f in found[1 if reached is None else 2 :]:
+            some = some.unionByName(f)
+        some = kept(some.filter("slot = 0").select(*columns, "own"))
+        reached = some.select(*columns) if reached is None else reached.unionByName(some.select(*columns))
+        last = some.filter(F.col("depth") == min(first + LEVELS_A_PLAN, levels))
+        if last.isEmpty():
+            break
     rest = kept(links.select("node", "parent").join(reached.select("node"), "node", "left_anti"))
     if rest.isEmpty():
         return reached
