@@ -13,6 +13,7 @@ from fathomgraph.operators import components as C
 from fathomgraph.operators import dead_code as D
 from fathomgraph.operators import interactive as I
 from fathomgraph.operators import metrics as M
+from fathomgraph.operators import quality as Y
 from fathomgraph.operators import subsets as S
 from fathomgraph.operators import template as T
 from fathomgraph.operators.incremental import structure_fingerprint
@@ -139,14 +140,24 @@ met AS (SELECT f.seed, f.node, f.depth, max(s.rank) AS rank FROM first f JOIN fi
 _REACHED = "SELECT node AS id, min(depth) AS depth, list_sort(list(DISTINCT seed)) AS via_seeds, CASE max(rank) WHEN 3 THEN 'tier_3' WHEN 2 THEN 'tier_0' WHEN 1 THEN 'tier_1' END AS tier FROM met WHERE node NOT IN (SELECT id FROM hot) GROUP BY 1"
 query("reach_callers", _with("gn calls", _HOT + ",\n" + _reach_sql("to_id", "from_id", 3), _REACHED))(lambda g: I.reach(g.edges, g.hot(5), "in", 3))
 query("reach_callees", _with("gn calls", _HOT + ",\n" + _reach_sql("from_id", "to_id", 3), _REACHED))(lambda g: I.reach(g.edges, g.hot(5), "out", 3))
-query("slice_both")(lambda g: I.slice_around(g.edges, g.hot(2), 2))
+_BOTH = _reach_sql("to_id", "from_id", 2), _reach_sql("from_id", "to_id", 2)
+for _old in ("steps", "walk", "first", "met"):
+    _BOTH = _BOTH[0], _BOTH[1].replace(f"{_old} ", f"{_old}2 ").replace(f"{_old}2 AS next", f"{_old} AS next")
+query(
+    "slice_both",
+    _with("gn calls", _HOT.replace("LIMIT 5", "LIMIT 2") + ",\n" + ",\n".join(_BOTH), "SELECT *, 'in' AS direction FROM (" + _REACHED + ") UNION ALL SELECT *, 'out' FROM (" + _REACHED.replace("FROM met ", "FROM met2 ") + ")"),
+)(lambda g: I.slice_around(g.edges, g.hot(2), 2))
 _STEPS = "s AS (SELECT DISTINCT from_id AS a, to_id AS b FROM calls WHERE from_id <> to_id)"
 query(
     "call_cycles",
     _with("calls", _STEPS, """SELECT [x.a, x.b] AS cycle, 2 AS length FROM s x JOIN s y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b
 UNION ALL SELECT [x.a, x.b, y.b], 3 FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b"""),
 )(lambda g: I.simple_cycles(g.edges, 3))
-query("resolve_symbol")(lambda g: I.resolve_symbol(g.nodes, "tally_frame"))
+query(
+    "resolve_symbol",
+    graph("gn", """SELECT id, fqn, kind, ['fqn', 'id', 'suffix', 'part'][rule + 1] AS how FROM (SELECT *, min(rule) OVER () AS best FROM (SELECT id, fqn, kind, CASE WHEN fqn = 'decode' THEN 0 WHEN id = 'decode' THEN 1
+  WHEN kind IN ('Function', 'Module', 'File') AND fqn ILIKE '%::decode' THEN 2 WHEN kind IN ('Function', 'Module', 'File') AND fqn ILIKE '%decode%' THEN 3 END AS rule FROM gn) WHERE rule IS NOT NULL) WHERE rule = best ORDER BY length(fqn), fqn, id LIMIT 25"""),
+)(lambda g: I.resolve_symbol(g.nodes, "decode"))
 query("shortest_call_path")(lambda g: _longest_pair(g))
 
 
@@ -220,6 +231,18 @@ def _tangle(g: Graph) -> DataFrame:
     return inside.join(F.broadcast(every)).select((F.col("inside") / F.col("every")).alias("tangle_index"))  # one row each
 
 
+query(
+    "resolution_quality",
+    graph("ge", """SELECT *, CASE WHEN rate >= 0.5 THEN 'Critical' WHEN rate >= 0.25 THEN 'High' WHEN rate >= 0.1 THEN 'Warning' END AS level FROM
+(SELECT kind, count(*) FILTER (source = 'Lsp') AS language_server, count(*) FILTER (source = 'Heuristic') AS heuristic, count(*) FILTER (source = 'Heuristic') / nullif(count(*) FILTER (source IN ('Lsp', 'Heuristic')), 0) AS rate FROM ge GROUP BY 1)"""),
+)(lambda g: Y.resolution_quality(g.edges))
+query(
+    "metric_status",
+    graph("prod mods", """SELECT *, CASE WHEN edges < 50 THEN 'InsufficientEdges' ELSE 'Ok' END AS cycle_status, CASE WHEN calls < 20 THEN 'InsufficientEdges' ELSE 'Ok' END AS depth_status, CASE WHEN modules < 3 THEN 'NotApplicable' ELSE 'Ok' END AS module_status
+FROM (SELECT (SELECT count(*) FROM prod) AS edges, (SELECT count(*) FROM prod WHERE kind IN ('Call', 'Framework:VisualforcePage', 'Declarative:Flow')) AS calls, (SELECT count(DISTINCT module) FROM mods) AS modules)"""),
+)(lambda g: Y.metric_status(S.production_edges(g.edges, g.nodes), g.modules))
+
+
 # Iterative
 
 query("strong_components", graph("scc", "SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM scc"))(lambda g: C.strong_components(g.links()))

@@ -12,6 +12,7 @@ from fathomgraph.operators import findings as N
 from fathomgraph.operators import git_signals as G
 from fathomgraph.operators import history as H
 from fathomgraph.operators import incremental as U
+from fathomgraph.operators import quality as Y
 from fathomgraph.operators import resolution as R
 from fathomgraph.operators.metrics import Thresholds
 from fathomgraph.streaming import progress as Q
@@ -173,3 +174,7 @@ FROM (SELECT symbol AS site, file, min(start_line) + 1 AS line FROM p GROUP BY 1
 )(lambda t: R.enclosing(_placed(t).groupBy(F.col("symbol").alias("site"), "file").agg((F.min("start_line") + 1).alias("line")), _placed(t)))
 query("folders_of_paths", r"""WITH d AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL), s AS (SELECT list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS p FROM d),
 i AS (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM s WHERE len(p) > 0) SELECT DISTINCT CASE WHEN k = 1 THEN 'root' ELSE array_to_string(p[1:k - 1], '/') END AS parent, array_to_string(p[1:k], '/') AS child FROM i""")(lambda t: R.containment_from_paths(t("documents").select("path").distinct(), "root")[1])
+query(
+    "within_token_budget",
+    "SELECT source, doc_id, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY doc_id) AS through FROM (SELECT source, doc_id, ceil(length(coalesce(text, '')) / 4)::BIGINT AS tokens FROM documents)) WHERE through <= 2000",
+)(lambda t: Y.within_budget(t("documents"), "source", "doc_id", "text", 2000))
