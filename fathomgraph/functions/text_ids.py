@@ -79,3 +79,10 @@ def edge_source(c: Column | str) -> Column:
 
 def edge_confidence(c: Column | str) -> Column:
     return F.coalesce(_one_of(F.lower(stripped(json_field(c, "confidence"))), {k.lower(): k for k in CONFIDENCES}), F.lit("Unknown"))
+
+
+def evidence(c: Column | str) -> Column:
+    """Struct of edge_source and edge_confidence, by one parse of the JSON."""
+    doc = F.from_json(_col(c), "struct<source:string,confidence:string>")
+    known = lambda name, values: F.coalesce(_one_of(F.lower(stripped(doc[name])), {v.lower(): v for v in values}), F.lit("Unknown")).alias(name)
+    return F.struct(known("source", SOURCES), known("confidence", CONFIDENCES))

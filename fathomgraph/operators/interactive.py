@@ -58,7 +58,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "in", max_depth:
     (seed, node) pairs and drops pairs met before.
     """
     near, far = ("to_id", "from_id") if direction == "in" else ("from_id", "to_id")
-    steps = calls(edges).select(F.col(near).alias("node"), F.col(far).alias("next"), tier_rank(evidence_tier("source")).alias("rank"))
+    steps = kept(calls(edges).select(F.col(near).alias("node"), F.col(far).alias("next"), tier_rank(evidence_tier("source")).alias("rank")))
     frontier = kept(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("rank")))
     visited = [frontier]
     for depth in range(1, max_depth + 1):
@@ -88,7 +88,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 1
     spark = edges.sparkSession
     if source == target:
         return spark.createDataFrame([(0, source)], "step int, id string")
-    steps = calls(edges).select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct()
+    steps = kept(calls(edges).select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct())
     frontier = spark.createDataFrame([(source, [source])], "node string, path array<string>")
     visited = frontier.select("node")
     for _ in range(max_depth):

@@ -61,7 +61,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, d
         raise TooLarge(f"depth beyond {MAX_DEPTH}")
     some = edges if kinds is None else edges.filter(F.col("kind").isin(*kinds))
     forward, back = some.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")), some.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
-    steps = {"out": forward, "in": back, "both": forward.unionByName(back)}[direction].distinct()
+    steps = kept({"out": forward, "in": back, "both": forward.unionByName(back)}[direction].distinct())
     met = kept(seeds.join(nodes.select("id"), "id", "left_semi").select("id", F.lit(0).alias("depth")))
     frontier = met
     for d in range(1, depth + 1):

@@ -18,6 +18,7 @@ from fathomgraph.operators import subsets as S
 from fathomgraph.operators import template as T
 from fathomgraph.operators.incremental import structure_fingerprint
 from fathomgraph.plans.graph_sql import graph, outside_path
+from fathomgraph.plans.shared import kept
 from fathomgraph.plans.sql_parts import sql_edge_kind
 from fathomgraph.sources.graph import graph_edges, graph_nodes, is_call_like, unknown_edge_kinds
 from fathomgraph.sources.tables import table
@@ -34,6 +35,14 @@ class Graph:
         self.raw_edges = table(spark, folder, "edges")
         self.nodes = graph_nodes(table(spark, folder, "nodes"))
         self.edges = graph_edges(self.raw_edges, self.nodes)
+        self._kept = False
+
+    def keep(self) -> Graph:
+        """For what reads the graph more than twice: its typed rows are written once, instead of parsed and merged again each time."""
+        if not self._kept:
+            self.nodes, self._kept = kept(self.nodes), True
+            self.edges = kept(graph_edges(self.raw_edges, self.nodes))
+        return self
 
     @property
     def parents(self) -> DataFrame:
@@ -41,6 +50,7 @@ class Graph:
 
     @property
     def modules(self) -> DataFrame:
+        self.keep()
         return S.analysis_modules(self.nodes, self.parents)
 
     @property
@@ -53,6 +63,7 @@ class Graph:
 
     @property
     def outside(self) -> DataFrame:
+        self.keep()
         return S.non_production(self.nodes, self.parents)
 
     @property
@@ -60,6 +71,7 @@ class Graph:
         return self.functions.join(self.outside.filter("not is_non_production").select("id"), "id", "left_semi")
 
     def links(self, call_like: bool = False) -> DataFrame:
+        self.keep()
         e = S.production_edges(self.edges, self.nodes)
         e = e.filter(is_call_like()) if call_like else e
         return e.filter("from_id != to_id").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
@@ -87,12 +99,12 @@ query("load_nodes", graph("gn", "SELECT id, kind, fqn, name, file, start_line, e
 query("load_edges", graph("ge", "SELECT from_id, to_id, kind, source, confidence FROM ge"))(lambda g: g.edges.select("from_id", "to_id", "kind", "source", "confidence"))
 query("unknown_edge_kinds", graph("ge", "SELECT kind AS kind_text, count(*) AS n FROM edges WHERE {} IS NULL GROUP BY 1").replace("{}", sql_edge_kind("kind")))(lambda g: unknown_edge_kinds(g.raw_edges))
 query("containment_parent", graph("par", "SELECT * FROM par"))(lambda g: g.parents)
-query("node_paths", graph("paths", "SELECT id, path FROM paths"))(lambda g: S.node_paths(g.nodes, g.parents))
+query("node_paths", graph("paths", "SELECT id, path FROM paths"))(lambda g: S.node_paths(g.keep().nodes, g.parents))
 query("analysis_modules", graph("mods", "SELECT * FROM mods"))(lambda g: g.modules)
-query("classification_of", graph("cls", "SELECT * FROM cls"))(lambda g: S.classifying_files(g.nodes, g.parents))
+query("classification_of", graph("cls", "SELECT * FROM cls"))(lambda g: S.classifying_files(g.keep().nodes, g.parents))
 query("non_production", graph("outside", "SELECT id, is_non_production, in_test_file FROM outside"))(lambda g: g.outside.select("id", "is_non_production", "in_test_file"))
-query("production_edges", graph("prod", "SELECT from_id, to_id, kind, confidence FROM prod"))(lambda g: S.production_edges(g.edges, g.nodes).select("from_id", "to_id", "kind", "confidence"))
-query("high_confidence_edges", graph("prod", "SELECT from_id, to_id, kind FROM prod WHERE confidence = 'High'"))(lambda g: S.production_edges(g.edges, g.nodes, high_only=True).select("from_id", "to_id", "kind"))
+query("production_edges", graph("prod", "SELECT from_id, to_id, kind, confidence FROM prod"))(lambda g: S.production_edges(g.keep().edges, g.nodes).select("from_id", "to_id", "kind", "confidence"))
+query("high_confidence_edges", graph("prod", "SELECT from_id, to_id, kind FROM prod WHERE confidence = 'High'"))(lambda g: S.production_edges(g.keep().edges, g.nodes, high_only=True).select("from_id", "to_id", "kind"))
 query("validate_edges", graph("gn", "SELECT coalesce(k, 'unknown') AS kind, count(*) AS n FROM (SELECT DISTINCT nullif(lower(trim(from_id)), '') AS f, nullif(lower(trim(to_id)), '') AS t, {} AS k FROM edges) WHERE f IS NOT NULL AND t IS NOT NULL AND (f NOT IN (SELECT id FROM gn) OR t NOT IN (SELECT id FROM gn)) GROUP BY 1").replace("{}", sql_edge_kind("kind")))(
     lambda g: _dangling(g)
 )
@@ -146,7 +158,7 @@ for _old in ("steps", "walk", "first", "met"):
 query(
     "slice_both",
     _with("gn calls", _HOT.replace("LIMIT 5", "LIMIT 2") + ",\n" + ",\n".join(_BOTH), "SELECT *, 'in' AS direction FROM (" + _REACHED + ") UNION ALL SELECT *, 'out' FROM (" + _REACHED.replace("FROM met ", "FROM met2 ") + ")"),
-)(lambda g: I.slice_around(g.edges, g.hot(2), 2))
+)(lambda g: I.slice_around(g.keep().edges, g.hot(2), 2))
 _STEPS = "s AS (SELECT DISTINCT from_id AS a, to_id AS b FROM calls WHERE from_id <> to_id)"
 query(
     "call_cycles",
@@ -184,23 +196,23 @@ WHERE fan_in >= t.threshold AND t.threshold > 0""",
 query("module_coupling", graph("medges mods", """SELECT m.module, m.members, x.internal_edges, x.external_edges, x.external_edges / (x.internal_edges + x.external_edges) AS score
 FROM (SELECT module, count(*) AS members FROM mods GROUP BY 1) m JOIN (SELECT module, sum(i)::BIGINT AS internal_edges, sum(x)::BIGINT AS external_edges FROM (
   SELECT from_module AS module, 1 AS i, 0 AS x FROM medges WHERE from_module = to_module UNION ALL SELECT from_module, 0, 1 FROM medges WHERE from_module IS DISTINCT FROM to_module UNION ALL SELECT to_module, 0, 1 FROM medges WHERE from_module IS DISTINCT FROM to_module)
- WHERE module IS NOT NULL GROUP BY 1) x USING (module) WHERE m.members >= 3"""))(lambda g: M.coupling(g.edges, g.modules))
+ WHERE module IS NOT NULL GROUP BY 1) x USING (module) WHERE m.members >= 3"""))(lambda g: M.coupling(g.keep().edges, g.modules))
 _UNSTABLE = """unstable AS (SELECT module, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) > 0 THEN coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)) ELSE 0 END AS instability
  FROM (SELECT DISTINCT module FROM mods) LEFT JOIN (SELECT to_module AS module, count(DISTINCT from_module) AS ca FROM medges WHERE from_module <> to_module GROUP BY 1) USING (module)
  LEFT JOIN (SELECT from_module AS module, count(DISTINCT to_module) AS ce FROM medges WHERE from_module <> to_module GROUP BY 1) USING (module))"""
 _ABSTRACT = """abstract AS (SELECT module, abstract_types, types, CASE WHEN types > 0 THEN abstract_types / types ELSE 0 END AS abstractness
  FROM (SELECT module, count(*) FILTER (kind = 'Interface') AS abstract_types, count(*) FILTER (kind IN ('Interface', 'Struct', 'Enum', 'Type')) AS types FROM mods JOIN gn USING (id) GROUP BY 1))"""
-query("instability", _with("medges mods", _UNSTABLE, "SELECT * FROM unstable"))(lambda g: M.instability(g.edges, g.modules))
+query("instability", _with("medges mods", _UNSTABLE, "SELECT * FROM unstable"))(lambda g: M.instability(g.keep().edges, g.modules))
 query("abstractness", _with("gn mods", _ABSTRACT, "SELECT * FROM abstract"))(lambda g: M.abstractness(g.nodes, g.modules))
 query(
     "main_sequence",
     _with("medges mods gn", _UNSTABLE + ",\n" + _ABSTRACT, """SELECT module, instability, abstractness, d AS distance, CASE WHEN d < 0.15 THEN 'main_sequence' WHEN abstractness < 0.3 AND instability < 0.3 THEN 'pain' WHEN abstractness > 0.7 AND instability > 0.7 THEN 'uselessness' ELSE 'balanced' END AS zone
 FROM (SELECT *, abs(abstractness + instability - 1) AS d FROM unstable JOIN abstract USING (module))"""),
-)(lambda g: M.main_sequence(M.instability(g.edges, g.modules), M.abstractness(g.nodes, g.modules)))
+)(lambda g: M.main_sequence(M.instability(g.keep().edges, g.modules), M.abstractness(g.nodes, g.modules)))
 query("api_surface", graph("medges mods fn", """SELECT module, count(*) AS functions, count(e.to_id) AS exposed, count(e.to_id) / count(*) AS api_surface FROM mods JOIN fn USING (id)
-LEFT JOIN (SELECT DISTINCT to_id FROM medges WHERE to_module IS NOT NULL AND from_module IS DISTINCT FROM to_module) e ON e.to_id = mods.id GROUP BY 1"""))(lambda g: M.api_surface(g.edges, g.functions, g.modules))
+LEFT JOIN (SELECT DISTINCT to_id FROM medges WHERE to_module IS NOT NULL AND from_module IS DISTINCT FROM to_module) e ON e.to_id = mods.id GROUP BY 1"""))(lambda g: M.api_surface(g.keep().edges, g.functions, g.modules))
 query("hub_scores", graph("medges mods fn", """SELECT id, s.n AS source_modules, t.n AS target_modules, s.n * t.n / (SELECT count(DISTINCT module) * count(DISTINCT module) FROM mods) AS hub_score FROM fn
-JOIN (SELECT to_id AS id, count(DISTINCT from_module) AS n FROM medges WHERE from_module <> to_module GROUP BY 1) s USING (id) JOIN (SELECT from_id AS id, count(DISTINCT to_module) AS n FROM medges WHERE from_module <> to_module GROUP BY 1) t USING (id)"""))(lambda g: M.hub_scores(g.edges, g.functions, g.modules))
+JOIN (SELECT to_id AS id, count(DISTINCT from_module) AS n FROM medges WHERE from_module <> to_module GROUP BY 1) s USING (id) JOIN (SELECT from_id AS id, count(DISTINCT to_module) AS n FROM medges WHERE from_module <> to_module GROUP BY 1) t USING (id)"""))(lambda g: M.hub_scores(g.keep().edges, g.functions, g.modules))
 query("information_flow", graph("fans fn", "SELECT id, (fan_in * fan_out) * (fan_in * fan_out) AS information_flow FROM fans JOIN fn USING (id)"))(lambda g: M.information_flow(g.fans, g.functions))
 query("information_flow_threshold", graph("fans fn", "SELECT greatest(coalesce((list_sort(list(v)))[greatest(ceil(count(*) * 95 / 100) - 1, 0)::BIGINT + 1], 100), 100) AS threshold FROM (SELECT (fan_in * fan_out) * (fan_in * fan_out) AS v FROM fans JOIN fn USING (id))"))(
     lambda g: M.percentile_floor(M.information_flow(g.fans, g.functions), "information_flow", 95, 100)
@@ -240,7 +252,7 @@ query(
     "metric_status",
     graph("prod mods", """SELECT *, CASE WHEN edges < 50 THEN 'InsufficientEdges' ELSE 'Ok' END AS cycle_status, CASE WHEN calls < 20 THEN 'InsufficientEdges' ELSE 'Ok' END AS depth_status, CASE WHEN modules < 3 THEN 'NotApplicable' ELSE 'Ok' END AS module_status
 FROM (SELECT (SELECT count(*) FROM prod) AS edges, (SELECT count(*) FROM prod WHERE kind IN ('Call', 'Framework:VisualforcePage', 'Declarative:Flow')) AS calls, (SELECT count(DISTINCT module) FROM mods) AS modules)"""),
-)(lambda g: Y.metric_status(S.production_edges(g.edges, g.nodes), g.modules))
+)(lambda g: Y.metric_status(S.production_edges(g.keep().edges, g.nodes), g.modules))
 
 
 # Iterative
@@ -261,7 +273,7 @@ query(
     "blast_radius",
     _with("plinks gn calls", _HOT.replace("LIMIT 5", "LIMIT 20") + ",\nbr AS (SELECT id AS seed, id AS node FROM hot UNION SELECT br.seed, src FROM br JOIN plinks ON dst = br.node)", "SELECT seed AS id, count(*) - 1 AS blast FROM br GROUP BY 1"),
 )(lambda g: C.blast_radius(g.links(), g.hot(20).select(F.col("seed").alias("id"))))
-query("cohesion")(lambda g: C.cohesion(g.edges, g.functions, g.modules))
+query("cohesion")(lambda g: C.cohesion(g.keep().edges, g.functions, g.modules))
 query("test_only_files")(lambda g: _test_only(g))
 
 
@@ -292,7 +304,7 @@ WHEN (name IN {_EN(D.ACCESSOR_NAMES)} OR length(name) <= 20 AND regexp_matches(l
 WHEN regexp_matches(lower(name), '^(mock|stub|fake)') THEN 'mock_function' WHEN is_attribute_invoked THEN 'attribute_invoked' WHEN is_callback_target THEN 'callback_target'
 WHEN visibility IN ('public', 'exported', 'pub_crate') THEN 'exported_symbol' END"""
 _ENTRY = f"entry AS (SELECT *, {_RULES} AS entry_reason FROM (SELECT fn.*, o.* EXCLUDE (id), split_part(coalesce(class_path, ''), '/', -1) AS base FROM fn JOIN outside o USING (id)))"
-query("entry_points", _with("fn outside", _ENTRY, "SELECT id, entry_reason AS reason FROM entry WHERE entry_reason IS NOT NULL"))(lambda g: D.entry_points(g.functions, g.nodes, S.classifying_files(g.nodes, g.parents)))
+query("entry_points", _with("fn outside", _ENTRY, "SELECT id, entry_reason AS reason FROM entry WHERE entry_reason IS NOT NULL"))(lambda g: D.entry_points(g.keep().functions, g.nodes, S.classifying_files(g.nodes, g.parents)))
 _DEAD = """dead AS (SELECT e.id, CASE WHEN NOT is_non_production THEN 'production' WHEN in_test_file THEN 'test' ELSE 'vendor' END AS bucket,
  CASE WHEN is_attribute_invoked THEN 'framework_annotation_unresolved' WHEN is_callback_target THEN 'callback_target_not_tracked' WHEN in_test_file THEN 'test_only_reference'
   WHEN visibility IN ('private', 'fileprivate', 'module_private') THEN 'visibility_private_unused' ELSE 'no_callers' END AS reason
@@ -302,6 +314,7 @@ query("dead_code_reasons", _with("fn outside fans", _ENTRY + ",\n" + _DEAD, f"""
 
 
 def _dead(g: Graph) -> DataFrame:
+    g.keep()
     return D.dead_code(g.functions, g.nodes, S.classifying_files(g.nodes, g.parents), g.fans, g.outside)
 
 

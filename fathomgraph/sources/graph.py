@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.paths import last_name
-from fathomgraph.functions.text_ids import clean_id, edge_confidence, edge_kind, edge_source, json_field, node_kind
+from fathomgraph.functions.text_ids import clean_id, edge_confidence, edge_kind, edge_source, evidence, json_field, node_kind
 
 REQUIRED = {"nodes": ("id", "kind", "fqn", "location"), "edges": ("from_id", "to_id", "kind")}
 #: Names of nodes that stand for a file's own scope.
@@ -77,9 +77,9 @@ def raw_edges(edges: DataFrame) -> DataFrame:
         clean_id("from_id").alias("from_id"),
         clean_id("to_id").alias("to_id"),
         edge_kind("kind").alias("kind"),
-        F.struct("recorded_at", edge_source("provenance").alias("source"), edge_confidence("provenance").alias("confidence")).alias("r"),
+        F.struct("recorded_at", evidence("provenance").alias("e")).alias("r"),
     ).filter("from_id is not null and to_id is not null")
-    return rows.groupBy("from_id", "to_id", "kind").agg(F.max("r").alias("r")).select("from_id", "to_id", "kind", "r.*")
+    return rows.groupBy("from_id", "to_id", "kind").agg(F.max("r").alias("r")).select("from_id", "to_id", "kind", "r.e.*", "r.recorded_at")
 
 
 def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
