@@ -23,18 +23,17 @@ LIFECYCLE_NAMES = (
     "componentWillUnmount", "componentDidUpdate", "componentDidCatch", "getDerivedStateFromProps", "getSnapshotBeforeUpdate",
     "shouldComponentUpdate", "ngOnInit", "ngOnDestroy", "ngOnChanges", "ngAfterViewInit", "ngAfterContentInit", "created", "mounted",
     "beforeDestroy", "destroyed", "beforeMount", "beforeUpdate", "updated", "drop", "new", "default", "from", "try_from", "into",
-    "Awake", "Start", "Update", "FixedUpdate", "LateUpdate", "OnEnable", "OnDisable", "OnDestroy", "OnApplicationQuit", "OnCollisionEnter",
-    "OnTriggerEnter", "ConfigureServices", "Configure", "Main", "Dispose", "ServeHTTP", "String", "Error", "Close", "Read", "Write",
-    "MarshalJSON", "UnmarshalJSON",
-)
-#: Python's special methods, written without the underscores around them.
-SPECIAL_METHODS = (
-    "init", "del", "new", "enter", "exit", "call", "repr", "str", "bool", "len", "iter", "next", "getitem", "setitem", "delitem", "contains",
-    "eq", "ne", "lt", "le", "gt", "ge", "hash", "getattr", "setattr", "delattr", "get", "set", "delete", "getstate", "setstate", "reduce",
-    "reduce_ex", "nonzero", "format", "bytes", "complex", "int", "float", "index", "add", "sub", "mul", "truediv", "floordiv", "mod", "pow",
-    "and", "or", "xor", "lshift", "rshift", "neg", "pos", "abs", "invert", "iadd", "isub", "imul", "radd", "rsub", "rmul", "missing", "copy",
-    "deepcopy", "sizeof", "class_getitem", "init_subclass", "instancecheck", "subclasscheck", "subclasshook", "set_name", "mro_entries",
-    "post_init", "aenter", "aexit", "aiter", "anext", "await",
+    "__init__", "__del__", "__new__", "__enter__", "__exit__", "__call__", "__repr__", "__str__", "__bool__", "__len__", "__iter__",
+    "__next__", "__getitem__", "__setitem__", "__delitem__", "__contains__", "__eq__", "__ne__", "__lt__", "__le__", "__gt__", "__ge__",
+    "__hash__", "__getattr__", "__setattr__", "__delattr__", "__get__", "__set__", "__delete__", "__getstate__", "__setstate__",
+    "__reduce__", "__reduce_ex__", "__nonzero__", "__format__", "__bytes__", "__complex__", "__int__", "__float__", "__index__", "__add__",
+    "__sub__", "__mul__", "__truediv__", "__floordiv__", "__mod__", "__pow__", "__and__", "__or__", "__xor__", "__lshift__", "__rshift__",
+    "__neg__", "__pos__", "__abs__", "__invert__", "__iadd__", "__isub__", "__imul__", "__radd__", "__rsub__", "__rmul__", "__missing__",
+    "__copy__", "__deepcopy__", "__sizeof__", "__class_getitem__", "__init_subclass__", "__instancecheck__", "__subclasscheck__",
+    "__subclasshook__", "__set_name__", "__mro_entries__", "__post_init__", "__aenter__", "__aexit__", "__aiter__", "__anext__",
+    "__await__", "Awake", "Start", "Update", "FixedUpdate", "LateUpdate", "OnEnable", "OnDisable", "OnDestroy", "OnApplicationQuit",
+    "OnCollisionEnter", "OnTriggerEnter", "ConfigureServices", "Configure", "Main", "Dispose", "ServeHTTP", "String", "Error", "Close",
+    "Read", "Write", "MarshalJSON", "UnmarshalJSON",
 )
 JSX_RUNTIME_NAMES = ("jsx", "jsxs", "jsxDEV", "jsxAttr", "jsxEscape", "Fragment", "createElement", "createRef", "h")
 ACCESSOR_NAMES = (
@@ -69,7 +68,6 @@ def entry_reason(rules: EntryRules = EntryRules()) -> Column:
     name, fqn = F.col("name"), F.col("fqn")
     low, fqn_low = F.lower(name), F.lower(fqn)
     file_name = F.element_at(F.split(F.coalesce("class_path", F.lit("")), "/"), -1)
-    special = F.when(name.rlike("^__.*__$"), F.substring(name, 3, 1 << 20).substr(F.lit(1), F.length(name) - 4)).isin(*SPECIAL_METHODS)
     accessor = F.when(name.isin(*ACCESSOR_NAMES), fqn.contains("::")).otherwise(fqn.contains("::") & (F.length(name) <= 20) & _ends(low, ("path", "routes", "router")))
     intrinsic = fqn_low.contains("intrinsic_element::components::") | fqn_low.contains("intrinsic-element::components::") | (fqn_low.contains("jsx::dom::") & fqn_low.contains("::components::"))
     chain = [
@@ -80,7 +78,7 @@ def entry_reason(rules: EntryRules = EntryRules()) -> Column:
         ("barrel_file", file_name.isin(*BARREL_FILES)),
         ("entrypoint_file", F.col("class_path").isNotNull() & (file_name.isin(*ENTRYPOINT_FILES) | (name == "main"))),
         ("framework_handler_convention", _ends(low, HANDLER_SUFFIXES) | _ends(fqn_low, HANDLER_SUFFIXES) | low.rlike("^(" + "|".join(HANDLER_PREFIXES) + ")")),
-        ("lifecycle_method", name.isin(*LIFECYCLE_NAMES) | F.coalesce(special, F.lit(False))),
+        ("lifecycle_method", name.isin(*LIFECYCLE_NAMES)),
     ]
     if rules.jsx:
         chain += [("jsx_component", name.rlike("^[A-Z][A-Za-z]")), ("jsx_runtime", name.isin(*JSX_RUNTIME_NAMES))]

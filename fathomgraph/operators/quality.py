@@ -13,15 +13,32 @@ from pyspark.sql.types import StringType
 #: Rates from which resolution counts as degraded, and edges and modules that metrics need at least.
 DEGRADED = ((0.50, "Critical"), (0.25, "High"), (0.10, "Warning"))
 MIN_EDGES, MIN_CALLS, MIN_MODULES = 50, 20, 3
-#: Imports that mark a test file, whole or as beginnings, by language.
+#: Imports that mark a test file, by language: whole names, and beginnings of names.
+_JS_EXACT = (
+    "jest", "@jest/globals", "vitest", "mocha", "chai", "sinon", "cypress", "supertest", "nock", "msw", "jest-mock-extended", "expect", "node:test",
+    "node:assert", "ava", "tap", "tape", "@playwright/test",
+)
+_JAVA_EXACT = ("org.junit.Test", "org.junit.Assert", "org.junit.jupiter.api.Test", "org.testng.annotations.Test")
+_JS_PREFIXES = ("@testing-library/", "@jest/")
+_JAVA_PREFIXES = ("org.junit.", "junit.", "org.testng.", "org.mockito.", "org.assertj.", "org.hamcrest.", "io.mockk.", "org.springframework.boot.test.", "org.springframework.test.")
 TEST_IMPORTS = {
-    "python": ("pytest", "unittest", "nose", "hypothesis"),
-    "typescript": ("vitest", "jest", "@jest/globals", "mocha", "chai", "@testing-library/"),
-    "javascript": ("vitest", "jest", "@jest/globals", "mocha", "chai", "@testing-library/"),
-    "java": ("org.junit", "org.mockito", "org.testng", "org.assertj"),
-    "go": ("testing",),
-    "csharp": ("Xunit", "NUnit.Framework", "Microsoft.VisualStudio.TestTools.UnitTesting", "Moq"),
-}
+    "typescript": _JS_EXACT,
+    "javascript": _JS_EXACT,
+    "python": ("pytest", "unittest", "unittest.mock", "mock", "nose", "nose2", "hypothesis", "responses", "httpretty", "factory_boy", "faker", "freezegun", "pytest_mock"),
+    "go": (
+        "testing", "github.com/stretchr/testify", "github.com/stretchr/testify/assert", "github.com/stretchr/testify/require",
+        "github.com/stretchr/testify/suite", "github.com/stretchr/testify/mock", "github.com/onsi/ginkgo", "github.com/onsi/gomega",
+    ),
+    "java": _JAVA_EXACT,
+    "kotlin": _JAVA_EXACT,
+    "csharp": ("Xunit", "Moq", "FluentAssertions", "NSubstitute", "Shouldly", "Microsoft.VisualStudio.TestTools.UnitTesting"),
+    "ruby": ("rspec", "minitest", "test-unit"),
+    "swift": ("XCTest",),
+}
+TEST_IMPORT_PREFIXES = {
+    "typescript": _JS_PREFIXES, "javascript": _JS_PREFIXES, "python": ("pytest.", "unittest."), "java": _JAVA_PREFIXES, "kotlin": _JAVA_PREFIXES,
+    "csharp": ("Xunit.", "NUnit."), "ruby": ("rspec/", "minitest/"),
+}
 
 
 def resolution_quality(edges: DataFrame, by: str = "kind") -> DataFrame:
@@ -66,11 +83,17 @@ def within_budget(rows: DataFrame, by: str, order: str, text: str, budget: int)
 
 
 def imports_test_framework(imports: Column, language: Column) -> Column:
-    """Whether any of an array of imports, quotes stripped, is or begins with a test framework of the language."""
+    """Whether any of an array of imports, quotes stripped, is a test framework of the language, or begins as one. Rust's tests need no import."""
+    def any_of(whole: tuple[str, ...], begins: tuple[str, ...]) -> Column:
+        plain = F.transform(imports, lambda i: F.btrim(F.btrim(i, F.lit('"')), F.lit("'")))
+        hit = F.exists(plain, lambda i: i.isin(*whole))
+        if begins:
+            hit = hit | F.exists(plain, lambda i: i.rlike("^(" + "|".join(re.escape(p) for p in begins) + ")"))
+        return F.coalesce(hit, F.lit(False))
+
     out = F.lit(False)
-    for name, frameworks in TEST_IMPORTS.items():
-        hit = F.exists(imports, lambda i: F.regexp_replace(i, "[\"'`]", "").rlike("^(" + "|".join(re.escape(f) for f in frameworks) + r")($|[./:]|(?<=/))"))
-        out = F.when(language == name, F.coalesce(hit, F.lit(False))).otherwise(out)
+    for name, whole in TEST_IMPORTS.items():
+        out = F.when(F.lower(language) == name, any_of(whole, TEST_IMPORT_PREFIXES.get(name, ()))).otherwise(out)
     return out
 
 

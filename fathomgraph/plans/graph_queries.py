@@ -298,7 +298,7 @@ _EN = lambda words: "('" + "', '".join(words) + "')"
 _RULES = f"""CASE WHEN in_test_file THEN 'parent_file_is_test' WHEN class_vendor THEN 'parent_file_is_vendor' WHEN class_build THEN 'parent_file_is_build_output' WHEN class_generated THEN 'parent_file_is_generated'
 WHEN base IN {_EN(D.BARREL_FILES)} THEN 'barrel_file' WHEN class_path IS NOT NULL AND (base IN {_EN(D.ENTRYPOINT_FILES)} OR name = 'main') THEN 'entrypoint_file'
 WHEN regexp_matches(lower(name), '({"|".join(D.HANDLER_SUFFIXES)})$') OR regexp_matches(lower(fqn), '({"|".join(D.HANDLER_SUFFIXES)})$') OR regexp_matches(lower(name), '^({"|".join(D.HANDLER_PREFIXES)})') THEN 'framework_handler_convention'
-WHEN name IN {_EN(D.LIFECYCLE_NAMES)} OR name IN {_EN([f"__{w}__" for w in D.SPECIAL_METHODS])} THEN 'lifecycle_method'
+WHEN name IN {_EN(D.LIFECYCLE_NAMES)} THEN 'lifecycle_method'
 WHEN regexp_matches(name, '^[A-Z][A-Za-z]') THEN 'jsx_component' WHEN name IN {_EN(D.JSX_RUNTIME_NAMES)} THEN 'jsx_runtime'
 WHEN (name IN {_EN(D.ACCESSOR_NAMES)} OR length(name) <= 20 AND regexp_matches(lower(name), '(path|routes|router)$')) AND contains(fqn, '::') THEN 'property_accessor'
 WHEN regexp_matches(lower(name), '^(mock|stub|fake)') THEN 'mock_function' WHEN is_attribute_invoked THEN 'attribute_invoked' WHEN is_callback_target THEN 'callback_target'

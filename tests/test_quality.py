@@ -20,9 +20,9 @@ def test_downgrades(spark):
 
 
 def test_imports(spark):
-    rows = [(["'vitest'"], "typescript"), (["@testing-library/react"], "javascript"), (["pytests"], "python"), (["unittest.mock"], "python"), (["pytest"], "rust"), (None, "python")]
+    rows = [(["'vitest'"], "typescript"), (["@testing-library/react"], "javascript"), (["pytests"], "python"), (["unittest.mock"], "python"), (["pytest"], "rust"), (["\"org.junit.Foo\""], "Java"), (None, "python")]
     df = spark.createDataFrame(rows, "i array<string>, l string")
-    assert [r[0] for r in df.select(Y.imports_test_framework(F.col("i"), F.col("l"))).collect()] == [True, True, False, True, False, False]
+    assert [r[0] for r in df.select(Y.imports_test_framework(F.col("i"), F.col("l"))).collect()] == [True, True, False, True, False, True, False]
 
 
 def test_budget(spark):
