@@ -285,11 +285,17 @@ def _layers(g: Graph) -> DataFrame:
 
 
 def _test_only(g: Graph) -> DataFrame:
+    """Both ends of an import count as their containing files. Only paths that are known not to be production, and files without a path, may become test files."""
+    g.keep()
     files = g.nodes.filter("kind = 'File'")
-    imports = g.edges.filter("kind = 'Import'").select(F.col("from_id").alias("importer"), F.col("to_id").alias("file")).join(files.select(F.col("id").alias("file")), "file", "left_semi")
-    tests = g.nodes.filter("is_test").select(F.col("id").alias("file"))
-    production = files.filter(P.lowered("path_repo_rel").startswith("src/")).select(F.col("id").alias("file"))
-    return C.test_only_files(imports, tests, production)
+    own = g.nodes.select(F.col("id").alias("node"), F.when(F.col("kind") == "File", F.col("id")).alias("value"))
+    holder = kept(S.nearest_ancestor(own, g.parents).filter("value is not null").select(F.col("node").alias("id"), F.col("value").alias("file")))
+    ends = g.edges.filter("kind = 'Import'").select("from_id", "to_id")
+    imports = ends.join(holder.select(F.col("id").alias("from_id"), F.col("file").alias("importer")), "from_id").join(holder.withColumnRenamed("id", "to_id"), "to_id").select("importer", "file")
+    whole = g.nodes.filter("kind = 'Function'").select("id", "is_test").join(holder, "id").groupBy("file").agg(F.every("is_test").alias("all_test")).filter("all_test").select("file")
+    tests = files.filter("is_test").select(F.col("id").alias("file")).unionByName(whole)
+    paths = S.node_paths(g.nodes, g.parents).filter(~F.coalesce(P.is_non_production_path("path"), F.lit(False)) & (F.col("path") != ""))
+    return C.test_only_files(imports, tests, paths.select(F.col("id").alias("file")))
 
 
 # Dead code
