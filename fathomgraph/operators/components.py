@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,33 +140,52 @@ def layer_violations(edges: DataFrame, depth: DataFrame, cyclic: DataFrame, fans
     return met.withColumn("gap", F.col("to_depth") - F.col("from_depth")).filter(F.col("gap") >= min_gap).select("from_id", "to_id", "from_depth", "to_depth", "gap")
 
 
-def blast_radius(links: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def blast_radius(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, blast): how many other nodes reach each row of seeds(id) along links(src, dst), at any distance.
 
-    Strongly connected parts shrink to one node, whose pairs stand for all of its members, and the frontier holds each (seed, node) pair once.
-    The pairs are as many as the answer counts: choose seeds so that this fits (the functions of a file, the hotspots).
+    Strongly connected parts shrink to one node, whose count stands for all of its members. Seeds are dealt to as many blocks as there are
+    cores, and each block meets all links of the shrunk graph and searches seed by seed: pairs are counted and never written, so the work
+    grows with the pairs, and a worker's memory with the shrunk links.
     """
     parts = strong_components(links)
     part = kept(parts.select("node", "component"))
     weight = parts.select(F.col("component").alias("rep"), F.col("size").alias("weight")).distinct()
     rep = lambda c: F.coalesce(F.col(f"{c}_part"), F.col(c))
     a, b = part.select(F.col("node").alias("src"), F.col("component").alias("src_part")), part.select(F.col("node").alias("dst"), F.col("component").alias("dst_part"))
-    short = kept(links.select("src", "dst").distinct().join(a, "src", "left").join(b, "dst", "left").select(rep("src").alias("src"), rep("dst").alias("dst")).filter("src != dst").distinct())
+    short = links.select("src", "dst").distinct().join(a, "src", "left").join(b, "dst", "left").select(rep("src").alias("rep"), rep("dst").alias("dst")).filter("rep != dst").distinct()
     own = kept(seeds.select("id").distinct().join(part.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("rep")))
-    frontier = kept(own.select(F.col("rep").alias("seed"), F.col("rep").alias("node")).distinct())
-    visited = frontier
-    for _ in range(max_rounds):
-        back = frontier.join(short.select(F.col("dst").alias("node"), F.col("src").alias("next")), "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = kept(back.join(visited, ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        visited = kept(visited.unionByName(frontier))
-    else:
-        raise RuntimeError(f"paths longer than {max_rounds} parts")
-    counts = visited.join(weight.withColumnRenamed("rep", "node"), "node", "left").groupBy(F.col("seed").alias("rep")).agg(F.sum(F.coalesce("weight", F.lit(1))).alias("reached"))
+    weighed = lambda df: df.join(weight, "rep", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    blocks = links.sparkSession.sparkContext.defaultParallelism
+    asked = weighed(own.select("rep").distinct()).withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    every = kept(weighed(short)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    counts = asked.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_reached, "rep string, reached bigint")
     return own.join(counts, "rep").select("id", (F.col("reached") - 1).alias("blast"))
 
 
+def _reached(asked: pa.Table, links: pa.Table) -> pa.Table:
+    """(rep, reached): for each row of asked(rep, weight) the weights of all nodes from which links(rep, dst, weight) lead to it, its own included."""
+    seeds, n = asked.num_rows, links.num_rows
+    names = pa.chunked_array([*asked["rep"].chunks, *links["rep"].chunks, *links["dst"].chunks], pa.string()).combine_chunks()
+    codes = names.dictionary_encode().indices.to_numpy()
+    size = int(codes.max()) + 1 if len(codes) else 0
+    weight = np.ones(size, dtype=np.int64)
+    weight[codes[: seeds + n]] = np.concatenate([asked["weight"].to_numpy(), links["weight"].to_numpy()])
+    src, dst = codes[seeds : seeds + n], codes[seeds + n :]
+    order = np.argsort(dst, kind="stable")
+    before, start = src[order].tolist(), np.searchsorted(dst[order], np.arange(size + 1)).tolist()
+    reached = []
+    for seed in codes[:seeds].tolist():
+        seen, todo = {seed}, [seed]
+        while todo:
+            v = todo.pop()
+            for w in before[start[v] : start[v + 1]]:
+                if w not in seen:
+                    seen.add(w)
+                    todo.append(w)
+        reached.append(int(weight[list(seen)].sum()))
+    return pa.table({"rep": asked["rep"], "reached": pa.array(reached, pa.int64())})
+
+
 def cohesion(edges: DataFrame, functions: DataFrame, modules: DataFrame, min_functions: int = 3) -> DataFrame:
     """(module, functions, components, cohesion): connected groups of a module's functions, and 1 over their number.
 

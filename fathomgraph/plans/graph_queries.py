@@ -272,7 +272,7 @@ WHERE b.depth - a.depth >= 2 AND from_id NOT IN (SELECT node FROM scc) AND to_id
 query(
     "blast_radius",
     _with("plinks gn calls", _HOT.replace("LIMIT 5", "LIMIT 20") + ",\nbr AS (SELECT id AS seed, id AS node FROM hot UNION SELECT br.seed, src FROM br JOIN plinks ON dst = br.node)", "SELECT seed AS id, count(*) - 1 AS blast FROM br GROUP BY 1"),
-)(lambda g: C.blast_radius(g.links(), g.hot(20).select(F.col("seed").alias("id"))))
+)(lambda g: C.blast_radius(g.links(), g.functions.select("id")))
 query("cohesion")(lambda g: C.cohesion(g.keep().edges, g.functions, g.modules))
 query("test_only_files")(lambda g: _test_only(g))
 

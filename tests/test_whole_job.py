@@ -28,3 +28,12 @@ def test_only_files_counts_imports_of_inner_symbols(spark, tmp_path):
     edges += [("u_f", "help_f", "Import"), ("t", "shared", "Import"), ("prod_f", "shared_f", "Import"), ("t", "lib", "Import")]
     # u: all of its functions are tests; help: only u's function imports its function; shared: production imports an inner symbol; lib: not a test path.
     assert run(spark, "test_only_files", graph_folder(spark, tmp_path, nodes, edges)) == [("help",), ("t",), ("u",)]
+
+
+def test_blast_radius_has_a_row_for_every_function(spark, tmp_path):
+    chain = [f"f{i:02d}" for i in range(25)]
+    ring = ["r0", "r1", "r2"]
+    nodes = [(i, "Function", {"path_repo_rel": "src/a.rs"}) for i in [*chain, *ring, "alone"]]
+    pairs = [*zip(chain, chain[1:]), *zip(ring, ring[1:] + ring[:1]), ("r0", "f00")]
+    want = {f: i + 3 for i, f in enumerate(chain)} | dict.fromkeys(ring, 2) | {"alone": 0}
+    assert run(spark, "blast_radius", graph_folder(spark, tmp_path, nodes, [(a, b, "Call") for a, b in pairs])) == sorted(want.items())
