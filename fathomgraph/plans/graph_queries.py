@@ -164,7 +164,7 @@ query(
     "call_cycles",
     _with("calls", _STEPS, """SELECT [x.a, x.b] AS cycle, 2 AS length FROM s x JOIN s y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b
 UNION ALL SELECT [x.a, x.b, y.b], 3 FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b"""),
-)(lambda g: I.simple_cycles(g.edges, 3))
+)(lambda g: I.simple_cycles(g.edges, 8))
 query(
     "resolve_symbol",
     graph("gn", """SELECT id, fqn, kind, ['fqn', 'id', 'suffix', 'part'][rule + 1] AS how FROM (SELECT *, min(rule) OVER () AS best FROM (SELECT id, fqn, kind, CASE WHEN fqn = 'decode' THEN 0 WHEN id = 'decode' THEN 1

@@ -37,3 +37,11 @@ def test_blast_radius_has_a_row_for_every_function(spark, tmp_path):
     pairs = [*zip(chain, chain[1:]), *zip(ring, ring[1:] + ring[:1]), ("r0", "f00")]
     want = {f: i + 3 for i, f in enumerate(chain)} | dict.fromkeys(ring, 2) | {"alone": 0}
     assert run(spark, "blast_radius", graph_folder(spark, tmp_path, nodes, [(a, b, "Call") for a, b in pairs])) == sorted(want.items())
+
+
+def test_call_cycles_up_to_eight(spark, tmp_path):
+    rings = [[f"{n}{i}" for i in range(n)] for n in range(2, 10)]
+    edges = [(a, b, "Call") for r in rings for a, b in zip(r, r[1:] + r[:1])] + [("80", "83", "Call")]
+    nodes = [(i, "Function", {}) for r in rings for i in r]
+    want = [(r, len(r)) for r in rings if len(r) <= 8] + [(["80", *rings[6][3:]], 6)]
+    assert run(spark, "call_cycles", graph_folder(spark, tmp_path, nodes, edges)) == sorted(want)
