@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.paths import folder_key
+from fathomgraph.functions.text_ids import clean_id
 from fathomgraph.operators import findings as N
 from fathomgraph.operators import git_signals as G
 from fathomgraph.operators import history as H
@@ -98,19 +99,19 @@ def _sizes(t) -> DataFrame:
 # Findings and scores: segments of a scan as findings, projects of the population as probes.
 
 def _findings(t) -> DataFrame:
-    number = F.pmod(F.conv(F.substring("graph_fingerprint", 1, 4), 16, 10).cast("int"), F.lit(4))
+    fingerprint = clean_id("graph_fingerprint")
+    number = F.pmod(F.conv(F.substring(fingerprint, 1, 4), 16, 10).cast("int"), F.lit(4))
     severity = F.element_at(F.array(*[F.lit(s) for s in N.SEVERITY_RANK]), number + 1)
-    return t("analysis_segment_cache").filter("graph_fingerprint is not null and segment_id is not null").select(F.col("segment_id").alias("type"), F.concat_ws("-", "segment_id", "scan_run_id", "graph_fingerprint").alias("id"), severity.alias("severity"), F.array("scan_run_id").alias("node_ids"), number.alias("number"))
+    return t("analysis_segment_cache").filter(fingerprint.isNotNull() & F.col("segment_id").isNotNull()).select(F.col("segment_id").alias("type"), F.concat_ws("-", "segment_id", "scan_run_id", fingerprint).alias("id"), severity.alias("severity"), F.array("scan_run_id").alias("node_ids"), number.alias("number"))
 
 
 _FINDINGS = """WITH f AS (SELECT segment_id AS type, segment_id || '-' || scan_run_id || '-' || graph_fingerprint AS id, ['Critical', 'High', 'Warning', 'Info'][n + 1] AS severity, 4 - n AS rank, scan_run_id AS node, n AS number
 FROM (SELECT *, ('0x' || trim(graph_fingerprint)[1:4])::INTEGER % 4 AS n FROM analysis_segment_cache WHERE graph_fingerprint IS NOT NULL AND segment_id IS NOT NULL AND regexp_matches(graph_fingerprint, '^[0-9a-fA-F]{4}')))"""
-_CLEAN = lambda t: _findings(t).filter("number is not null and id rlike '-[0-9a-fA-F]{4}[^-]*$'")
-query("capped_findings", _FINDINGS + ", r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rank DESC, id) AS k FROM f) SELECT type, id, severity, 0::BIGINT AS overflow FROM r WHERE k <= 10 UNION ALL SELECT type, type || '-overflow', 'Info', count(*) FROM r WHERE k > 10 GROUP BY type")(lambda t: N.capped(_CLEAN(t)))
+query("capped_findings", _FINDINGS + ", r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rank DESC, id) AS k FROM f) SELECT type, id, severity, 0::BIGINT AS overflow FROM r WHERE k <= 10 UNION ALL SELECT type, type || '-overflow', 'Info', count(*) FROM r WHERE k > 10 GROUP BY type")(lambda t: N.capped(_findings(t)))
 query("node_risk", _FINDINGS + """ SELECT node, CASE WHEN c + h >= 2 THEN 'Critical' WHEN c > 0 OR h + w >= 2 THEN 'High' WHEN h > 0 OR w > 0 THEN 'Warning' WHEN i > 0 THEN 'Info' END AS risk
-FROM (SELECT node, count(*) FILTER (rank = 4) AS c, count(*) FILTER (rank = 3) AS h, count(*) FILTER (rank = 2) AS w, count(*) FILTER (rank = 1) AS i FROM f GROUP BY 1)""")(lambda t: N.node_risk(_CLEAN(t)))
+FROM (SELECT node, count(*) FILTER (rank = 4) AS c, count(*) FILTER (rank = 3) AS h, count(*) FILTER (rank = 2) AS w, count(*) FILTER (rank = 1) AS i FROM f GROUP BY 1)""")(lambda t: N.node_risk(_findings(t)))
 query("priorities", _FINDINGS + " SELECT row_number() OVER (ORDER BY score DESC, rank DESC, id) AS place, id, score FROM (SELECT id, rank, rank * (1 + log2(number * 10 + 1)) * CASE WHEN number = 1 THEN 1.5 ELSE 1 END * CASE WHEN rank >= 3 THEN 1 ELSE 0.7 END * CASE WHEN type = 'Cycles' THEN 1.3 ELSE 1 END AS score FROM f) QUALIFY place <= 10")(
-    lambda t: N.priorities(_CLEAN(t).select("id", "severity", (F.col("number") * 10).alias("blast"), (F.col("number") == 1).alias("temporal"), F.when(N.severity_rank("severity") >= 3, "High").otherwise("Medium").alias("confidence"), (F.col("type") == "Cycles").alias("worsening")))
+    lambda t: N.priorities(_findings(t).select("id", "severity", (F.col("number") * 10).alias("blast"), (F.col("number") == 1).alias("temporal"), F.when(N.severity_rank("severity") >= 3, "High").otherwise("Medium").alias("confidence"), (F.col("type") == "Cycles").alias("worsening")))
 )
 _METRICS = ("dead_ratio", "cycle_ratio", "hotspot_concentration")
 query(
@@ -161,7 +162,7 @@ _PLACED = "p AS (SELECT DISTINCT lower(trim(id)) AS symbol, json_extract_string(
 
 
 def _placed(t) -> DataFrame:
-    from fathomgraph.functions.text_ids import clean_id, stripped
+    from fathomgraph.functions.text_ids import stripped
 
     place = F.from_json("location", "struct<file:string,start_line:int,end_line:int>")
     return t("nodes").filter(F.lower(stripped("kind")).isin("function", "struct", "interface")).select(clean_id("id").alias("symbol"), place["file"].alias("file"), place["start_line"].alias("start_line"), place["end_line"].alias("end_line")).filter("symbol is not null").distinct()

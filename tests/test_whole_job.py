@@ -45,3 +45,18 @@ def test_call_cycles_up_to_eight(spark, tmp_path):
     nodes = [(i, "Function", {}) for r in rings for i in r]
     want = [(r, len(r)) for r in rings if len(r) <= 8] + [(["80", *rings[6][3:]], 6)]
     assert run(spark, "call_cycles", graph_folder(spark, tmp_path, nodes, edges)) == sorted(want)
+
+
+def cache(spark, path, rows):
+    from datetime import datetime
+
+    data = [(run_, segment, fingerprint, datetime(2024, 1, day)) for run_, segment, fingerprint, day in rows]
+    spark.createDataFrame(data, "scan_run_id string, segment_id string, graph_fingerprint string, updated_at timestamp_ntz").write.parquet(str(path / "analysis_segment_cache.parquet"))
+    return str(path)
+
+
+def test_findings_of_fingerprints_with_blanks(spark, tmp_path):
+    folder = cache(spark, tmp_path, [("r1", "Cycles", " 0000AB", 1), ("r1", "DeadCode", "0001cd ", 1), ("r2", "Cycles", "\t0003ef", 1), ("r3", "Cycles", "  ", 1)])
+    assert run(spark, "capped_findings", folder) == [("Cycles", "Cycles-r1-0000ab", "Critical", 0), ("Cycles", "Cycles-r2-0003ef", "Info", 0), ("DeadCode", "DeadCode-r1-0001cd", "High", 0)]
+    assert run(spark, "node_risk", folder) == [("r1", "Critical"), ("r2", "Info")]
+    assert len(run(spark, "priorities", folder)) == 3
