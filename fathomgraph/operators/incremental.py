@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomgraph.functions.text_ids import clean_id
+from fathomgraph.operators.snapshot_diff import run_order
+
 
 def content_hash(c: Column | str) -> Column:
     return F.sha2(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), 256)
@@ -71,6 +74,13 @@ def trust_level(changed: int, total: int, structure_changed: bool, forced: bool
     return "L3" if structure_changed else "L2"
 
 
-def reusable_segments(cache: DataFrame, fingerprints: DataFrame) -> DataFrame:
-    """Rows of cache whose (segment_id, graph_fingerprint) is in fingerprints: what need not be computed again."""
-    return cache.join(fingerprints, ["segment_id", "graph_fingerprint"], "left_semi")
+def reusable_segments(cache: DataFrame, scan_runs: DataFrame) -> DataFrame:
+    """(scan_run_id, segment_id, graph_fingerprint): segments of completed runs whose fingerprint is that of the completed run before: what need not be computed again.
+
+    Fingerprints compare trimmed and lower-cased; of a segment that a run holds several times, the row updated last counts.
+    """
+    newest = F.max(F.struct("updated_at", clean_id("graph_fingerprint").alias("f")))["f"]
+    held = cache.filter("segment_id is not null").groupBy("scan_run_id", "segment_id").agg(newest.alias("graph_fingerprint")).filter("graph_fingerprint is not null")
+    before = run_order(scan_runs).filter("next_run is not null").select("scan_run_id", "next_run")
+    old = held.join(before, "scan_run_id").select(F.col("next_run").alias("scan_run_id"), "segment_id", "graph_fingerprint")
+    return held.join(old, ["scan_run_id", "segment_id", "graph_fingerprint"], "left_semi")

@@ -148,7 +148,7 @@ query("upsert_last_writer", "SELECT user_id, arg_max(event_type, (ts, event_id))
     lambda t: U.upsert(t("events").filter("event_id % 2 = 0").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("v")), t("events").filter("event_id % 2 = 1").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("v")), ["user_id"], "v").select("user_id", "v.event_type", "v.ts")
 )
 query("reusable_segments", "SELECT DISTINCT segment_id, graph_fingerprint FROM analysis_segment_cache WHERE (segment_id, graph_fingerprint) IN (SELECT (segment_id, graph_fingerprint) FROM analysis_segment_cache WHERE segment_id = 'Cycles')")(
-    lambda t: U.reusable_segments(t("analysis_segment_cache"), t("analysis_segment_cache").filter("segment_id = 'Cycles'").select("segment_id", "graph_fingerprint").distinct()).select("segment_id", "graph_fingerprint").distinct()
+    lambda t: U.reusable_segments(t("analysis_segment_cache"), t("scan_runs"))
 )
 
 # Progress events

@@ -60,3 +60,13 @@ def test_findings_of_fingerprints_with_blanks(spark, tmp_path):
     assert run(spark, "capped_findings", folder) == [("Cycles", "Cycles-r1-0000ab", "Critical", 0), ("Cycles", "Cycles-r2-0003ef", "Info", 0), ("DeadCode", "DeadCode-r1-0001cd", "High", 0)]
     assert run(spark, "node_risk", folder) == [("r1", "Critical"), ("r2", "Info")]
     assert len(run(spark, "priorities", folder)) == 3
+
+
+def test_reusable_segments_of_consecutive_runs(spark, tmp_path):
+    from datetime import datetime
+
+    runs = [(r, "p", datetime(2024, 1, day), status) for r, day, status in [("r1", 1, "completed"), ("rx", 2, "failed"), ("r2", 3, " Completed"), ("r3", 4, "completed")]]
+    spark.createDataFrame(runs, "id string, project_id string, started_at timestamp_ntz, status string").write.parquet(str(tmp_path / "scan_runs.parquet"))
+    rows = [("r1", "Cycles", "aa", 1), ("r1", "DeadCode", " BB", 1), ("rx", "Cycles", "cc", 2), ("r2", "Cycles", "AA ", 3), ("r2", "DeadCode", "bb", 3), ("r3", "Cycles", "cc", 4), ("r3", "DeadCode", "zz", 4), ("r3", "DeadCode", "bb", 5)]
+    want = [("r2", "Cycles", "aa"), ("r2", "DeadCode", "bb"), ("r3", "DeadCode", "bb")]
+    assert run(spark, "reusable_segments", cache(spark, tmp_path, rows)) == want
