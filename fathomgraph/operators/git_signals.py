@@ -72,17 +72,14 @@ def churn(commits: DataFrame, now: str) -> DataFrame:
     return out.select("*", (F.col("last_touched_days") <= 30).alias("active_recent"), (F.col("changes") >= 5).alias("high_churn"), ((F.col("authors") >= 3) & (F.col("dispersion") >= 0.5)).alias("shared_ownership"))
 
 
-def clusters(commits: DataFrame, least: int = 3, max_files: int = 50) -> DataFrame:
-    """(files, n): sets of files that exactly recur in commits, and pairs that recur outside of such a set.
-
-    A commit counts with its first max_files files by name.
-    """
-    sets = commits.filter("file is not null").groupBy("commit").agg(F.slice(F.array_sort(F.collect_set("file")), 1, max_files).alias("files")).filter(F.size("files") > 1)
+def clusters(commits: DataFrame, least: int = 3) -> DataFrame:
+    """(files, n): sets of files that exactly recur in commits, and pairs that recur outside of such a set. Commits count with all of their files."""
+    sets = commits.filter("file is not null").groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files")).filter(F.size("files") > 1)
     exact = sets.groupBy("files").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
     def pairs(df: DataFrame) -> DataFrame:
         a = df.select("files", F.posexplode("files").alias("at", "a"))
-        return a.select("a", F.explode(F.slice("files", F.col("at") + 2, F.lit(max_files))).alias("b"))
+        return a.select("a", F.explode(F.slice("files", F.col("at") + 2, F.size("files"))).alias("b"))
 
     often = pairs(sets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     rest = often.join(pairs(exact).distinct(), ["a", "b"], "left_anti").select(F.array("a", "b").alias("files"), "n")

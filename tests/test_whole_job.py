@@ -70,3 +70,11 @@ def test_reusable_segments_of_consecutive_runs(spark, tmp_path):
     rows = [("r1", "Cycles", "aa", 1), ("r1", "DeadCode", " BB", 1), ("rx", "Cycles", "cc", 2), ("r2", "Cycles", "AA ", 3), ("r2", "DeadCode", "bb", 3), ("r3", "Cycles", "cc", 4), ("r3", "DeadCode", "zz", 4), ("r3", "DeadCode", "bb", 5)]
     want = [("r2", "Cycles", "aa"), ("r2", "DeadCode", "bb"), ("r3", "DeadCode", "bb")]
     assert run(spark, "reusable_segments", cache(spark, tmp_path, rows)) == want
+
+
+def test_clusters_of_commits_of_more_than_fifty_files(spark):
+    from fathomgraph.operators import git_signals as G
+
+    names = [f"f{i:02d}" for i in range(51)]
+    data = [(c, f) for c in ("c1", "c2", "c3") for f in names] + [("d", f) for f in [*names[:50], "other"]]
+    assert [(r.files, r.n) for r in G.clusters(spark.createDataFrame(data, "commit string, file string")).collect() if len(r.files) > 2] == [(names, 3)]
