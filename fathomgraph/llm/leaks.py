@@ -169,19 +169,22 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     searched. Items beyond ITEMS_AN_INDEX take one more pass over documents for each further index, so that a worker's memory
     is bounded and no item is dropped.
     """
-    items = eval_items.select("item_id", F.col("passage").cast("string"), F.col("answer").cast("string"))
+    items = eval_items.select("item_id", F.col("passage").cast("string"), F.col("answer").cast("string")).distinct()
     if items.limit(ITEMS_AN_INDEX + 1).count() <= ITEMS_AN_INDEX:
         return _leaks_of(documents, items)
     shards = -(-items.count() * 2 // ITEMS_AN_INDEX)
     out = None
     for k in range(shards):
-        part = _leaks_of(documents, items.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(shards)) == k))
+        part = _leaks_of(documents, items.filter(F.pmod(F.xxhash64("item_id", "passage", "answer"), F.lit(shards)) == k))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("answer_found").alias("answer_found"))
 
 
 def _leaks_of(documents: DataFrame, items: DataFrame) -> DataFrame:
-    rows = sorted({(r[0], r[1], r[2]) for r in items.limit(ITEMS_AN_INDEX * 2).collect()}, key=repr)
+    taken = items.limit(ITEMS_AN_INDEX * 2 + 1).collect()
+    if len(taken) > ITEMS_AN_INDEX * 2:
+        raise RuntimeError(f"more than {ITEMS_AN_INDEX * 2} items for one index")
+    rows = sorted({(r[0], r[1], r[2]) for r in taken}, key=repr)
     names, passages, answers = ([r[k] for r in rows] for k in range(3))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
