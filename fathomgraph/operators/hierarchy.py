@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.text_ids import clean_id, edge_kind, maybe_kind
-from fathomgraph.operators.orphans import hot_slots
+from fathomgraph.operators.skew import hot_slots
 from fathomgraph.plans.shared import kept
 
 ON_CYCLE, BELOW_CYCLE = -1, -2

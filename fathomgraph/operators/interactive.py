@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.paths import evidence_tier, ranked_tier, tier_rank
+from fathomgraph.operators.skew import sized_join
 from fathomgraph.plans.shared import kept
 
 #: Names too common to search for as part of a name.
@@ -25,10 +26,23 @@ def top_fan(edges: DataFrame, nodes: DataFrame, side: str = "to_id", limit: int
     return nodes.filter("kind = 'Function'").select("id", "fqn").join(n, "id").orderBy(F.col("n").desc(), "fqn", "id").limit(limit)
 
 
+FEW = 500
+
+
+def calls_at(edges: DataFrame, own: str, ids: DataFrame) -> DataFrame:
+    """The calls whose end `own` is among the distinct ids(id). Few ids become a filter that reaches the scan; a small table of them is broadcast;
+    otherwise much-used ends are spread."""
+    ids = kept(ids.select("id").distinct())
+    few = [r.id for r in ids.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        return calls(edges).filter(F.col(own).isin(*few))
+    return sized_join(calls(edges), ids.select(F.col("id").alias(own)), own)
+
+
 def neighbours(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, direction: str) -> DataFrame:
     """(seed, id, fqn, kind, tier): callers ('in') or callees ('out') of each row of seeds(seed), in one join for all of them."""
     own, other = ("to_id", "from_id") if direction == "in" else ("from_id", "to_id")
-    met = calls(edges).join(seeds.select(F.col("seed").alias(own)), own).select(F.col(own).alias("seed"), F.col(other).alias("id"), evidence_tier("source").alias("tier"))
+    met = calls_at(edges, own, seeds.select(F.col("seed").alias("id"))).select(F.col(own).alias("seed"), F.col(other).alias("id"), evidence_tier("source").alias("tier"))
     return met.join(nodes.select("id", "fqn", "kind"), "id").select("seed", "id", "fqn", "kind", "tier")
 
 
@@ -58,11 +72,11 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "in", max_depth:
     (seed, node) pairs and drops pairs met before.
     """
     near, far = ("to_id", "from_id") if direction == "in" else ("from_id", "to_id")
-    steps = kept(calls(edges).select(F.col(near).alias("node"), F.col(far).alias("next"), tier_rank(evidence_tier("source")).alias("rank")))
     frontier = kept(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.lit(0).alias("rank")))
     visited = [frontier]
     for depth in range(1, max_depth + 1):
-        met = frontier.select("seed", "node").join(steps, "node").groupBy("seed", F.col("next").alias("node")).agg(F.max("rank").alias("rank"))
+        steps = calls_at(edges, near, frontier.select(F.col("node").alias("id"))).select(F.col(near).alias("node"), F.col(far).alias("next"), tier_rank(evidence_tier("source")).alias("rank"))
+        met = sized_join(steps, frontier.select("seed", "node"), "node").groupBy("seed", F.col("next").alias("node")).agg(F.max("rank").alias("rank"))
         seen = visited[0].select("seed", "node")
         for v in visited[1:]:
             seen = seen.unionByName(v.select("seed", "node"))
@@ -88,10 +102,10 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 1
     spark = edges.sparkSession
     if source == target:
         return spark.createDataFrame([(0, source)], "step int, id string")
-    steps = kept(calls(edges).select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct())
     frontier = spark.createDataFrame([(source, [source])], "node string, path array<string>")
     visited = frontier.select("node")
     for _ in range(max_depth):
+        steps = calls_at(edges, "from_id", frontier.select(F.col("node").alias("id"))).select(F.col("from_id").alias("node"), F.col("to_id").alias("next")).distinct()
         met = frontier.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min(F.concat("path", F.array("next"))).alias("path"))
         frontier = kept(met.join(visited, "node", "left_anti"))
         hit = frontier.filter(F.col("node") == target)
@@ -128,7 +142,7 @@ def simple_cycles(edges: DataFrame, max_length: int = 4, limit: int | None = Non
 
 
 def is_too_generic(seed: str) -> bool:
-    return not any(mark in seed for mark in ("::", ".", "(")) and (len(seed) < 6 or seed.lower() in GENERIC_NAMES)
+    return not any(mark in seed for mark in ("::", ".", "(")) and (len(seed) < 6 or seed in GENERIC_NAMES)
 
 
 def resolve_symbol(nodes: DataFrame, needle: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Metrics of functions and modules that need no iteration.
 
 `functions`, `edges` and `modules` are rows of subsets.functions, graph.graph_edges (or one of its subsets), and
-subsets.analysis_modules(id, module). Module metrics join each end's module once and aggregate before any further join.
+subsets.analysis_modules(id, module). Module metrics read module_edges (`between`), where each end has met its module once, and aggregate before any further join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomgraph.operators.skew import running_sums, sized_join
+from fathomgraph.plans.shared import kept
 from fathomgraph.sources.graph import is_call_like, is_structural
 
 
@@ -53,12 +55,13 @@ def fan(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def ranked_value(values: DataFrame, column: str, index: Column) -> DataFrame:
     """One row (threshold): the value at a 0-based index, given as an expression of n, in ascending order; null if there are no values.
 
-    Equal values are counted first, so the one ordered window runs over distinct values alone.
+    Equal values are counted first; the distinct ones are summed range by range.
     """
-    counted = values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    through = counted.select("v", "c", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("through"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    counted = kept(values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    through = running_sums(counted, [], ["v"], "c", "through")
+    n = counted.agg(F.sum("c").alias("n"))
     at = F.least(index, F.col("n") - 1)
-    return through.filter((F.col("through") > at) & (F.col("through") - F.col("c") <= at)).agg(F.max("v").alias("threshold"))
+    return through.join(F.broadcast(n)).filter((F.col("through") > at) & (F.col("through") - F.col("c") <= at)).agg(F.max("v").alias("threshold"))  # one row
 
 
 def hotspots(fans: DataFrame, functions: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -85,14 +88,16 @@ def layer_exclusion_threshold(fans: DataFrame, t: Thresholds = DEFAULTS) -> Data
 
 
 def module_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:
-    """(from_id, to_id, kind, confidence, from_module, to_module) of structural edges; modules are null where unknown."""
+    """(from_id, to_id, kind, confidence, from_module, to_module) of structural edges; modules are null where unknown. Much-used ends are spread."""
+    modules = kept(modules)
     a, b = modules.select(F.col("id").alias("from_id"), F.col("module").alias("from_module")), modules.select(F.col("id").alias("to_id"), F.col("module").alias("to_module"))
-    return edges.filter(is_structural()).join(a, "from_id", "left").join(b, "to_id", "left").select("from_id", "to_id", "kind", "confidence", "from_module", "to_module")
+    met = sized_join(edges.filter(is_structural()), a, "from_id", "left")
+    return sized_join(met, b, "to_id", "left").select("from_id", "to_id", "kind", "confidence", "from_module", "to_module")
 
 
-def coupling(edges: DataFrame, modules: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+def coupling(between: DataFrame, modules: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """(module, members, internal_edges, external_edges, score): of modules with enough members and any edge. score is external over all."""
-    between = module_edges(edges, modules).groupBy("from_module", "to_module").agg(F.count(F.lit(1)).alias("n"))
+    between = between.groupBy("from_module", "to_module").agg(F.count(F.lit(1)).alias("n"))
     inside = F.coalesce(F.col("from_module") == F.col("to_module"), F.lit(False))
     sides = between.select(
         F.explode(F.when(inside, F.array(F.struct(F.col("from_module").alias("module"), F.col("n").alias("i"), F.lit(0).alias("x")))).otherwise(F.array(*[F.struct(F.col(m).alias("module"), F.lit(0).alias("i"), F.col("n").alias("x")) for m in ("from_module", "to_module")]))).alias("s")
@@ -102,9 +107,9 @@ def coupling(edges: DataFrame, modules: DataFrame, t: Thresholds = DEFAULTS) ->
     return members.join(counts, "module").withColumn("score", F.col("external_edges") / (F.col("internal_edges") + F.col("external_edges")))
 
 
-def instability(edges: DataFrame, modules: DataFrame) -> DataFrame:
+def instability(between: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, ca, ce, instability): distinct other modules that depend on it, and that it depends on; ce / (ca + ce), 0 without either."""
-    pairs = module_edges(edges, modules).filter("from_module != to_module").select("from_module", "to_module").distinct()
+    pairs = between.filter("from_module != to_module").select("from_module", "to_module").distinct()
     ce = pairs.groupBy(F.col("from_module").alias("module")).agg(F.count(F.lit(1)).alias("ce"))
     ca = pairs.groupBy(F.col("to_module").alias("module")).agg(F.count(F.lit(1)).alias("ca"))
     every = modules.select("module").distinct().join(ca, "module", "left").join(ce, "module", "left").na.fill(0)
@@ -126,16 +131,16 @@ def main_sequence(unstable: DataFrame, abstract: DataFrame) -> DataFrame:
     return unstable.select("module", "instability").join(abstract.select("module", "abstractness"), "module").select("module", "instability", "abstractness", d.alias("distance"), zone.alias("zone"))
 
 
-def api_surface(edges: DataFrame, functions: DataFrame, modules: DataFrame) -> DataFrame:
+def api_surface(between: DataFrame, functions: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, functions, exposed, api_surface): the share of a module's functions that a structural edge from another module reaches."""
-    reached = module_edges(edges, modules).filter("to_module is not null and not (from_module <=> to_module)").select(F.col("to_id").alias("id")).distinct().withColumn("exposed", F.lit(1))
+    reached = between.filter("to_module is not null and not (from_module <=> to_module)").select(F.col("to_id").alias("id")).distinct().withColumn("exposed", F.lit(1))
     own = modules.join(functions.select("id"), "id", "left_semi").join(reached, "id", "left")
     return own.groupBy("module").agg(F.count(F.lit(1)).alias("functions"), F.count("exposed").alias("exposed")).withColumn("api_surface", F.col("exposed") / F.col("functions"))
 
 
-def hub_scores(edges: DataFrame, functions: DataFrame, modules: DataFrame) -> DataFrame:
+def hub_scores(between: DataFrame, functions: DataFrame, modules: DataFrame) -> DataFrame:
     """(id, source_modules, target_modules, hub_score): distinct other modules that reach a function, times those it reaches, over the square of all modules."""
-    met = module_edges(edges, modules).filter("from_module != to_module")
+    met = between.filter("from_module != to_module")
     into = met.select(F.col("to_id").alias("id"), F.col("from_module").alias("m")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("source_modules"))
     out = met.select(F.col("from_id").alias("id"), F.col("to_module").alias("m")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("target_modules"))
     n = modules.select("module").distinct().agg(F.count(F.lit(1)).alias("modules"))

@@ -12,24 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.text_ids import clean_id
+from fathomgraph.operators.skew import hot_slots
 
 FOREVER = "timestamp_ntz'9999-12-31 23:59:59'"
 
 
-def hot_slots(keys: DataFrame, parts: int) -> DataFrame:
-    """(id, slots) of the ids with more rows than a fair share of `parts` tasks: at most 4 * parts rows.
-
-    keys: one column id, nulls left out. Partial counts come before the shuffle.
-    """
-    counts = keys.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return (
-        counts.join(F.broadcast(total), F.col("n") * 4 * parts > F.col("total"))  # one row
-        .filter("n > 1000")
-        .select("id", F.ceil(F.col("n") * 4 * parts / F.col("total")).cast("int").alias("slots"))
-    )
-
-
 def orphans(refs: DataFrame, parents: DataFrame, parts: int | None = None) -> DataFrame:
     """The references whose parent did not exist at their time, with the reason.
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.paths import folder_key, is_non_production_path, without_build_dirs
 from fathomgraph.sources.graph import is_structural
-from fathomgraph.plans.shared import kept
+from fathomgraph.operators.skew import without
+from fathomgraph.plans.shared import Rounds, kept
 
 
 def containment_parents(edges: DataFrame) -> DataFrame:
@@ -21,19 +20,28 @@ def containment_parents(edges: DataFrame) -> DataFrame:
 def nearest_ancestor(values: DataFrame, parents: DataFrame) -> DataFrame:
     """(node, value): of each node of values(node, value) the value of the nearest node at or above it that has one; null if there is none.
 
-    parents(node, parent). The steps double, and only nodes still without a value take part; a chain of
-    such nodes is no longer than they are many, which bounds the rounds. Nodes on cycles without a value end with null.
+    parents(node, parent). Nodes with a value, or whose parent has one, are done in one join. The others point at each other alone: they
+    follow their pointers in doubling steps, without the rest of the table. Distances met have no gaps, so a round in which none ends
+    is the last; the nodes left then are on or below cycles without a value, and end with null.
     """
-    open_ = "value is null and up is not null"
-    state = kept(values.join(parents, "node", "left").select("node", "value", F.col("parent").alias("up")))
-    count = state.filter(open_).count()
-    for _ in range(math.ceil(math.log2(count + 1)) + 1 if count else 0):
-        via = state.select(F.col("node").alias("up"), F.col("value").alias("found"), F.col("up").alias("next"))
-        moved = state.filter(open_).join(via, "up", "left").select("node", F.col("found").alias("value"), F.when(F.col("found").isNull(), F.col("next")).alias("up"))
-        state = kept(state.filter(f"not ({open_})").unionByName(moved))
-        if state.filter(open_).isEmpty():
+    own = values.filter("value is not null")
+    above = values.select(F.col("node").alias("parent"), F.col("value").alias("found"), F.lit(True).alias("there"))
+    linked = values.filter("value is null").select("node").join(parents, "node", "left")
+    first = kept(linked.join(above, "parent", "left").select("node", F.col("found").alias("value"), F.when(F.col("found").isNull() & F.col("there"), F.col("parent")).alias("up")))
+    ended = first.filter("up is null").select("node", "value")
+    near = ended.select(F.col("node").alias("up"), F.col("value").alias("far"), F.lit(True).alias("met"))
+    state = kept(first.filter("up is not null").join(near, "up", "left").select("node", F.col("far").alias("value"), F.when(F.col("met").isNull(), F.col("up")).alias("up")))
+    rounds, open_ = Rounds(), "up is not null"
+    left = state.filter(open_).count()
+    while left:
+        via = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("value").alias("far"))
+        moved = state.filter(open_).join(via, "up").select("node", F.col("far").alias("value"), F.when(F.col("far").isNull(), F.col("next")).alias("up"))
+        state = rounds.kept(state.filter("up is null").unionByName(moved))
+        still = state.filter(open_).count()
+        if still == left:
             break
-    return state.select("node", "value")
+        left = still
+    return own.select("node", "value").unionByName(ended).unionByName(state.select("node", "value"))
 
 
 def file_index(nodes: DataFrame) -> DataFrame:
@@ -54,11 +62,15 @@ def node_paths(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     return first.join(above, "node").select(F.col("node").alias("id"), F.coalesce("path", "value").alias("path"))
 
 
-def analysis_modules(nodes: DataFrame, parents: DataFrame, depth: int = 2, strip_build: bool = False) -> DataFrame:
-    """(id, module): the folder key of each node's path; nodes without a path have no row."""
+def modules_of(paths: DataFrame, depth: int = 2, strip_build: bool = False) -> DataFrame:
+    """(id, module): the folder key of each row of paths(id, path); nodes without a path have no row."""
     path = F.col("path")
-    key = folder_key(without_build_dirs(path) if strip_build else path, depth)
-    return node_paths(nodes, parents).select("id", key.alias("module")).filter("module is not null")
+    return paths.select("id", folder_key(without_build_dirs(path) if strip_build else path, depth).alias("module")).filter("module is not null")
+
+
+def analysis_modules(nodes: DataFrame, parents: DataFrame, depth: int = 2, strip_build: bool = False) -> DataFrame:
+    """modules_of the nodes' own, file's or containers' paths."""
+    return modules_of(node_paths(nodes, parents), depth, strip_build)
 
 
 def classifying_files(nodes: DataFrame, parents: DataFrame) -> DataFrame:
@@ -71,7 +83,7 @@ def classifying_files(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     return nodes.select("id").join(by_file, "id", "left").join(above.withColumnRenamed("node", "id"), "id").select("id", F.coalesce("file_id", "value").alias("class_id"))
 
 
-def non_production(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+def non_production(nodes: DataFrame, parents: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(id, is_non_production, in_test_file, class_path): by the node's and its classifying file's flags and paths."""
     files = nodes.select(
         F.col("id").alias("class_id"),
@@ -80,23 +92,26 @@ def non_production(nodes: DataFrame, parents: DataFrame) -> DataFrame:
         F.coalesce("path_repo_rel", "file").alias("class_path"),
     )
     own = F.col("is_test") | F.coalesce(is_non_production_path("path_repo_rel"), F.lit(False)) | is_non_production_path("id")
-    marked = nodes.select("id", own.alias("own_not")).join(classifying_files(nodes, parents), "id").join(files, "class_id", "left")
+    classes = classifying_files(nodes, parents) if classes is None else classes
+    marked = nodes.select("id", own.alias("own_not")).join(classes, "id").join(files, "class_id", "left")
     no = F.lit(False)
     return marked.select("id", (F.col("own_not") | F.coalesce("class_not", no)).alias("is_non_production"), F.coalesce("class_test", no).alias("in_test_file"), "class_path")
 
 
 def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Structural edges without a synthetic end."""
-    made_up = nodes.filter("synthetic").select("id")
-    return edges.filter(is_structural()).join(made_up.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(made_up.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+    return without(edges.filter(is_structural()), nodes.filter("synthetic").select("id"), ["from_id", "to_id"])
+
 
+def production_edges(edges: DataFrame, nodes: DataFrame, high_only: bool = False, outside: DataFrame | None = None) -> DataFrame:
+    """Clean edges between production nodes; high_only: of high confidence alone.
 
-def production_edges(edges: DataFrame, nodes: DataFrame, high_only: bool = False) -> DataFrame:
-    """Clean edges between production nodes; high_only: of high confidence alone."""
-    outside = non_production(nodes, containment_parents(edges)).filter("is_non_production").select("id")
-    clean = clean_edges(edges, nodes)
-    kept_edges = clean.join(outside.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(outside.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-    return kept_edges.filter("confidence = 'High'") if high_only else kept_edges
+    Structural edges lose the ends that are left out, all at once: synthetic nodes, and those of outside (non_production's rows).
+    """
+    outside = non_production(nodes, containment_parents(edges)) if outside is None else outside
+    gone = nodes.filter("synthetic").select("id").unionByName(outside.filter("is_non_production").select("id"))
+    rows = without(edges.filter(is_structural()), gone, ["from_id", "to_id"])
+    return rows.filter("confidence = 'High'") if high_only else rows
 
 
 def functions(nodes: DataFrame) -> DataFrame:

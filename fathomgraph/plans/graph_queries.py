@@ -17,73 +17,20 @@ from fathomgraph.operators import quality as Y
 from fathomgraph.operators import subsets as S
 from fathomgraph.operators import template as T
 from fathomgraph.operators.incremental import structure_fingerprint
+from fathomgraph.operators.skew import sized_join
+from fathomgraph.plans.code_graph import Graph
 from fathomgraph.plans.graph_sql import graph, outside_path
 from fathomgraph.plans.shared import kept
 from fathomgraph.plans.sql_parts import sql_edge_kind
-from fathomgraph.sources.graph import graph_edges, graph_nodes, is_call_like, unknown_edge_kinds
-from fathomgraph.sources.tables import table
+from fathomgraph.sources.graph import is_call_like, unknown_edge_kinds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-class Graph:
-    """The graph of one data folder, and what most queries derive from it."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
-        self.raw_edges = table(spark, folder, "edges")
-        self.nodes = graph_nodes(table(spark, folder, "nodes"))
-        self.edges = graph_edges(self.raw_edges, self.nodes)
-        self._kept = False
-
-    def keep(self) -> Graph:
-        """For what reads the graph more than twice: its typed rows are written once, instead of parsed and merged again each time."""
-        if not self._kept:
-            self.nodes, self._kept = kept(self.nodes), True
-            self.edges = kept(graph_edges(self.raw_edges, self.nodes))
-        return self
-
-    @property
-    def parents(self) -> DataFrame:
-        return S.containment_parents(self.edges)
-
-    @property
-    def modules(self) -> DataFrame:
-        self.keep()
-        return S.analysis_modules(self.nodes, self.parents)
-
-    @property
-    def functions(self) -> DataFrame:
-        return S.functions(self.nodes)
-
-    @property
-    def fans(self) -> DataFrame:
-        return M.fan(self.edges, self.nodes)
-
-    @property
-    def outside(self) -> DataFrame:
-        self.keep()
-        return S.non_production(self.nodes, self.parents)
-
-    @property
-    def production_functions(self) -> DataFrame:
-        return self.functions.join(self.outside.filter("not is_non_production").select("id"), "id", "left_semi")
-
-    def links(self, call_like: bool = False) -> DataFrame:
-        self.keep()
-        e = S.production_edges(self.edges, self.nodes)
-        e = e.filter(is_call_like()) if call_like else e
-        return e.filter("from_id != to_id").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
-
-    def hot(self, n: int = 1) -> DataFrame:
-        """(seed): the functions with most callers."""
-        return I.top_fan(self.edges, self.nodes, limit=n).select(F.col("id").alias("seed"))
-
-
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[Graph], DataFrame]):
-        QUERIES[name] = lambda s, d: f(Graph(s, d))
+        QUERIES[name] = lambda s, d: f(Graph.of(s, d))
         if sql:
             SQL[name] = sql
         return f
@@ -99,12 +46,12 @@ query("load_nodes", graph("gn", "SELECT id, kind, fqn, name, file, start_line, e
 query("load_edges", graph("ge", "SELECT from_id, to_id, kind, source, confidence FROM ge"))(lambda g: g.edges.select("from_id", "to_id", "kind", "source", "confidence"))
 query("unknown_edge_kinds", graph("ge", "SELECT kind AS kind_text, count(*) AS n FROM edges WHERE {} IS NULL GROUP BY 1").replace("{}", sql_edge_kind("kind")))(lambda g: unknown_edge_kinds(g.raw_edges))
 query("containment_parent", graph("par", "SELECT * FROM par"))(lambda g: g.parents)
-query("node_paths", graph("paths", "SELECT id, path FROM paths"))(lambda g: S.node_paths(g.keep().nodes, g.parents))
+query("node_paths", graph("paths", "SELECT id, path FROM paths"))(lambda g: g.paths)
 query("analysis_modules", graph("mods", "SELECT * FROM mods"))(lambda g: g.modules)
-query("classification_of", graph("cls", "SELECT * FROM cls"))(lambda g: S.classifying_files(g.keep().nodes, g.parents))
+query("classification_of", graph("cls", "SELECT * FROM cls"))(lambda g: g.classes)
 query("non_production", graph("outside", "SELECT id, is_non_production, in_test_file FROM outside"))(lambda g: g.outside.select("id", "is_non_production", "in_test_file"))
-query("production_edges", graph("prod", "SELECT from_id, to_id, kind, confidence FROM prod"))(lambda g: S.production_edges(g.keep().edges, g.nodes).select("from_id", "to_id", "kind", "confidence"))
-query("high_confidence_edges", graph("prod", "SELECT from_id, to_id, kind FROM prod WHERE confidence = 'High'"))(lambda g: S.production_edges(g.keep().edges, g.nodes, high_only=True).select("from_id", "to_id", "kind"))
+query("production_edges", graph("prod", "SELECT from_id, to_id, kind, confidence FROM prod"))(lambda g: g.production.select("from_id", "to_id", "kind", "confidence"))
+query("high_confidence_edges", graph("prod", "SELECT from_id, to_id, kind FROM prod WHERE confidence = 'High'"))(lambda g: g.production.filter("confidence = 'High'").select("from_id", "to_id", "kind"))
 query("validate_edges", graph("gn", "SELECT coalesce(k, 'unknown') AS kind, count(*) AS n FROM (SELECT DISTINCT nullif(lower(trim(from_id)), '') AS f, nullif(lower(trim(to_id)), '') AS t, {} AS k FROM edges) WHERE f IS NOT NULL AND t IS NOT NULL AND (f NOT IN (SELECT id FROM gn) OR t NOT IN (SELECT id FROM gn)) GROUP BY 1").replace("{}", sql_edge_kind("kind")))(
     lambda g: _dangling(g)
 )
@@ -122,10 +69,11 @@ def _dangling(g: Graph) -> DataFrame:
 # Interactive questions
 
 _TOP = "SELECT id, fqn, n FROM gn JOIN (SELECT {side} AS id, count(*) AS n FROM calls GROUP BY 1) USING (id) WHERE kind = 'Function' {having} ORDER BY n DESC, fqn, id LIMIT {limit}"
-query("top_fan_in", graph("gn calls", _TOP.format(side="to_id", having="", limit=20)))(lambda g: I.top_fan(g.edges, g.nodes))
-query("top_fan_out", graph("gn calls", _TOP.format(side="from_id", having="", limit=20)))(lambda g: I.top_fan(g.edges, g.nodes, "from_id"))
-query("call_hotspots", graph("gn calls", _TOP.format(side="to_id", having="AND n >= 10", limit=1_000_000)))(lambda g: I.top_fan(g.edges, g.nodes, at_least=10, limit=1_000_000))
+query("top_fan_in", graph("gn calls", _TOP.format(side="to_id", having="", limit=20)))(lambda g: I.top_fan(g.calls_in, g.nodes))
+query("top_fan_out", graph("gn calls", _TOP.format(side="from_id", having="", limit=20)))(lambda g: I.top_fan(g.calls_out, g.nodes, "from_id"))
+query("call_hotspots", graph("gn calls", _TOP.format(side="to_id", having="AND n >= 10", limit=1_000_000)))(lambda g: I.top_fan(g.calls_in, g.nodes, at_least=10, limit=1_000_000))
 _HOT = "hot AS (" + _TOP.format(side="to_id", having="", limit=5).replace("SELECT id, fqn, n", "SELECT id") + ")"
+_HOT_OUT = _HOT.replace("SELECT to_id AS id, count(*)", "SELECT from_id AS id, count(*)")
 _TIER = "CASE {c} WHEN 'TreeSitter' THEN 'tier_0' WHEN 'Heuristic' THEN 'tier_1' WHEN 'Lsp' THEN 'tier_3' END"
 
 
@@ -133,9 +81,9 @@ def _with(names: str, more: str, body: str) -> str:
     return graph(names, "").rstrip() + ",\n" + more + "\n" + body
 
 
-query("callers", _with("gn calls", _HOT, f"SELECT to_id AS seed, from_id AS id, n.fqn, n.kind, {_TIER.format(c='c.source')} AS tier FROM calls c JOIN hot ON c.to_id = hot.id JOIN gn n ON c.from_id = n.id"))(lambda g: I.neighbours(g.edges, g.nodes, g.hot(5), "in"))
-query("callees", _with("gn calls", _HOT, f"SELECT from_id AS seed, to_id AS id, n.fqn, n.kind, {_TIER.format(c='c.source')} AS tier FROM calls c JOIN hot ON c.from_id = hot.id JOIN gn n ON c.to_id = n.id"))(lambda g: I.neighbours(g.edges, g.nodes, g.hot(5), "out"))
-query("uncalled_functions", graph("gn calls", "SELECT id, fqn FROM gn WHERE kind = 'Function' AND NOT EXISTS (SELECT 1 FROM calls WHERE to_id = id)"))(lambda g: I.uncalled_functions(g.edges, g.nodes))
+query("callers", _with("gn calls", _HOT, f"SELECT to_id AS seed, from_id AS id, n.fqn, n.kind, {_TIER.format(c='c.source')} AS tier FROM calls c JOIN hot ON c.to_id = hot.id JOIN gn n ON c.from_id = n.id"))(lambda g: I.neighbours(g.calls_in, g.nodes, g.hot(5), "in"))
+query("callees", _with("gn calls", _HOT_OUT, f"SELECT from_id AS seed, to_id AS id, n.fqn, n.kind, {_TIER.format(c='c.source')} AS tier FROM calls c JOIN hot ON c.from_id = hot.id JOIN gn n ON c.to_id = n.id"))(lambda g: I.neighbours(g.calls_out, g.nodes, g.hot(5, "from_id"), "out"))
+query("uncalled_functions", graph("gn calls", "SELECT id, fqn FROM gn WHERE kind = 'Function' AND NOT EXISTS (SELECT 1 FROM calls WHERE to_id = id)"))(lambda g: I.uncalled_functions(g.calls_in, g.nodes))
 query(
     "module_pairs",
     graph("calls ge", "SELECT a.from_id AS from_module, b.from_id AS to_module, count(*)::BIGINT AS n FROM calls c JOIN ge a ON a.to_id = c.from_id AND a.kind = 'Contains' JOIN ge b ON b.to_id = c.to_id AND b.kind = 'Contains' WHERE a.from_id <> b.from_id GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 20"),
@@ -150,21 +98,21 @@ met AS (SELECT f.seed, f.node, f.depth, max(s.rank) AS rank FROM first f JOIN fi
 
 
 _REACHED = "SELECT node AS id, min(depth) AS depth, list_sort(list(DISTINCT seed)) AS via_seeds, CASE max(rank) WHEN 3 THEN 'tier_3' WHEN 2 THEN 'tier_0' WHEN 1 THEN 'tier_1' END AS tier FROM met WHERE node NOT IN (SELECT id FROM hot) GROUP BY 1"
-query("reach_callers", _with("gn calls", _HOT + ",\n" + _reach_sql("to_id", "from_id", 3), _REACHED))(lambda g: I.reach(g.edges, g.hot(5), "in", 3))
-query("reach_callees", _with("gn calls", _HOT + ",\n" + _reach_sql("from_id", "to_id", 3), _REACHED))(lambda g: I.reach(g.edges, g.hot(5), "out", 3))
+query("reach_callers", _with("gn calls", _HOT + ",\n" + _reach_sql("to_id", "from_id", 3), _REACHED))(lambda g: I.reach(g.calls_in, g.hot(5), "in", 3))
+query("reach_callees", _with("gn calls", _HOT_OUT + ",\n" + _reach_sql("from_id", "to_id", 3), _REACHED))(lambda g: I.reach(g.calls_out, g.hot(5, "from_id"), "out", 3))
 _BOTH = _reach_sql("to_id", "from_id", 2), _reach_sql("from_id", "to_id", 2)
 for _old in ("steps", "walk", "first", "met"):
     _BOTH = _BOTH[0], _BOTH[1].replace(f"{_old} ", f"{_old}2 ").replace(f"{_old}2 AS next", f"{_old} AS next")
 query(
     "slice_both",
     _with("gn calls", _HOT.replace("LIMIT 5", "LIMIT 2") + ",\n" + ",\n".join(_BOTH), "SELECT *, 'in' AS direction FROM (" + _REACHED + ") UNION ALL SELECT *, 'out' FROM (" + _REACHED.replace("FROM met ", "FROM met2 ") + ")"),
-)(lambda g: I.slice_around(g.keep().edges, g.hot(2), 2))
-_STEPS = "s AS (SELECT DISTINCT from_id AS a, to_id AS b FROM calls WHERE from_id <> to_id)"
+)(lambda g: I.slice_around(g.edges, g.hot(2), 2))
+_CORE = ",\n".join(["s0 AS MATERIALIZED (SELECT DISTINCT from_id AS a, to_id AS b FROM calls WHERE from_id <> to_id)", *[f"s{k + 1} AS MATERIALIZED (SELECT * FROM s{k} WHERE a IN (SELECT b FROM s{k}) AND b IN (SELECT a FROM s{k}))" for k in range(8)]])
 query(
     "call_cycles",
-    _with("calls", _STEPS, """SELECT [x.a, x.b] AS cycle, 2 AS length FROM s x JOIN s y ON x.b = y.a AND y.b = x.a WHERE x.a < x.b
-UNION ALL SELECT [x.a, x.b, y.b], 3 FROM s x JOIN s y ON x.b = y.a JOIN s z ON z.a = y.b AND z.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.b <> y.b"""),
-)(lambda g: I.simple_cycles(g.edges, 8))
+    _with("calls", _CORE, """cw AS (SELECT [a, b] AS p FROM s8 WHERE a < b UNION ALL SELECT list_append(p, b) FROM cw JOIN s8 ON p[-1] = a WHERE b > p[1] AND NOT list_contains(p, b) AND len(p) < 8)
+SELECT p AS cycle, len(p)::INTEGER AS length FROM cw JOIN s8 ON p[-1] = a AND b = p[1]""").replace(")\ncw AS", "),\ncw AS"),
+)(lambda g: I.simple_cycles(g.calls_out, 8))
 query(
     "resolve_symbol",
     graph("gn", """SELECT id, fqn, kind, ['fqn', 'id', 'suffix', 'part'][rule + 1] AS how FROM (SELECT *, min(rule) OVER () AS best FROM (SELECT id, fqn, kind, CASE WHEN fqn = 'decode' THEN 0 WHEN id = 'decode' THEN 1
@@ -178,8 +126,8 @@ def _longest_pair(g: Graph) -> DataFrame:
     target = g.hot(1).first()
     if target is None:
         return g.spark.createDataFrame([], "step int, id string")
-    far = I.reach(g.edges, I.seeds_of(g.spark, [target.seed]), "in", 3).orderBy(F.col("depth").desc(), "id").first()
-    return I.shortest_path(g.edges, far.id if far else target.seed, target.seed)
+    far = I.reach(g.calls_in, I.seeds_of(g.spark, [target.seed]), "in", 3).orderBy(F.col("depth").desc(), "id").first()
+    return I.shortest_path(g.calls_out, far.id if far else target.seed, target.seed)
 
 
 # Metrics
@@ -196,23 +144,23 @@ WHERE fan_in >= t.threshold AND t.threshold > 0""",
 query("module_coupling", graph("medges mods", """SELECT m.module, m.members, x.internal_edges, x.external_edges, x.external_edges / (x.internal_edges + x.external_edges) AS score
 FROM (SELECT module, count(*) AS members FROM mods GROUP BY 1) m JOIN (SELECT module, sum(i)::BIGINT AS internal_edges, sum(x)::BIGINT AS external_edges FROM (
   SELECT from_module AS module, 1 AS i, 0 AS x FROM medges WHERE from_module = to_module UNION ALL SELECT from_module, 0, 1 FROM medges WHERE from_module IS DISTINCT FROM to_module UNION ALL SELECT to_module, 0, 1 FROM medges WHERE from_module IS DISTINCT FROM to_module)
- WHERE module IS NOT NULL GROUP BY 1) x USING (module) WHERE m.members >= 3"""))(lambda g: M.coupling(g.keep().edges, g.modules))
+ WHERE module IS NOT NULL GROUP BY 1) x USING (module) WHERE m.members >= 3"""))(lambda g: M.coupling(g.between, g.modules))
 _UNSTABLE = """unstable AS (SELECT module, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) > 0 THEN coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)) ELSE 0 END AS instability
  FROM (SELECT DISTINCT module FROM mods) LEFT JOIN (SELECT to_module AS module, count(DISTINCT from_module) AS ca FROM medges WHERE from_module <> to_module GROUP BY 1) USING (module)
  LEFT JOIN (SELECT from_module AS module, count(DISTINCT to_module) AS ce FROM medges WHERE from_module <> to_module GROUP BY 1) USING (module))"""
 _ABSTRACT = """abstract AS (SELECT module, abstract_types, types, CASE WHEN types > 0 THEN abstract_types / types ELSE 0 END AS abstractness
  FROM (SELECT module, count(*) FILTER (kind = 'Interface') AS abstract_types, count(*) FILTER (kind IN ('Interface', 'Struct', 'Enum', 'Type')) AS types FROM mods JOIN gn USING (id) GROUP BY 1))"""
-query("instability", _with("medges mods", _UNSTABLE, "SELECT * FROM unstable"))(lambda g: M.instability(g.keep().edges, g.modules))
+query("instability", _with("medges mods", _UNSTABLE, "SELECT * FROM unstable"))(lambda g: M.instability(g.between, g.modules))
 query("abstractness", _with("gn mods", _ABSTRACT, "SELECT * FROM abstract"))(lambda g: M.abstractness(g.nodes, g.modules))
 query(
     "main_sequence",
     _with("medges mods gn", _UNSTABLE + ",\n" + _ABSTRACT, """SELECT module, instability, abstractness, d AS distance, CASE WHEN d < 0.15 THEN 'main_sequence' WHEN abstractness < 0.3 AND instability < 0.3 THEN 'pain' WHEN abstractness > 0.7 AND instability > 0.7 THEN 'uselessness' ELSE 'balanced' END AS zone
 FROM (SELECT *, abs(abstractness + instability - 1) AS d FROM unstable JOIN abstract USING (module))"""),
-)(lambda g: M.main_sequence(M.instability(g.keep().edges, g.modules), M.abstractness(g.nodes, g.modules)))
+)(lambda g: M.main_sequence(M.instability(g.between, g.modules), M.abstractness(g.nodes, g.modules)))
 query("api_surface", graph("medges mods fn", """SELECT module, count(*) AS functions, count(e.to_id) AS exposed, count(e.to_id) / count(*) AS api_surface FROM mods JOIN fn USING (id)
-LEFT JOIN (SELECT DISTINCT to_id FROM medges WHERE to_module IS NOT NULL AND from_module IS DISTINCT FROM to_module) e ON e.to_id = mods.id GROUP BY 1"""))(lambda g: M.api_surface(g.keep().edges, g.functions, g.modules))
+LEFT JOIN (SELECT DISTINCT to_id FROM medges WHERE to_module IS NOT NULL AND from_module IS DISTINCT FROM to_module) e ON e.to_id = mods.id GROUP BY 1"""))(lambda g: M.api_surface(g.between, g.functions, g.modules))
 query("hub_scores", graph("medges mods fn", """SELECT id, s.n AS source_modules, t.n AS target_modules, s.n * t.n / (SELECT count(DISTINCT module) * count(DISTINCT module) FROM mods) AS hub_score FROM fn
-JOIN (SELECT to_id AS id, count(DISTINCT from_module) AS n FROM medges WHERE from_module <> to_module GROUP BY 1) s USING (id) JOIN (SELECT from_id AS id, count(DISTINCT to_module) AS n FROM medges WHERE from_module <> to_module GROUP BY 1) t USING (id)"""))(lambda g: M.hub_scores(g.keep().edges, g.functions, g.modules))
+JOIN (SELECT to_id AS id, count(DISTINCT from_module) AS n FROM medges WHERE from_module <> to_module GROUP BY 1) s USING (id) JOIN (SELECT from_id AS id, count(DISTINCT to_module) AS n FROM medges WHERE from_module <> to_module GROUP BY 1) t USING (id)"""))(lambda g: M.hub_scores(g.between, g.functions, g.modules))
 query("information_flow", graph("fans fn", "SELECT id, (fan_in * fan_out) * (fan_in * fan_out) AS information_flow FROM fans JOIN fn USING (id)"))(lambda g: M.information_flow(g.fans, g.functions))
 query("information_flow_threshold", graph("fans fn", "SELECT greatest(coalesce((list_sort(list(v)))[greatest(ceil(count(*) * 95 / 100) - 1, 0)::BIGINT + 1], 100), 100) AS threshold FROM (SELECT (fan_in * fan_out) * (fan_in * fan_out) AS v FROM fans JOIN fn USING (id))"))(
     lambda g: M.percentile_floor(M.information_flow(g.fans, g.functions), "information_flow", 95, 100)
@@ -220,7 +168,7 @@ query("information_flow_threshold", graph("fans fn", "SELECT greatest(coalesce((
 query("layer_exclusion_threshold", graph("fans", "SELECT (list_sort(list(fan_in)))[least(count(*) * 95 // 100, count(*) - 1) + 1] AS threshold FROM fans WHERE fan_in > 0"))(lambda g: M.layer_exclusion_threshold(g.fans))
 _LOC = "CASE WHEN end_line >= start_line THEN end_line - start_line + 1 ELSE 0 END"
 query("lines_of_code", graph("fn mods", f"SELECT module, count(*) AS functions, sum({_LOC})::BIGINT AS loc FROM fn JOIN mods USING (id) GROUP BY 1"))(lambda g: M.lines_of_code(g.functions, g.modules))
-query("tangle_index", graph("scc struct", "SELECT (SELECT count(*) FROM plinks JOIN scc a ON src = a.node JOIN scc b ON dst = b.node WHERE a.component = b.component) / (SELECT count(*) FROM struct) AS tangle_index"))(lambda g: _tangle(g))
+query("tangle_index", graph("scc struct prod", "SELECT (SELECT count(*) FROM prod JOIN scc a ON from_id = a.node JOIN scc b ON to_id = b.node WHERE a.component = b.component) / (SELECT count(*) FROM struct) AS tangle_index"))(lambda g: _tangle(g))
 query("complexity", graph("prod_fn", "SELECT language, count(*) AS functions, avg(cyclomatic_complexity) AS avg_cyclomatic, max(cyclomatic_complexity) AS max_cyclomatic, count(*) FILTER (cyclomatic_complexity > 10 OR cognitive_complexity > 12) AS findings FROM prod_fn WHERE cyclomatic_complexity IS NOT NULL GROUP BY 1"))(lambda g: M.complexity(g.production_functions))
 query("god_functions", graph("prod_fn fans", f"""SELECT id, cyclomatic_complexity, fan_out, loc, CASE WHEN cyclomatic_complexity >= 20 AND fan_out >= 15 AND loc >= 80 THEN 'Critical' WHEN cyclomatic_complexity >= 15 OR fan_out >= 15 OR loc >= 80 THEN 'High' ELSE 'Warning' END AS severity
 FROM (SELECT id, cyclomatic_complexity, fan_out, {_LOC} AS loc FROM prod_fn JOIN fans USING (id)) WHERE cyclomatic_complexity >= 5 AND fan_out >= 3 AND loc >= 20"""))(
@@ -234,11 +182,10 @@ query("module_boundaries", graph("gn mods", "SELECT module, files, members, CASE
 
 
 def _tangle(g: Graph) -> DataFrame:
-    """Edges within strongly connected parts over all structural edges."""
-    links = g.links()
-    parts = C.strong_components(links)
-    a, b = parts.select(F.col("node").alias("src"), F.col("component").alias("x")), parts.select(F.col("node").alias("dst"), F.col("component").alias("y"))
-    inside = links.join(a, "src").join(b, "dst").filter("x = y").agg(F.count(F.lit(1)).alias("inside"))
+    """Production edges within strongly connected parts, parallel kinds each, over all structural edges."""
+    parts = g.strong.select("node", "component")
+    a, b = parts.select(F.col("node").alias("from_id"), F.col("component").alias("x")), parts.select(F.col("node").alias("to_id"), F.col("component").alias("y"))
+    inside = sized_join(sized_join(g.production, a, "from_id"), b, "to_id").filter("x = y").agg(F.count(F.lit(1)).alias("inside"))
     every = g.edges.filter("kind != 'Contains'").agg(F.count(F.lit(1)).alias("every"))
     return inside.join(F.broadcast(every)).select((F.col("inside") / F.col("every")).alias("tangle_index"))  # one row each
 
@@ -252,17 +199,17 @@ query(
     "metric_status",
     graph("prod mods", """SELECT *, CASE WHEN edges < 50 THEN 'InsufficientEdges' ELSE 'Ok' END AS cycle_status, CASE WHEN calls < 20 THEN 'InsufficientEdges' ELSE 'Ok' END AS depth_status, CASE WHEN modules < 3 THEN 'NotApplicable' ELSE 'Ok' END AS module_status
 FROM (SELECT (SELECT count(*) FROM prod) AS edges, (SELECT count(*) FROM prod WHERE kind IN ('Call', 'Framework:VisualforcePage', 'Declarative:Flow')) AS calls, (SELECT count(DISTINCT module) FROM mods) AS modules)"""),
-)(lambda g: Y.metric_status(S.production_edges(g.keep().edges, g.nodes), g.modules))
+)(lambda g: Y.metric_status(g.production, g.modules))
 
 
 # Iterative
 
-query("strong_components", graph("scc", "SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM scc"))(lambda g: C.strong_components(g.links()))
+query("strong_components", graph("scc", "SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM scc"))(lambda g: g.strong)
 _DEPTH = """dag AS (SELECT src, dst FROM clinks WHERE NOT (src IN (SELECT node FROM scc) AND dst IN (SELECT node FROM scc))),
 dn AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag),
 dw AS (SELECT node, 0 AS depth FROM dn WHERE node NOT IN (SELECT dst FROM dag) UNION SELECT dag.dst, dw.depth + 1 FROM dw JOIN dag ON dw.node = dag.src),
 depths AS (SELECT node, max(depth) AS depth FROM dw GROUP BY 1)"""
-query("call_depth", _with("scc clinks", _DEPTH, "SELECT * FROM depths"))(lambda g: C.longest_depth(g.links(True), C.strong_components(g.links())))
+query("call_depth", _with("scc clinks", _DEPTH, "SELECT * FROM depths"))(lambda g: g.depth)
 query(
     "layer_violations",
     _with("scc clinks clean fans", _DEPTH, """SELECT from_id, to_id, a.depth AS from_depth, b.depth AS to_depth, b.depth - a.depth AS gap FROM (SELECT DISTINCT from_id, to_id FROM clean WHERE kind IN ('Call', 'Framework:VisualforcePage', 'Declarative:Flow')) e
@@ -271,22 +218,18 @@ WHERE b.depth - a.depth >= 2 AND from_id NOT IN (SELECT node FROM scc) AND to_id
 )(lambda g: _layers(g))
 query(
     "blast_radius",
-    _with("plinks gn calls", _HOT.replace("LIMIT 5", "LIMIT 20") + ",\nbr AS (SELECT id AS seed, id AS node FROM hot UNION SELECT br.seed, src FROM br JOIN plinks ON dst = br.node)", "SELECT seed AS id, count(*) - 1 AS blast FROM br GROUP BY 1"),
-)(lambda g: C.blast_radius(g.links(), g.functions.select("id")))
-query("cohesion")(lambda g: C.cohesion(g.keep().edges, g.functions, g.modules))
+    _with("plinks fn", "br AS (SELECT id AS seed, id AS node FROM fn UNION SELECT br.seed, src FROM br JOIN plinks ON dst = br.node)", "SELECT seed AS id, count(*) - 1 AS blast FROM br GROUP BY 1"),
+)(lambda g: C.blast_radius(g.links, g.functions.select("id")))
+query("cohesion")(lambda g: C.cohesion(g.edges, g.functions, g.modules))
 query("test_only_files")(lambda g: _test_only(g))
 
 
 def _layers(g: Graph) -> DataFrame:
-    cyclic = C.strong_components(g.links())
-    depth = C.longest_depth(g.links(True), cyclic)
-    fans = g.fans
-    return C.layer_violations(S.clean_edges(g.edges, g.nodes).filter(is_call_like()), depth, cyclic, fans, M.layer_exclusion_threshold(fans))
+    return C.layer_violations(S.clean_edges(g.edges, g.nodes).filter(is_call_like()), g.depth, g.strong, g.fans, M.layer_exclusion_threshold(g.fans))
 
 
 def _test_only(g: Graph) -> DataFrame:
     """Both ends of an import count as their containing files. Only paths that are known not to be production, and files without a path, may become test files."""
-    g.keep()
     files = g.nodes.filter("kind = 'File'")
     own = g.nodes.select(F.col("id").alias("node"), F.when(F.col("kind") == "File", F.col("id")).alias("value"))
     holder = kept(S.nearest_ancestor(own, g.parents).filter("value is not null").select(F.col("node").alias("id"), F.col("value").alias("file")))
@@ -294,7 +237,7 @@ def _test_only(g: Graph) -> DataFrame:
     imports = ends.join(holder.select(F.col("id").alias("from_id"), F.col("file").alias("importer")), "from_id").join(holder.withColumnRenamed("id", "to_id"), "to_id").select("importer", "file")
     whole = g.nodes.filter("kind = 'Function'").select("id", "is_test").join(holder, "id").groupBy("file").agg(F.every("is_test").alias("all_test")).filter("all_test").select("file")
     tests = files.filter("is_test").select(F.col("id").alias("file")).unionByName(whole)
-    paths = S.node_paths(g.nodes, g.parents).filter(~F.coalesce(P.is_non_production_path("path"), F.lit(False)) & (F.col("path") != ""))
+    paths = g.paths.filter(~F.coalesce(P.is_non_production_path("path"), F.lit(False)) & (F.col("path") != ""))
     return C.test_only_files(imports, tests, paths.select(F.col("id").alias("file")))
 
 
@@ -310,7 +253,7 @@ WHEN (name IN {_EN(D.ACCESSOR_NAMES)} OR length(name) <= 20 AND regexp_matches(l
 WHEN regexp_matches(lower(name), '^(mock|stub|fake)') THEN 'mock_function' WHEN is_attribute_invoked THEN 'attribute_invoked' WHEN is_callback_target THEN 'callback_target'
 WHEN visibility IN ('public', 'exported', 'pub_crate') THEN 'exported_symbol' END"""
 _ENTRY = f"entry AS (SELECT *, {_RULES} AS entry_reason FROM (SELECT fn.*, o.* EXCLUDE (id), split_part(coalesce(class_path, ''), '/', -1) AS base FROM fn JOIN outside o USING (id)))"
-query("entry_points", _with("fn outside", _ENTRY, "SELECT id, entry_reason AS reason FROM entry WHERE entry_reason IS NOT NULL"))(lambda g: D.entry_points(g.keep().functions, g.nodes, S.classifying_files(g.nodes, g.parents)))
+query("entry_points", _with("fn outside", _ENTRY, "SELECT id, entry_reason AS reason FROM entry WHERE entry_reason IS NOT NULL"))(lambda g: D.entry_points(g.functions, g.nodes, g.classes))
 _DEAD = """dead AS (SELECT e.id, CASE WHEN NOT is_non_production THEN 'production' WHEN in_test_file THEN 'test' ELSE 'vendor' END AS bucket,
  CASE WHEN is_attribute_invoked THEN 'framework_annotation_unresolved' WHEN is_callback_target THEN 'callback_target_not_tracked' WHEN in_test_file THEN 'test_only_reference'
   WHEN visibility IN ('private', 'fileprivate', 'module_private') THEN 'visibility_private_unused' ELSE 'no_callers' END AS reason
@@ -320,8 +263,7 @@ query("dead_code_reasons", _with("fn outside fans", _ENTRY + ",\n" + _DEAD, f"""
 
 
 def _dead(g: Graph) -> DataFrame:
-    g.keep()
-    return D.dead_code(g.functions, g.nodes, S.classifying_files(g.nodes, g.parents), g.fans, g.outside)
+    return D.dead_code(g.functions, g.nodes, g.classes, g.fans, g.outside)
 
 
 # Scalars
