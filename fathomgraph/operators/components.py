@@ -13,7 +13,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomgraph.plans.shared import kept
+from fathomgraph.operators.skew import Spread, fits_a_task, sized_join, without
+from fathomgraph.plans.shared import Rounds, kept
+
+
+def _coded(*columns: pa.ChunkedArray) -> tuple[list[str], list[np.ndarray]]:
+    """The names in the columns, and each column as places in that list."""
+    both = pa.chunked_array([c for column in columns for c in column.chunks], pa.string()).combine_chunks().dictionary_encode()
+    codes, out, at = both.indices.to_numpy(), [], 0
+    for column in columns:
+        out.append(codes[at : at + len(column)])
+        at += len(column)
+    return both.dictionary.to_pylist(), out
+
+
+def _ahead(src: np.ndarray, dst: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """Targets in the order of their sources, and where each source's begin."""
+    order = np.argsort(src, kind="stable")
+    return dst[order].tolist(), np.searchsorted(src[order], np.arange(size + 1)).tolist()
+
+
+def _in_one_task(df: DataFrame, solve, schema: str) -> DataFrame:
+    """solve(a table with all rows of df), for a df that fits_a_task."""
+
+    def run(batches):
+        held = list(batches)
+        if held and sum(b.num_rows for b in held):
+            yield from solve(pa.Table.from_batches(held)).to_batches()
+
+    return kept(df.coalesce(1).mapInArrow(run, schema))
+
+
+def _strong_table(links: pa.Table) -> pa.Table:
+    """Strongly connected parts by depth-first search with low links, without recursion."""
+    names, (src, dst) = _coded(links["src"], links["dst"])
+    size = len(names)
+    to, start = _ahead(src, dst, size)
+    index, low, on, stack, count = [0] * size, [0] * size, [False] * size, [], 0
+    place = start[:-1].copy()
+    node, component, sizes = [], [], []
+    for root in range(size):
+        if index[root]:
+            continue
+        way = [root]
+        while way:
+            v = way[-1]
+            if not index[v]:
+                count += 1
+                index[v] = low[v] = count
+                stack.append(v)
+                on[v] = True
+            if place[v] < start[v + 1]:
+                w = to[place[v]]
+                place[v] += 1
+                if not index[w]:
+                    way.append(w)
+                elif on[w]:
+                    low[v] = min(low[v], index[w])
+                continue
+            way.pop()
+            if way:
+                low[way[-1]] = min(low[way[-1]], low[v])
+            if low[v] == index[v]:
+                part = []
+                while True:
+                    w = stack.pop()
+                    on[w] = False
+                    part.append(names[w])
+                    if w == v:
+                        break
+                if len(part) > 1:
+                    node += part
+                    component += [min(part)] * len(part)
+                    sizes += [len(part)] * len(part)
+    return pa.table({"node": pa.array(node, pa.string()), "component": pa.array(component, pa.string()), "size": pa.array(sizes, pa.int64())})
+
+
+def _depth_table(links: pa.Table) -> pa.Table:
+    """Longest paths by taking up nodes once all of their predecessors are done. links has no cycle."""
+    names, (src, dst) = _coded(links["src"], links["dst"])
+    to, start = _ahead(src, dst, len(names))
+    waiting = np.bincount(dst, minlength=len(names)).tolist()
+    depth, todo = [0] * len(names), [v for v, n in enumerate(waiting) if not n]
+    while todo:
+        v = todo.pop()
+        for w in to[start[v] : start[v + 1]]:
+            depth[w] = max(depth[w], depth[v] + 1)
+            waiting[w] -= 1
+            if not waiting[w]:
+                todo.append(w)
+    return pa.table({"node": pa.array(names, pa.string()), "depth": pa.array(depth, pa.int32())})
+
+
+def _label_table(links: pa.Table) -> pa.Table:
+    """The least node of each node's group of links, whose direction does not matter."""
+    names, (src, dst) = _coded(links["src"], links["dst"])
+    up = list(range(len(names)))
+
+    def top(v: int) -> int:
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for a, b in zip(src.tolist(), dst.tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b, key=names.__getitem__)] = min(a, b, key=names.__getitem__)
+    return pa.table({"node": pa.array(names, pa.string()), "label": pa.array([names[top(v)] for v in range(len(names))], pa.string())})
 
 
 def trimmed(links: DataFrame, rounds: int = 4) -> DataFrame:
@@ -31,15 +138,15 @@ def _least_label(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Labels travel along links, and each round also jumps to the label's own label, so rounds grow with the logarithm of distances.
     """
-    state = kept(nodes.select("node", F.col("node").alias("label")))
+    state, rounds, links = kept(nodes.select("node", F.col("node").alias("label"))), Rounds(), Spread(links.select("src", "dst"), "src")
     while True:
-        sent = links.join(state.select(F.col("node").alias("src"), "label"), "src").select(F.col("dst").alias("node"), "label")
-        jumped = state.join(state.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"))
+        sent = links.join(state.select(F.col("node").alias("src"), "label")).select(F.col("dst").alias("node"), "label")
+        jumped = sized_join(state, state.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"))
         new = state.unionByName(sent).unionByName(jumped).groupBy("node").agg(F.min("label").alias("label"))
-        both = kept(new.join(state.withColumnRenamed("label", "old"), "node"))
+        both = rounds.kept(new.join(state.withColumnRenamed("label", "old"), "node"))
         state = both.select("node", "label")
         if both.filter("label != old").isEmpty():
-            return state
+            return kept(state)
 
 
 def _followed(steps: DataFrame) -> DataFrame:
@@ -67,7 +174,12 @@ def strong_components(links: DataFrame) -> DataFrame:
     root and the nodes that reach it backwards within the colour form a part. Parts found are taken out and the rest starts over.
     Self-links are ignored.
     """
-    core = trimmed(kept(links.filter("src is not null and dst is not null and src != dst").select("src", "dst").distinct()))
+    links = kept(links.filter("src is not null and dst is not null and src != dst").select("src", "dst").distinct())
+    if fits_a_task(links):
+        return _in_one_task(links, _strong_table, "node string, component string, size bigint")
+    core = trimmed(links)
+    if fits_a_task(core):
+        return _in_one_task(core, _strong_table, "node string, component string, size bigint")
     ins = core.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("prev"))
     outs = core.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("next"))
     inner = kept(ins.join(outs, "node").filter("n_in = 1 and n_out = 1").select("node", "prev", "next"))
@@ -116,15 +228,17 @@ def longest_depth(links: DataFrame, cyclic: DataFrame) -> DataFrame:
     inside = cyclic.select("node").distinct()
     both = links.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
     dag = kept(links.filter("src != dst").select("src", "dst").distinct().join(both.distinct(), ["src", "dst"], "left_anti"))
+    if fits_a_task(dag):
+        return _in_one_task(dag, _depth_table, "node string, depth int")
     nodes = dag.select(F.col("src").alias("node")).unionByName(dag.select(F.col("dst").alias("node"))).distinct()
-    depth = kept(nodes.select("node", F.lit(0).alias("depth")))
+    depth, rounds, dag = kept(nodes.select("node", F.lit(0).alias("depth"))), Rounds(), Spread(dag, "src")
     moved = depth
     while not moved.isEmpty():
-        offer = dag.join(moved.select(F.col("node").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("node")).agg((F.max("depth") + 1).alias("offer"))
-        new = kept(depth.join(offer, "node", "left").select("node", "depth", F.greatest("depth", "offer").alias("new")))
+        offer = dag.join(moved.select(F.col("node").alias("src"), "depth")).groupBy(F.col("dst").alias("node")).agg((F.max("depth") + 1).alias("offer"))
+        new = rounds.kept(depth.join(offer, "node", "left").select("node", "depth", F.greatest("depth", "offer").alias("new")))
         moved = new.filter("new > depth").select("node", F.col("new").alias("depth"))
         depth = new.select("node", F.col("new").alias("depth"))
-    return depth
+    return kept(depth)
 
 
 def layer_violations(edges: DataFrame, depth: DataFrame, cyclic: DataFrame, fans: DataFrame, threshold: DataFrame, min_gap: int = 2) -> DataFrame:
@@ -132,11 +246,11 @@ def layer_violations(edges: DataFrame, depth: DataFrame, cyclic: DataFrame, fans
 
     edges are clean, call-like ones; threshold is one row, above whose fan-in a callee is left out.
     """
-    outside = cyclic.select("node").distinct()
-    pairs = edges.select("from_id", "to_id").distinct().join(outside.withColumnRenamed("node", "from_id"), "from_id", "left_anti").join(outside.withColumnRenamed("node", "to_id"), "to_id", "left_anti")
-    few = fans.join(F.broadcast(threshold)).filter("threshold is null or fan_in <= threshold").select(F.col("id").alias("to_id"))  # one row
-    a, b = depth.select(F.col("node").alias("from_id"), F.col("depth").alias("from_depth")), depth.select(F.col("node").alias("to_id"), F.col("depth").alias("to_depth"))
-    met = pairs.join(few, "to_id", "left_semi").join(a, "from_id").join(b, "to_id")
+    pairs = without(edges.select("from_id", "to_id").distinct(), cyclic.select(F.col("node").alias("id")), ["from_id", "to_id"])
+    few = fans.join(F.broadcast(threshold)).filter("threshold is null or fan_in <= threshold").select("id")  # one row
+    a = depth.select(F.col("node").alias("from_id"), F.col("depth").alias("from_depth"))
+    b = kept(depth.withColumnRenamed("node", "id").join(few, "id").select(F.col("id").alias("to_id"), F.col("depth").alias("to_depth")))
+    met = sized_join(sized_join(pairs, b, "to_id"), a, "from_id")
     return met.withColumn("gap", F.col("to_depth") - F.col("from_depth")).filter(F.col("gap") >= min_gap).select("from_id", "to_id", "from_depth", "to_depth", "gap")
 
 
@@ -203,10 +317,14 @@ def cohesion(edges: DataFrame, functions: DataFrame, modules: DataFrame, min_fun
     inner = own.join(direct, "id").join(own.select(F.col("id").alias("to"), F.col("module").alias("to_module")), "to").filter("module = to_module").select("module", "id", F.concat(F.lit("f"), "to").alias("other"))
     key = lambda c: F.concat_ws("\u0001", F.col("module"), c)
     links = shared.unionByName(inner).select(key(F.concat(F.lit("f"), "id")).alias("src"), key(F.col("other")).alias("dst")).distinct()
-    links = kept(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    nodes = own.select(key(F.concat(F.lit("f"), "id")).alias("node")).unionByName(links.select(F.col("src").alias("node"))).distinct()
-    labels = _least_label(nodes, links)
-    groups = own.select("module", key(F.concat(F.lit("f"), "id")).alias("node")).join(labels, "node").groupBy("module").agg(F.count_distinct("label").alias("components"))
+    links = kept(links)
+    members = own.select("module", key(F.concat(F.lit("f"), "id")).alias("node"))
+    if fits_a_task(links):
+        labels = _in_one_task(links, _label_table, "node string, label string")
+    else:
+        both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        labels = _least_label(members.select("node").unionByName(both.select(F.col("src").alias("node"))).distinct(), both)
+    groups = members.join(labels, "node", "left").groupBy("module").agg(F.count_distinct(F.coalesce("label", "node")).alias("components"))
     return big.join(groups, "module").select("module", "functions", "components", (1 / F.col("components")).alias("cohesion"))
 
 

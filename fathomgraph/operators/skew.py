@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from fathomgraph.plans.shared import kept
 
 MAX_ROWS, MAX_BYTES = 200_000, 32_000_000
+TASK_ROWS, TASK_BYTES = 500_000, 64_000_000
 
 
-def is_small(df: DataFrame) -> bool:
+def fits_a_task(df: DataFrame) -> bool:
+    """Whether an iterative algorithm may hold all of df in one task instead of joining it round by round. Reads df, like is_small."""
+    return is_small(df, TASK_ROWS, TASK_BYTES)
+
+
+def is_small(df: DataFrame, rows: int | None = None, size_limit: int | None = None) -> bool:
     """Whether df has few enough rows and bytes of text to be broadcast. Reads df: pass it kept or stored."""
+    rows, size_limit = MAX_ROWS if rows is None else rows, MAX_BYTES if size_limit is None else size_limit
     texts = [F.octet_length(c) for c, t in df.dtypes if t == "string"]
     width = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(8 * len(df.columns)))
     n, size = df.select(width.alias("w")).agg(F.count("w"), F.sum("w")).first()
-    return n <= MAX_ROWS and (size or 0) <= MAX_BYTES
+    return n <= rows and (size or 0) <= size_limit
 
 
 def hot_slots(keys: DataFrame, parts: int) -> DataFrame:
