@@ -1,14 +1,13 @@
 """Parent-child links to full hierarchies: level-wise frontier joins from the roots.
 
-The links are partitioned once by parent; each level joins the frontier, partitioned alike, and the nodes
-it finds are the next frontier, with path and depth extended. LEVELS_A_PLAN levels are one plan, in which the
-links' exchange is reused. A parent with very many children has its links split over slots, to which its one
-frontier row is copied.
-
-Trees have a long thin tail of deep nodes, and cycles are reached by no level. So after `levels` levels, the
-nodes not reached follow their parents in steps that double (level joins of the same kind, whose links grow from
-1 to 2, 4, 8 parents): they end at a node reached, or turn out to be on or below a cycle. The number of
-rounds is the logarithm of the longest tail.
+Each level joins the frontier to the links by parent; the nodes it finds are the next frontier, with path and depth extended. LEVELS_A_PLAN
+levels are one plan, after which the links of the nodes reached are left behind. While many links are left, both sides are partitioned by
+parent, and a parent with very many children has its links split over slots, to which its one frontier row is copied. Once
+the links left are few enough to be broadcast (their size is checked), a plan runs its levels in one stage without a shuffle, which suits
+the long thin tail of deep trees.
+
+The levels end when a frontier is empty. Nodes not reached by then are on or below cycles: their parents' pointers
+double until their targets shrink to exactly the cycles' nodes.
 """
 
 from __future__ import annotations
@@ -17,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.text_ids import clean_id, edge_kind, maybe_kind
-from fathomgraph.operators.skew import hot_slots
-from fathomgraph.plans.shared import kept
+from fathomgraph.operators.skew import hot_slots, is_small
+from fathomgraph.plans.shared import Rounds, kept
 
 ON_CYCLE, BELOW_CYCLE = -1, -2
 LEVELS_A_PLAN = 4
+LEVELS_A_STAGE = 8
 
 
 def parent_links(links: DataFrame, newest: Column) -> DataFrame:
@@ -40,101 +40,87 @@ def parent_links(links: DataFrame, newest: Column) -> DataFrame:
     return ends.groupBy("node").agg(F.max("up").alias("up")).select("node", F.col("up.parent").alias("parent"))
 
 
-def hierarchy(links: DataFrame, levels: int = 16, paths: bool = True) -> DataFrame:
+def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
     """(node, root, depth[, path]) for each row of links(node, parent), where node is unique and parent is null for roots.
 
     path is the array of nodes from the root to the node. Nodes on a cycle get root '' and depth -1, nodes
     below one '' and -2; their path is null. Every parent must itself be a node of links, as parent_links gives
     them. Empty links give no rows.
     """
-    spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_slots(links.select(F.col("parent").alias("id")), parts))  # at most 4 * parts rows
-    own = hot.select(F.col("id").alias("node"), F.col("slots").alias("own"))
-    of_parent = hot.select(F.col("id").alias("parent"), F.col("slots").alias("of_parent"))
-    links = kept(
-        links.join(own, "node", "left")
-        .join(of_parent, "parent", "left")
-        .select(
-            "node",
-            "parent",
-            F.coalesce("own", F.lit(1)).alias("own"),
-            F.when(F.col("of_parent").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("of_parent")).cast("int")).alias("slot"),
-        )
-    )
-    children = links.filter("parent is not null").select("parent", "slot", F.col("node").alias("child"), F.col("own").alias("child_own")).repartition(parts, "parent", "slot")
+    links = kept(links)
+    begin = [F.array("node").alias("path")] if paths else []
+    columns = ["node", "root", "depth", *(["path"] if paths else [])]
+    last = kept(links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), *begin))
+    rest, reached, depth, rounds = links.filter("parent is not null"), [last], 0, Rounds()
+    while not last.isEmpty() and not rest.isEmpty():
+        some, levels = (_few(last, rest, depth), LEVELS_A_STAGE) if is_small(rest) else (_many(last, rest), LEVELS_A_PLAN)
+        some, depth = kept(some), depth + levels
+        reached.append(some.select(*columns))
+        last = some.filter(F.col("depth") == depth).select(*columns)
+        rest = rounds.kept(rest.join(some.select("node"), "node", "left_anti"))
+    if not rest.isEmpty():
+        around = _around(rest)
+        reached.append(around.withColumn("path", F.lit(None).cast("array<string>")) if paths else around)
+    out = reached[0]
+    for some in reached[1:]:
+        out = out.unionByName(some)
+    return out
+
+
+def _extended(last: DataFrame, child: str) -> list[Column]:
+    path = [F.concat("path", F.array(child)).alias("path")] if "path" in last.columns else []
+    return [F.col(child).alias("node"), F.col("root"), (F.col("depth") + 1).alias("depth"), *path]
+
+
+def _many(last: DataFrame, rest: DataFrame) -> DataFrame:
+    """The nodes of the next LEVELS_A_PLAN levels below last, where links and frontier are partitioned by parent and slot."""
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = kept(hot_slots(rest.select(F.col("parent").alias("id")), parts))  # at most 4 * parts rows
+    own = F.broadcast(hot.select(F.col("id").alias("child"), F.col("slots").alias("child_slots")))
+    of_parent = F.broadcast(hot.select(F.col("id").alias("parent"), F.col("slots").alias("slots")))
+    slot = F.when(F.col("slots").isNull(), 0).otherwise(F.pmod(F.xxhash64("child"), F.col("slots")).cast("int")).alias("slot")
+    children = rest.withColumnRenamed("node", "child").join(of_parent, "parent", "left").join(own, "child", "left").select("parent", "child", slot, "child_slots").repartition("parent", "slot")
 
     def slotted(df: DataFrame) -> DataFrame:
-        return df.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).repartition(parts, "node", "slot")
+        return df.withColumn("slot", F.explode(F.sequence(F.lit(0), F.coalesce("child_slots", F.lit(1)) - 1))).drop("child_slots").repartition("node", "slot")
 
-    begin = [F.array("node").alias("path")] if paths else []
-    columns = ["node", "root", "depth", *(["path"] if paths else [])]
-    last = links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), "own", *begin)
-    reached = None
-    for first in range(0, levels, LEVELS_A_PLAN):
-        frontier = slotted(last)
-        found = [frontier]
-        for _ in range(min(LEVELS_A_PLAN, levels - first)):
-            extended = [F.concat("path", F.array("child")).alias("path")] if paths else []
-            met = children.join(frontier.hint("shuffle_hash"), (children["parent"] == frontier["node"]) & (children["slot"] == frontier["slot"]))
-            frontier = slotted(met.select(F.col("child").alias("node"), "root", (F.col("depth") + 1).alias("depth"), F.col("child_own").alias("own"), *extended))
-            found.append(frontier)
-        some = found[0] if reached is None else found[1]
-        for f in found[1 if reached is None else 2 :]:
-            some = some.unionByName(f)
-        some = kept(some.filter("slot = 0").select(*columns, "own"))
-        reached = some.select(*columns) if reached is None else reached.unionByName(some.select(*columns))
-        last = some.filter(F.col("depth") == min(first + LEVELS_A_PLAN, levels))
-        if last.isEmpty():
-            break
-    rest = kept(links.select("node", "parent").join(reached.select("node"), "node", "left_anti"))
-    if rest.isEmpty():
-        return reached
-    return reached.unionByName(_unreached(rest, reached.filter(F.col("depth") == levels), paths))
-
-
-def _unreached(rest: DataFrame, last: DataFrame, paths: bool) -> DataFrame:
-    """The same columns for the nodes beyond the last level: deep ones, and those on or below cycles."""
-    anchor = last.select(F.col("node").alias("parent"), "root", F.col("depth").alias("base"))
-    state = kept(
-        rest.join(anchor, "parent", "left").select("node", "parent", F.col("parent").alias("target"), F.lit(1).alias("dist"), "root", "base")
-    )  # root is set once the target is reached; base is the depth of that target
-    before = None
+    frontier = slotted(last.join(F.broadcast(hot.select(F.col("id").alias("node"), F.col("slots").alias("child_slots"))), "node", "left"))
+    found = None
+    for _ in range(LEVELS_A_PLAN):
+        met = children.join(frontier.hint("shuffle_hash"), (children["parent"] == frontier["node"]) & (children["slot"] == frontier["slot"]))
+        frontier = slotted(met.select(*_extended(last, "child"), "child_slots"))
+        found = frontier if found is None else found.unionByName(frontier)
+    return found.filter("slot = 0").drop("slot")
+
+
+def _few(last: DataFrame, rest: DataFrame, depth: int) -> DataFrame:
+    """The nodes of the next LEVELS_A_STAGE levels below last, where rest, the links left, is broadcast: its size was checked.
+
+    A row of the frontier meets its children, and itself once more if it has any; a row that meets nothing stays as it is.
+    """
+    steps = F.broadcast(rest.select("parent", F.col("node").alias("child")).unionByName(rest.select("parent", F.lit(None).cast("string").alias("child")).distinct()))
+    state = last.withColumn("open", F.col("node"))
+    for _ in range(LEVELS_A_STAGE):
+        met = state.join(steps, F.col("open") == F.col("parent"), "left")
+        grown = F.col("child").isNotNull()
+        path = [F.when(grown, F.concat("path", F.array("child"))).otherwise(F.col("path")).alias("path")] if "path" in last.columns else []
+        state = met.select(F.coalesce("child", "node").alias("node"), "root", (F.col("depth") + grown.cast("int")).alias("depth"), *path, F.col("child").alias("open"))
+    return state.filter(F.col("depth") > depth).drop("open")
+
+
+def _around(rest: DataFrame) -> DataFrame:
+    """(node, root '', depth -1 on a cycle and -2 below one) of links(node, parent) that no root reaches."""
+    state, rounds, before = rest.select("node", F.col("parent").alias("target")), Rounds(), None
     while True:
-        open_, done = state.filter("root is null"), state.filter("root is not null")
-        via = state.select(F.col("node").alias("target"), F.col("target").alias("next"), F.col("dist").alias("more"), F.col("root").alias("r"), F.col("base").alias("b"))
-        # Every target of an open node is a node of rest: a target that had been reached would have closed it.
-        moved = open_.join(via, "target", "left").select(
-            "node", "parent", F.coalesce("next", "target").alias("target"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("r").alias("root"), F.col("b").alias("base")
-        )
-        state = kept(done.unionByName(moved))
-        # The depths met are without gaps, so a round that closes no node closes none later; and the targets
-        # of the open ones shrink to the cycles and then stay.
-        counts = tuple(state.agg(F.count("root"), F.count_distinct(F.when(F.col("root").isNull(), F.col("target")))).first())
-        if counts == before:
+        via = state.select(F.col("node").alias("target"), F.col("target").alias("next"))
+        state = rounds.kept(state.join(via, "target").select("node", F.col("next").alias("target")))
+        targets = state.select("target").distinct().count()
+        if targets == before:  # the targets shrink round by round until they are the cycles' nodes
             break
-        before = counts
-    rings = state.filter("root is null").select(F.col("target").alias("node")).distinct().withColumn("ring", F.lit(True))
-    flat = state.join(rings, "node", "left").select(
-        "node",
-        "parent",
-        F.coalesce("root", F.lit("")).alias("root"),
-        F.when(F.col("root").isNotNull(), F.col("base") + F.col("dist")).when(F.col("ring"), ON_CYCLE).otherwise(BELOW_CYCLE).alias("depth"),
-    )
-    if not paths:
-        return flat.select("node", "root", "depth")
-    deep = flat.filter("depth >= 0")
-    steps = kept(
-        deep.join(last.select(F.col("node").alias("parent"), "path"), "parent", "left").select(
-            "node", "root", "depth", F.col("parent").alias("target"), F.concat(F.coalesce("path", F.array().cast("array<string>")), F.array("node")).alias("path"), F.col("path").isNotNull().alias("whole")
-        )
-    )
-    while not steps.filter("not whole").isEmpty():
-        via = steps.select(F.col("node").alias("target"), F.col("target").alias("next"), F.col("path").alias("head"), F.col("whole").alias("w"))
-        moved = steps.filter("not whole").join(via, "target").select("node", "root", "depth", F.col("next").alias("target"), F.concat("head", "path").alias("path"), F.col("w").alias("whole"))
-        steps = kept(steps.filter("whole").unionByName(moved))
-    around = flat.filter("depth < 0").select("node", "root", "depth", F.lit(None).cast("array<string>").alias("path"))
-    return steps.select("node", "root", "depth", "path").unionByName(around)
+        before = targets
+    rings = state.select(F.col("target").alias("node")).distinct().withColumn("ring", F.lit(True))
+    flat = state.join(rings, "node", "left")
+    return kept(flat.select("node", F.lit("").alias("root"), F.when(F.col("ring"), ON_CYCLE).otherwise(BELOW_CYCLE).alias("depth")))
 
 
 def containment_links(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.text_ids import clean_id, node_kind
@@ -18,6 +18,15 @@ from fathomgraph.functions.text_ids import clean_id, node_kind
 LEFT_N, RIGHT_N = "__left_n", "__right_n"
 
 
+def states(df: DataFrame, key: Column, by: Sequence[str], sums: Sequence[str], n: str) -> DataFrame:
+    """(__key, by, n, __sum_...): one row per key and group, by partial counts and sums ahead of the shuffle. Null keys have none."""
+    return (
+        df.select(key.alias("__key"), *by, *sums).filter(F.col("__key").isNotNull())
+        .groupBy("__key", *by)
+        .agg(F.count(F.lit(1)).alias(n), *[F.sum(c).alias(f"__sum_{c}") for c in sums])
+    )
+
+
 def eager_join(
     left: DataFrame,
     right: DataFrame,
@@ -35,15 +44,7 @@ def eager_join(
     """
     if set(left_by) & set(right_by) or set(left_sums) & set(right_sums):
         raise ValueError("left and right must use different column names")
-
-    def state(df: DataFrame, by: Sequence[str], sums: Sequence[str], n: str) -> DataFrame:
-        return (
-            df.filter(F.col(key).isNotNull())
-            .groupBy(F.col(key).alias("__key"), *by)
-            .agg(F.count(F.lit(1)).alias(n), *[F.sum(c).alias(f"__sum_{c}") for c in sums])
-        )
-
-    met = state(left, left_by, left_sums, LEFT_N).join(state(right, right_by, right_sums, RIGHT_N), "__key")
+    met = states(left, F.col(key), left_by, left_sums, LEFT_N).join(states(right, F.col(key), right_by, right_sums, RIGHT_N), "__key")
     out = [F.sum(F.col(LEFT_N) * F.col(RIGHT_N)).alias("n")]
     out += [F.sum(F.col(f"__sum_{c}") * F.col(RIGHT_N)).alias(f"sum_{c}") for c in left_sums]
     out += [F.sum(F.col(f"__sum_{c}") * F.col(LEFT_N)).alias(f"sum_{c}") for c in right_sums]
@@ -51,29 +52,28 @@ def eager_join(
     return rolled.filter("n is not null")
 
 
-def endpoint_counts(edges: DataFrame) -> DataFrame:
-    """(side, id, edge_rows): rows of edges per non-blank id and side. Ids are trimmed and lower-cased."""
-    ends = edges.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("to_id").alias("side"), clean_id("to_id").alias("id")),
-                F.struct(F.lit("from_id").alias("side"), clean_id("from_id").alias("id")),
-            )
-        ).alias("e")
-    ).select("e.side", "e.id")
-    return ends.filter("id is not null").groupBy("side", "id").agg(F.count(F.lit(1)).alias("edge_rows"))
+def joined_ends(edges: DataFrame) -> DataFrame:
+    """(id, in_rows, out_rows, paths_through) of every non-blank id: the eager form of joining edges to itself on to_id = from_id.
+
+    Both inputs are edges, reduced to a count per id ahead of the join: by to_id on the left, by from_id on the right. The
+    join is full, so that ids of one side alone stay, with 0 on the other. paths_through multiplies the counts: the rows of the join.
+    """
+    met = states(edges, clean_id("to_id"), (), (), LEFT_N).join(states(edges, clean_id("from_id"), (), (), RIGHT_N), "__key", "full_outer").na.fill(0, [LEFT_N, RIGHT_N])
+    return met.select(F.col("__key").alias("id"), F.col(LEFT_N).alias("in_rows"), F.col(RIGHT_N).alias("out_rows"), (F.col(LEFT_N) * F.col(RIGHT_N)).alias("paths_through"))
 
 
 def hot_ids(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """(side, hot_id) of the ids that hold at least `share` of the rows with a non-blank id on that side.
 
-    The states of endpoint_counts meet the two sides' totals, themselves rolled up from the states.
-    Empty edges give no rows.
+    The joined states of both sides are rolled up to the sides' totals, which each id's counts then meet. Empty edges give no rows.
     """
-    states = endpoint_counts(edges)
-    totals = states.groupBy("side").agg(F.sum("edge_rows").alias("side_rows"))
-    met = states.join(F.broadcast(totals), "side")  # two rows
-    return met.filter(F.col("edge_rows") >= F.col("side_rows") * F.lit(share)).select("side", F.col("id").alias("hot_id"))
+    ends = joined_ends(edges)
+    sides = F.array(F.struct(F.lit("to_id").alias("side"), F.col("in_rows").alias("n")), F.struct(F.lit("from_id").alias("side"), F.col("out_rows").alias("n")))
+    counts = ends.select(F.col("id").alias("hot_id"), F.explode(sides).alias("s")).select("hot_id", "s.*")
+    totals = ends.agg(F.sum("in_rows").alias("to_id"), F.sum("out_rows").alias("from_id"))
+    met = counts.join(F.broadcast(totals))  # one row
+    least = F.when(F.col("side") == "to_id", F.col("to_id")).otherwise(F.col("from_id")) * F.lit(share)
+    return met.filter((F.col("n") > 0) & (F.col("n") >= least)).select("side", "hot_id")
 
 
 def fan(edges: DataFrame) -> DataFrame:

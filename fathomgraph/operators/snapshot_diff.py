@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomgraph.functions.text_ids import clean_id, edge_confidence, edge_kind, edge_source, stripped
+from fathomgraph.functions.text_ids import clean_id, edge_kind, evidence, stripped
+from fathomgraph.plans.shared import kept
 
 
 def run_order(scan_runs: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def snapshot_changes(snapshots: DataFrame, runs: DataFrame, key: Column, compare
     that runs does not hold, are left out. A run without any record empties the table.
     """
     rows = snapshots.select("scan_run_id", key.alias("record_key"), compared.alias("value"), delivered.alias("delivered")).filter("record_key is not null")
-    placed = rows.join(runs, "scan_run_id").select("project_id", "record_key", "nth", "scan_run_id", "next_run", "delivered", "value")
+    # Written once, as the ranges are sampled ahead of the exchange: texts are parsed once, and both passes read the parsed columns.
+    placed = kept(rows.join(runs, "scan_run_id").select("project_id", "record_key", "nth", "scan_run_id", "next_run", "delivered", "value"))
     ranged = placed.repartitionByRange(F.col("project_id"), F.col("record_key"))
     delivery = Window.partitionBy("project_id", "record_key", "nth").orderBy(F.col("delivered").desc_nulls_last(), F.col("value").desc_nulls_last())
     last = ranged.withColumn("again", F.row_number().over(delivery)).filter("again = 1").drop("again", "delivered")
@@ -66,14 +68,14 @@ def graph_changes(node_snapshots: DataFrame, edge_snapshots: DataFrame, segment_
     and kinds compare trimmed and lower-cased. Edges of unknown kinds are keyed by their kind's own text;
     a missing endpoint leaves its place in the key empty.
     """
-    runs = run_order(scan_runs)
+    runs = kept(run_order(scan_runs))
     blank = lambda c: F.coalesce(c, F.lit(""))
     nodes = snapshot_changes(node_snapshots, runs, F.col("fqn"), F.struct(clean_id("id").alias("a"), F.lower(stripped("kind")).alias("b")), F.col("delivered_at"))
     edges = snapshot_changes(
         edge_snapshots,
         runs,
         F.concat_ws("|", blank(clean_id("from_id")), blank(clean_id("to_id")), F.coalesce(edge_kind("kind"), stripped("kind"), F.lit(""))),
-        F.struct(edge_source("provenance").alias("a"), edge_confidence("provenance").alias("b")),
+        evidence("provenance"),
         F.col("delivered_at"),
     )
     cache = snapshot_changes(segment_cache, runs, F.col("segment_id"), F.struct(clean_id("graph_fingerprint").alias("a")), F.col("updated_at"))

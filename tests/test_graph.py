@@ -1,6 +1,7 @@
 """The graph operators against brute force and by hand."""
 
 import random
+from datetime import datetime
 from collections import defaultdict
 
 import pytest
@@ -12,10 +13,11 @@ from fathomgraph.operators import components as C
 from fathomgraph.operators import interactive as I
 from fathomgraph.operators import metrics as M
 from fathomgraph.operators import resolution as R
+from fathomgraph.operators import skew
 from fathomgraph.operators import subsets as S
 from fathomgraph.operators import template as T
 from fathomgraph.operators.incremental import structure_fingerprint, trust_level
-from fathomgraph.sources.graph import check_columns, graph_edges, graph_nodes
+from fathomgraph.sources.graph import check_columns, graph_edges, graph_nodes, raw_edges
 
 EDGE = "from_id string, to_id string, kind string, source string, confidence string, recorded_at int"
 
@@ -72,8 +74,17 @@ def brute_components(pairs):
     return far, {v: min([v, *[w for w in far[v] if v in far[w]]]) for v in nodes if any(w != v and v in far[w] for w in far[v])}
 
 
+@pytest.fixture(params=["small", "large"])
+def size(request, monkeypatch):
+    """large: nothing counts as small, so nothing is broadcast or solved in one task."""
+    if request.param == "large":
+        monkeypatch.setattr(skew, "MAX_ROWS", 0)
+        monkeypatch.setattr(skew, "TASK_ROWS", 0)
+    return request.param
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components_and_reach(spark, seed):
+def test_components_and_reach(spark, seed, size):
     rng = random.Random(seed)
     pairs = [(f"n{rng.randrange(30):02d}", f"n{rng.randrange(30):02d}") for _ in range(40)] + [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("n01", "z1"), ("z1", "n01")]
     links = spark.createDataFrame(pairs, "src string, dst string")
@@ -86,13 +97,13 @@ def test_components_and_reach(spark, seed):
     assert C.strong_components(links.limit(0)).count() == 0
 
 
-def test_depth(spark):
+def test_depth(spark, size):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "d"), ("d", "d")], "src string, dst string")
     cyclic = spark.createDataFrame([("x",), ("y",)], "node string")
     assert {r.node: r.depth for r in C.longest_depth(links, cyclic).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "y": 0}
 
 
-def test_cohesion(spark):
+def test_cohesion(spark, size):
     edges = call_edges(spark, [("a", "b"), ("c", "out"), ("d", "out"), ("far", "e"), ("far", "f")])
     functions = spark.createDataFrame([(x,) for x in "abcdefg"], "id string")
     modules = spark.createDataFrame([(x, "m") for x in "abcdefg"] + [("out", "o"), ("far", "o")], "id string, module string")
@@ -148,7 +159,7 @@ def test_traversal(spark):
         T.guarded(nodes, 4, "nodes")
 
 
-def test_loading_dirty_nodes(spark):
+def test_loading_dirty_nodes(spark, size):
     raw = spark.createDataFrame(
         [(" A", "function", "m::f", '{"file":"x.rs","start_line":1,"end_line":3}', '{"is_test":"true","cyclomatic_complexity":"3","language":"Rust","path_repo_rel":5}', 1), ("b", "Odd", "b", None, None, 1), (None, "File", "c", None, None, 1), ("d", "File", None, "oops", '{"x":', 9)],
         "id string, kind string, fqn string, location string, properties string, n int",
@@ -189,3 +200,32 @@ def test_fingerprint_ignores_order_and_body(spark):
     two = structure_fingerprint(moved, call_edges(spark, [("8", "9"), ("9", "8"), ("9", "8")])).first()
     assert one.fingerprint == two.fingerprint != structure_fingerprint(nodes, call_edges(spark, [("1", "2")])).first().fingerprint
     assert [trust_level(0, 9, False), trust_level(6, 999, False), trust_level(1, 999, False), trust_level(1, 999, True)] == ["L0", "L1", "L2", "L3"]
+
+
+def test_sized_and_spread_joins(spark, size):
+    left = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("k"), "id")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "k string, v int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = skew.sized_join(left, right, "k", how), left.join(right, "k", how)
+        assert got.columns == want.columns and rows(got) == rows(want)
+    assert rows(skew.without(left, right.select(F.col("k").alias("id")), ["k"])) == rows(left.join(right, "k", "left_anti").select("k", "id"))
+
+
+def test_running_sums(spark):
+    data = [("a", i, i % 5) for i in range(500)] + [("b", 1, 7), (None, 2, 4), (None, 3, None)]
+    got = skew.running_sums(spark.createDataFrame(data, "g string, o int, v int"), ["g"], ["o"], "v", "s")
+    total, want = {}, []
+    for g, o, v in sorted(data, key=lambda r: (r[0] or "", r[1])):
+        total[g] = total.get(g, 0) + (v or 0)
+        want.append((g, o, v, total[g]))
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_last_edge_and_evidence(spark, size):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    e = spark.createDataFrame(
+        [("a", "b", "Call", '{"source":"Lsp","confidence":"Low"}', at(1)), ("A", "b ", '{"kind":"call"}', '{"source":"Heuristic","confidence":"High"}', at(2)), ("b", "a", "Call", None, None), ("b", "a", "call", '{"source":"TreeSitter","confidence":"Medium"}', None)],
+        "from_id string, to_id string, kind string, provenance string, recorded_at timestamp_ntz",
+    )
+    assert rows(raw_edges(e)) == sorted([("a", "b", "Call", "Heuristic", "High", at(2)), ("b", "a", "Call", "Unknown", "Unknown", None)], key=repr)
+    assert raw_edges(e.limit(0)).count() == 0

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fathomgraph.functions.text_ids import clean_id, edge_confidence, edge_kind, edge_source, node_kind
 from fathomgraph.operators import hierarchy as h
 from fathomgraph.operators.hot_keys import eager_join, fan, hot_ids, rows_by_node_kind
-from fathomgraph.operators.orphans import edge_orphans, hot_slots, orphans, orphans_by_month
+from fathomgraph.operators import skew
+from fathomgraph.operators.orphans import edge_orphans, orphans, orphans_by_month
+from fathomgraph.operators.skew import hot_slots
 from fathomgraph.operators.snapshot_diff import graph_changes, run_order, snapshot_changes
 
 EDGES = "edge_id bigint, from_id string, to_id string, kind string, provenance string, recorded_at timestamp_ntz, id string, n int, side string, slot int"
@@ -96,12 +98,14 @@ def walk(links):
     return out
 
 
-@pytest.mark.parametrize("levels", [1, 3, 16])
-def test_hierarchy_against_brute_force(spark, levels):
+@pytest.mark.parametrize("large", [False, True])
+def test_hierarchy_against_brute_force(spark, large, monkeypatch):
+    if large:  # nothing counts as small: levels go on by partitioned joins
+        monkeypatch.setattr(skew, "MAX_ROWS", 0)
     links = {"r": None, "s": None, **{f"c{i}": f"c{i - 1}" for i in range(1, 40)}, "c0": "r", "x": "x", "y": "z", "z": "y", "w": "z", "v": "w", "u": "x"}
     links |= {f"b{i}": "s" for i in range(50)} | {f"q{i}": f"q{(i + 1) % 5}" for i in range(5)} | {f"t{i}": f"t{i - 1}" for i in range(1, 9)} | {"t0": "q3"}
     df = spark.createDataFrame(list(links.items()), "node string, parent string")
-    got = h.hierarchy(df, levels=levels).collect()
+    got = h.hierarchy(df).collect()
     assert {r.node: (r.root, r.depth) for r in got} == walk(links) and len(got) == len(links)
     for r in got:
         assert r.path is None if r.depth < 0 else r.path[0] == r.root and r.path[-1] == r.node and len(r.path) == r.depth + 1
@@ -119,9 +123,12 @@ def test_containment(spark):
     assert h.containment(e.limit(0)).count() == 0
 
 
-def test_hot_parent_is_split(spark):
+@pytest.mark.parametrize("large", [False, True])
+def test_hot_parent_is_split(spark, large, monkeypatch):
+    if large:
+        monkeypatch.setattr(skew, "MAX_ROWS", 0)
     links = spark.range(20_000).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") > 0, F.lit("n0")).alias("parent"))
-    got = h.hierarchy(links, levels=1, paths=False).groupBy("root", "depth").count().collect()
+    got = h.hierarchy(links, paths=False).groupBy("root", "depth").count().collect()
     assert {tuple(r) for r in got} == {("n0", 0, 1), ("n0", 1, 19_999)}
 
 
