@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 
 def _round(key: bytes, i: int, size: int, half: int) -> int:
@@ -29,20 +30,26 @@ def permute(value: int, size: int, key: bytes, rounds: int = 8) -> int:
             return value
 
 
-def pseudonym(text: str, key: bytes, keep: int = 0) -> str:
+def pseudonym(text: str, key: bytes, keep: int = 0, valid: Callable[[str], bool] | None = None) -> str:
     """text with its digits, and its capital letters, permuted as two numbers; everything else stays.
 
-    The first `keep` digits stay as they are. Equal digits and letters give equal pseudonyms, however they are spaced.
+    The first `keep` digits stay as they are. Equal digits and letters give equal pseudonyms, however they are spaced. Where all
+    digits of text are valid, so are those of the pseudonym: the permutation walks on until they are, which keeps it one to one.
     """
     for chars, digits in (("[0-9]", "0123456789"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
-        at = [m.start() for m in re.finditer(chars, text)][keep if digits[0] == "0" else 0 :]
+        every = [m.start() for m in re.finditer(chars, text)]
+        at = every[keep if digits[0] == "0" else 0 :]
         base, number = len(digits), 0
         for i in at:
             number = number * base + digits.index(text[i])
-        number = permute(number, base ** len(at), key)
-        out = list(text)
-        for i in reversed(at):
-            number, d = divmod(number, base)
-            out[i] = digits[d]
+        walks = digits[0] == "0" and valid is not None and valid("".join(text[i] for i in every))
+        while True:
+            number = permute(number, base ** len(at), key)
+            out, left = list(text), number
+            for i in reversed(at):
+                left, d = divmod(left, base)
+                out[i] = digits[d]
+            if not walks or valid("".join(out[i] for i in every)):
+                break
         text = "".join(out)
     return text

@@ -1,8 +1,9 @@
 """Personal information inside free text: found, and replaced by typed placeholders with linked pseudonyms.
 
-Numbers are validated by shape (and label, where the shape alone says little) and keyed-permuted within their format by a Feistel
-network; names, addresses and emails get a keyed number of their normalised spelling. So equal values stay
-linked across documents, whoever holds them, without a table of values.
+Numbers are validated by shape, by label where the shape alone says little, and by their number blocks where nothing but the shape speaks for them. Numbers
+and dates of birth are keyed-permuted within their format by a Feistel network: valid numbers stay valid (blocks and check
+digits), dates stay dates. Names, addresses and emails get a keyed hash of their normalised spelling. So equal values stay linked across documents,
+whoever holds the key, without a table of values.
 
 Names are recognised by parts. The given and family names of the contributors are split into beginnings and
 endings that recur, so that people built from the same parts are recognised without being listed; an
@@ -11,24 +12,28 @@ automaton finds family names, and the words around one decide. Signature lines n
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import secrets
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from datetime import date, timedelta
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomgraph.llm.feistel import permute, pseudonym
 
 MAX_LISTED_PEOPLE = 200_000
 ROWS_A_BATCH = 1024
-DEFAULT_KEY = "not a secret: set your own"
+KEY_SETTING = "spark.fathomgraph.pii.key"
 
+SPACES = " \t\u00a0\u2007\u2009\u202f"
 SPACE = "[ \\t\\u00a0\\u2007\\u2009\\u202f]"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?"
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})"
@@ -50,7 +55,7 @@ PHONE = re.compile(
     r")(?!\w)(?![-./:]\d)"
 )
 PHONE_LABELLED = re.compile(
-    r"(?:\btel|\bphone|\bmobile?|\bfax|\bvoice|\bcell|\bcall|\bpager\b[^\n:]{0,40}|\brufnummer|\btelefon\w*|\btéléphone|\bteléfono|\bon-call)"
+    r"(?:\btel|\bphone|\bmobile?|\bfax|\bvoice|\bcell|\bcall|\bpager\b[^\n:]*|\brufnummer|\btelefon\w*|\btéléphone|\bteléfono|\bon-call)"
     rf"{SPACE}*[:=]?{SPACE}*(\+?\(?\d(?:(?:{SPACE}|[-./()]){{0,2}}\d){{7,14}})(?!\w)(?![-./:]\d)",
     re.I,
 )
@@ -101,23 +106,28 @@ _NAME_WORD = rf"{_LETTERS}+(?:['’](?!s\b){_LETTERS}+)?"
 
 
 def recurring_parts(names: Iterable[str], least: int = 2) -> tuple[frozenset[str], frozenset[str]]:
-    """Beginnings and endings of names that each combine with at least `least` of the other kind."""
-    after, before = defaultdict(set), defaultdict(set)
-    for n in set(names):
-        for i in range(2, len(n) - 1):
-            after[n[:i]].add(n[i:])
-            before[n[i:]].add(n[:i])
-    begins, ends = set(after), set(before)
+    """Beginnings and endings of names that each combine with at least `least` of the other kind.
+
+    Every split of a name is a pair of numbers; pairs without enough partners go, again and again, until all that are left have them.
+    """
+    begins: dict[str, int] = {}
+    ends: dict[str, int] = {}
+    pairs = np.array([(begins.setdefault(n[:i], len(begins)), ends.setdefault(n[i:], len(ends))) for n in sorted(set(names)) for i in range(2, len(n) - 1)], np.int64).reshape(-1, 2)
     while True:
-        b = {x for x in begins if len(after[x] & ends) >= least}
-        e = {x for x in ends if len(before[x] & b) >= least}
-        if (b, e) == (begins, ends):
-            return frozenset(b), frozenset(e)
-        begins, ends = b, e
+        b, e = np.bincount(pairs[:, 0], minlength=len(begins)), np.bincount(pairs[:, 1], minlength=len(ends))
+        live = (b[pairs[:, 0]] >= least) & (e[pairs[:, 1]] >= least)
+        if live.all():
+            return frozenset(x for x, k in begins.items() if b[k] >= least), frozenset(x for x, k in ends.items() if e[k] >= least)
+        pairs = pairs[live]
 
 
 class NameBook:
-    """Given and family names, listed or built of the listed ones' recurring parts; compared in lower case."""
+    """Given and family names, listed or built of the listed ones' recurring parts; compared in lower case.
+
+    Halves of a word are looked up when the word comes up, so the book grows with the list alone. Recent words are remembered.
+    """
+
+    REMEMBERED = 200_000
 
     def __init__(self, people: Iterable[tuple[str | None, str | None]]):
         given, family = set(), set()
@@ -125,22 +135,57 @@ class NameBook:
             given.update(p for p in re.split(r"[\s-]+", (g or "").strip().lower()) if len(p) > 1)
             family.update(p for p in re.split(r"[\s-]+", (f or "").strip().lower()) if len(p) > 1)
         self.given, self.given_parts = frozenset(given), recurring_parts(given)
-        begins, ends = recurring_parts(family)
-        self.families = ahocorasick.Automaton()
-        for name in family | {b + e for b in begins for e in ends}:
-            self.families.add_word(name, len(name))
-        if family:
-            self.families.make_automaton()
-        self.family = frozenset(family | {b + e for b in begins for e in ends})
+        self.family, self.family_parts = frozenset(family), recurring_parts(family)
+        #: Names that are more than a run of letters are looked for as they are.
+        self.odd = ahocorasick.Automaton()
+        for name in family:
+            if not _RUN.fullmatch(name):
+                self.odd.add_word(name, len(name))
+        if len(self.odd):
+            self.odd.make_automaton()
+        self.known: dict[str, bool] = {}
+
+    @staticmethod
+    def _is(word: str, names: frozenset[str], parts: tuple[frozenset[str], frozenset[str]]) -> bool:
+        begins, ends = parts
+        return word in names or any(word[:i] in begins and word[i:] in ends for i in range(2, len(word) - 1))
+
+    def is_family(self, word: str) -> bool:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) >= self.REMEMBERED:
+                self.known.clear()
+            out = self.known[word] = self._is(word, self.family, self.family_parts)
+        return out
 
     def is_given(self, word: str) -> bool:
-        w = word.lower()
-        begins, ends = self.given_parts
-        return w in self.given or any(w[:i] in begins and w[i:] in ends for i in range(2, len(w) - 1))
+        return self._is(word.lower(), self.given, self.given_parts)
 
     def is_given_name(self, words: str) -> bool:
         return all(self.is_given(w) for w in words.split("-"))
 
+    def families(self, low: str) -> list[tuple[int, int]]:
+        """Where family names stand in a lower-cased text."""
+        named = {w for w in set(_RUN.findall(low)) if self.is_family(w)}
+        spans = [m.span() for m in _RUN.finditer(low) if m.group() in named] if named else []
+        if len(self.odd):
+            spans += [(end + 1 - n, end + 1) for end, n in self.odd.iter(low)]
+        return sorted(spans)
+
+
+_RUN = re.compile(_LETTERS + "+")
+
+
+def token_start(text: str, at: int, tokens: int) -> int:
+    """Where the last `tokens` words ahead of `at` begin, in the line of `at`."""
+    line = text.rfind("\n", 0, at) + 1
+    spaces = [c for c in SPACES if c in text]
+    for _ in range(tokens):
+        while at > line and text[at - 1] in SPACES:
+            at -= 1
+        at = max([line, *(text.rfind(c, line, at) + 1 for c in spaces)])
+    return at
+
 
 _BEFORE = re.compile(rf"(?:(?P<initial>(?<![\w.]){_LETTERS}\.(?:{SPACE}?{_LETTERS}\.)?)|(?<![\w@.+/-])(?P<given>{_NAME_WORD}(?:-{_NAME_WORD})*)(?P<middle>{SPACE}+{_LETTERS}\.?)?){SPACE}+\Z")
 _AFTER = re.compile(rf"{SPACE}*,{SPACE}*(?:(?P<initial>{_LETTERS}\.(?:{SPACE}?{_LETTERS}\.)?)|(?P<given>{_NAME_WORD}(?:-{_NAME_WORD})*)(?![\w@/])(?:{SPACE}+{_LETTERS}\.)?)")
@@ -149,22 +194,19 @@ _HYPHEN_ON = re.compile(rf"(?:-{_NAME_WORD})+")
 
 
 def _names(text: str, low: str, book: NameBook) -> Iterator[tuple[int, int]]:
-    if not book.family:
-        return
     done = 0
-    spans = sorted((end + 1 - n, end + 1) for end, n in book.families.iter(low))
-    for start, end in spans:
+    for start, end in book.families(low):
         if start < done:
             continue
         if start and (text[start - 1].isalnum() or text[start - 1] in "_@+/"):
             continue
         if end < len(text) and (text[end].isalnum() or text[end] in "_@"):
             continue
-        while (m := _HYPHEN_ON.match(text, end)) and all(p.lower() in book.family for p in m.group()[1:].split("-")):
+        while (m := _HYPHEN_ON.match(text, end)) and all(book.is_family(p.lower()) for p in m.group()[1:].split("-")):
             end = m.end()
         if end < len(text) and (text[end] in "-_@+" and end + 1 < len(text) and text[end + 1].isalnum()):
             continue
-        lead = text[max(0, start - 80) : start]
+        lead = text[token_start(text, start, 3) : start]
         hit = None
         if m := _BEFORE.search(lead):
             if m["initial"] or book.is_given_name(m["given"]):
@@ -206,15 +248,35 @@ def _emails(text: str, low: str) -> Iterator[tuple[int, int]]:
 
 #: Six digits or more with what may stand between them: every number that can be meant lies in one, or begins just before.
 NUMBER = re.compile(rf"\d(?:(?:{SPACE}|[-./()]){{0,2}}\d){{5,}}")
-REACH = 72
+
+
+def has_us_blocks(digits: str) -> bool:
+    """Ten digits, or eleven with a leading 1, whose area and exchange start with 2 to 9, as North American numbers do."""
+    digits = digits.removeprefix("1") if len(digits) == 11 else digits
+    return len(digits) == 10 and digits[0] > "1" and digits[3] > "1"
+
+
+def has_id_blocks(digits: str) -> bool:
+    """Nine digits in blocks of 3, 2 and 4, of which none is all zeros; other lengths have no blocks."""
+    return len(digits) != 9 or digits[:3] != "000" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def has_check_digit(digits: str) -> bool:
+    """Eleven digits whose last is the check digit of ISO 7064 MOD 11,10, as in German tax numbers."""
+    if len(digits) != 11 or digits[0] == "0":
+        return False
+    product = 10
+    for d in digits[:10]:
+        product = ((int(d) + product) % 10 or 10) * 2 % 11
+    return (11 - product) % 10 == int(digits[10])
 
 
 def _numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Identity numbers, and phone numbers."""
-    ids, phones = [], []
+    """Identity numbers, and phone numbers. Labels are looked for from the number before, or the start of the line, on."""
+    ids, phones, before = [], [], 0
     for m in NUMBER.finditer(text):
         start, end = m.span()
-        base = max(0, start - REACH)
+        base = max(before, text.rfind("\n", before, start) + 1)
         near = text[base : end + 6]
         for x in ID_LABELLED.finditer(near):
             if 6 <= sum(c.isdigit() for c in x.group(1)) <= 14:
@@ -224,14 +286,69 @@ def _numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
                 phones.append((base + x.start(1), base + x.end(1)))
         at = max(0, start - 2)
         while at < end:
-            if x := ID_SHAPED.match(text, at):
+            if (x := ID_SHAPED.match(text, at)) and has_id_blocks(re.sub(r"\D", "", x.group())):
                 ids.append(x.span())
-            elif (x := PHONE.match(text, at)) and sum(c.isdigit() for c in x.group()) in PHONE_DIGITS:
+            elif (x := PHONE.match(text, at)) and sum(c.isdigit() for c in x.group()) in PHONE_DIGITS and (not US_PHONE.fullmatch(x.group()) or has_us_blocks(re.sub(r"\D", "", x.group()))):
                 phones.append(x.span())
             at = x.end() if x else at + 1
+        before = end
     return list(dict.fromkeys(ids)), list(dict.fromkeys(phones))
 
 
+US_PHONE = re.compile(rf"(?:\+?1{_SEP}?)?(?:\(\d{{3}}\){SPACE}?|\d{{3}}{_SEP})\d{{3}}{_SEP}\d{{4}}")
+
+#: What tells a date of birth, and the names of months.
+BIRTH_WORDS = ("birth", "born", "dob", "d.o.b", "geb", "né", "naissance", "nacid", "nacimiento")
+BIRTH_LABEL = rf"(?:date{SPACE}+of{SPACE}+birth|birth{SPACE}?da(?:te|y)|d\.?o\.?b\.?|born(?:{SPACE}+on)?|geburtsdatum|geboren(?:{SPACE}+am)?|geb\.|née?{SPACE}+le|date{SPACE}+de{SPACE}+naissance|nacid[oa](?:{SPACE}+el)?|fecha{SPACE}+de{SPACE}+nacimiento)"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
+BIRTH = re.compile(
+    rf"(?<!\w){BIRTH_LABEL}(?:{SPACE}|[\"':=(]|is\b|was\b)*((?P<y>\d{{4}})-(?P<m>\d\d?)-(?P<d>\d\d?)|(?P<a>\d\d?)(?P<sep>[./-])(?P<b>\d\d?)(?P=sep)(?P<y2>\d{{4}})"
+    rf"|(?P<name>{_MONTH}){SPACE}+(?P<d3>\d\d?),?{SPACE}+(?P<y3>\d{{4}})|(?P<d4>\d\d?){SPACE}+(?P<name4>{_MONTH}),?{SPACE}+(?P<y4>\d{{4}}))(?!\w)",
+    re.I,
+)
+FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+
+
+def _day_of(m: re.Match) -> date | None:
+    """The day that a match of BIRTH names; where day and month could be either, dots mean day first, other signs month first."""
+    day_first = m["sep"] == "." or int(m["a"]) > 12 if m["a"] else False
+    month_of = lambda name: [n[:3] for n in MONTHS].index(name[:3].lower()) + 1
+    if m["y"]:
+        y, mo, d = m["y"], m["m"], m["d"]
+    elif m["a"]:
+        y, mo, d = (m["y2"], m["b"], m["a"]) if day_first else (m["y2"], m["a"], m["b"])
+    else:
+        y, mo, d = (m["y3"], month_of(m["name"]), m["d3"]) if m["name"] else (m["y4"], month_of(m["name4"]), m["d4"])
+    try:
+        day = date(int(y), int(mo), int(d))
+    except ValueError:
+        return None
+    return day if FIRST_DAY <= day and (day - FIRST_DAY).days < DAYS else None
+
+
+def _births(text: str, low: str) -> Iterator[tuple[int, int]]:
+    if any(w in low for w in BIRTH_WORDS):
+        for m in BIRTH.finditer(text):
+            if _day_of(m):
+                yield m.span(1)
+
+
+def other_day(value: str, key: bytes) -> str:
+    """A date of birth as another day in the same writing: its place among the days of 1900 to 2099, permuted."""
+    m = BIRTH.fullmatch("born " + value)
+    day = FIRST_DAY + timedelta(permute((_day_of(m) - FIRST_DAY).days, DAYS, key))
+    wide = lambda n, like: f"{n:0{len(like)}d}" if like.startswith("0") or n > 9 else str(n) if len(like) == 1 else f"{n:02d}"
+    if m["y"]:
+        return f"{day.year}-{wide(day.month, m['m'])}-{wide(day.day, m['d'])}"
+    if m["a"]:
+        day_first = m["sep"] == "." or int(m["a"]) > 12
+        a, b = (day.day, day.month) if day_first else (day.month, day.day)
+        return f"{wide(a, m['a'])}{m['sep']}{wide(b, m['b'])}{m['sep']}{day.year}"
+    month = MONTHS[day.month - 1].capitalize()
+    return f"{month} {day.day}, {day.year}" if m["name"] else f"{day.day} {month} {day.year}"
+
+
 #: Words before a street type that make it no address.
 NOT_STREETS = frozenset("of in is at the a an to and or with for from by on ms s lines files functions symbols edges nodes rows times hops weeks months percent".split())
 
@@ -248,7 +365,7 @@ def _addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
         while at >= 0:
             end = at + len(kind)
             if m := DE_NUMBER.match(text, end):
-                own = DE_LEAD.search(text[max(0, at - 60) : at])
+                own = DE_LEAD.search(text[token_start(text, at, 3) : at])
                 words = own.group().split() if own else []
                 if own and own.group()[-1:].isalpha():  # the type ends a word: that word alone is the street
                     yield at - len(words[-1]), m.end()
@@ -263,7 +380,7 @@ def _addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
 
 
 def find(text: str | None, book: NameBook) -> list[tuple[int, int, str]]:
-    """(start, end, type) in order, without overlap: where finds overlap, the first of email, id number, phone, address and name stays."""
+    """(start, end, type) in order, without overlap: where finds overlap, the first of email, id number, phone, address, name and date of birth stays."""
     if not text:
         return []
     spans: list[tuple[int, int, str]] = []  # sorted, without overlap
@@ -284,18 +401,28 @@ def find(text: str | None, book: NameBook) -> list[tuple[int, int, str]]:
     add("address", _addresses(text, low))
     add("name", _names(text, low, book))
     add("name", (m.span(1) for m in SIGNED.finditer(text)))
+    add("date", _births(text, low))
     return spans
 
 
 def _tag(kind: str, value: str, key: bytes) -> str:
-    number = int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), key=key, digest_size=8).digest(), "big")
-    return f"{permute(number % 10**10, 10**10, key):010d}"
+    """80 bits of a keyed hash: among 10 ** 9 values, two share one with a chance below one in a million."""
+    return base64.b32encode(hashlib.blake2b(f"{kind}:{value}".encode(), key=key, digest_size=10).digest()).decode().lower()
+
+
+def _tax_number(value: str, key: bytes) -> str:
+    """A number with a check digit as another one: ten digits are permuted, the check digit is worked out anew."""
+    digits = re.sub(r"\D", "", value)
+    ten = pseudonym(digits[:10], key, valid=lambda d: d[0] != "0")
+    new = next(ten + c for c in "0123456789" if has_check_digit(ten + c))
+    it = iter(new)
+    return re.sub(r"\d", lambda _: next(it), value)
 
 
 def placeholder(kind: str, value: str, key: bytes) -> str:
     """`[PHONE:+1 (415) 555-0188]` and the like: the same for equal values.
 
-    Phones keep the country's prefix and their layout, and link by national number; identity numbers keep their layout. Emails
+    Phones keep the country's prefix and their layout, and link by national number; identity numbers keep their layout; dates their writing. Emails
     link by address, disguised or not; names by their words in any order and case; addresses by their letters and digits.
     """
     if kind == "phone":
@@ -304,9 +431,14 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
             national = re.sub(r"^(0044|44)?0?", "", digits)
         else:
             national = digits[-10:]
-        return f"[PHONE:{pseudonym(value, key, keep=len(digits) - len(national))}]"
+        return f"[PHONE:{pseudonym(value, key, len(digits) - len(national), has_us_blocks if US_PHONE.fullmatch(value) else None)}]"
     if kind == "id_number":
-        return f"[ID_NUMBER:{pseudonym(value.upper(), key)}]"
+        digits = re.sub(r"\D", "", value)
+        if has_check_digit(digits) and not re.search("[A-Za-z]", value):
+            return f"[ID_NUMBER:{_tax_number(value, key)}]"
+        return f"[ID_NUMBER:{pseudonym(value.upper(), key, valid=has_id_blocks if len(digits) == 9 else None)}]"
+    if kind == "date":
+        return f"[DATE:{other_day(value, key)}]"
     if kind == "email":
         plain = re.sub(rf"{SPACE}*[(\[{{]?\bdot\b[)\]}}]?{SPACE}*", ".", re.sub(rf"{SPACE}*[(\[{{]?\bat\b[)\]}}]?{SPACE}*", "@", value.lower(), count=1))
         return f"[EMAIL:{_tag(kind, plain, key)}]"
@@ -316,13 +448,18 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
     return f"[ADDRESS:{_tag(kind, ' '.join(re.findall(r'[^\W_]+', value.lower())), key)}]"
 
 
+def found(text: str | None, book: NameBook, key: bytes) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, placeholder) of every find in order; none in null and empty texts. Finds and their pseudonyms come from here alone."""
+    return [(s, e, kind, placeholder(kind, text[s:e], key)) for s, e, kind in find(text, book)]
+
+
 def redact(text: str | None, book: NameBook, key: bytes) -> str | None:
     """text with every find replaced by its placeholder; null and empty texts as they are."""
     if not text:
         return text
     out, at = [], 0
-    for s, e, kind in find(text, book):
-        out += [text[at:s], placeholder(kind, text[s:e], key)]
+    for s, e, _, instead in found(text, book, key):
+        out += [text[at:s], instead]
         at = e
     return "".join([*out, text[at:]])
 
@@ -347,36 +484,43 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(start, ROWS_A_BATCH)
 
 
-def personal_data(documents: DataFrame, contributors: DataFrame) -> DataFrame:
-    """(doc_id, pii_type, found_value): one row per document, type and distinct value as it stands in the text.
+def secret_key(spark: SparkSession) -> bytes:
+    """The key of the session's KEY_SETTING. Without one a random key is drawn: pseudonyms are then linked within one result, and nobody can undo them."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return hashlib.sha256(named.encode()).digest() if named else secrets.token_bytes(32)
+
 
-    Null, empty and blank texts have none. Texts are searched whole. contributors may be empty: names are then found in signature
-    lines alone. Rows of documents count each for itself: doc_id is unique. Other columns are ignored.
+def pseudonyms(documents: DataFrame, contributors: DataFrame) -> DataFrame:
+    """(doc_id, pii_type, found_value, placeholder): one row per document, type and distinct value as it stands in the text, with what replaces it.
+
+    Types are those of personal_data, and date: dates of birth. Null, empty and blank texts have none. Texts are searched whole. contributors may be
+    empty: names are then found in signature lines alone. Rows of documents count each for itself: doc_id is unique. Other columns are ignored.
     """
-    people = _people(contributors)
+    people, key = _people(contributors), secret_key(documents.sparkSession)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _book(people)
         for batch in _sliced(batches):
-            ids, kinds, values = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for kind, value in dict.fromkeys((k, text[s:e]) for s, e, k in find(text, book)):
-                    ids.append(doc)
-                    kinds.append(kind)
-                    values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["doc_id", "pii_type", "found_value"])
+            rows = [(doc, *x) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in dict.fromkeys((k, text[s:e], p) for s, e, k, p in found(text, book, key))]
+            columns = [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2, 3)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pii_type", "found_value", "placeholder"])
+
+    return documents.select("doc_id", "text").mapInArrow(search, "doc_id bigint, pii_type string, found_value string, placeholder string")
 
-    return documents.select("doc_id", "text").mapInArrow(search, "doc_id bigint, pii_type string, found_value string")
+
+def personal_data(documents: DataFrame, contributors: DataFrame) -> DataFrame:
+    """(doc_id, pii_type, found_value) of pseudonyms, for email, phone, id_number, address and name."""
+    return pseudonyms(documents, contributors).filter("pii_type != 'date'").select("doc_id", "pii_type", "found_value")
 
 
-def redacted(documents: DataFrame, contributors: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """(doc_id, text): every document with its personal data replaced by placeholders; null texts stay null."""
-    people, secret = _people(contributors), hashlib.sha256(key.encode()).digest()
+def redacted(documents: DataFrame, contributors: DataFrame) -> DataFrame:
+    """(doc_id, text): every document with its personal data, and dates of birth, replaced by placeholders; null texts stay null."""
+    people, key = _people(contributors), secret_key(documents.sparkSession)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _book(people)
         for batch in _sliced(batches):
-            texts = [redact(t, book, secret) for t in batch.column("text").to_pylist()]
+            texts = [redact(t, book, key) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return documents.select("doc_id", "text").mapInArrow(replace, "doc_id bigint, text string")

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from fathomgraph.llm.feistel import permute, pseudonym
-from fathomgraph.llm.pii import NameBook, find, personal_data, placeholder, redact, redacted
+from fathomgraph.llm.pii import KEY_SETTING, NameBook, find, has_check_digit, has_id_blocks, has_us_blocks, personal_data, placeholder, pseudonyms, redact, redacted
 
 PEOPLE = [(g + e, f + x) for g, e in zip(["Tov", "Sel", "Tov", "Sel", "Ul", "Ul"], ["una", "una", "wyn", "wyn", "una", "wyn"]) for f, x in [("Stel", "wick"), ("Rav", "mere"), ("Stel", "mere"), ("Rav", "wick")]]
 BOOK = NameBook(PEOPLE + [(None, "Ðarholm"), ("Ana ", None), (" KIM", "LORMERE")])
@@ -86,3 +86,70 @@ def test_tables(spark):
     assert [r.text for r in redacted(docs, people).collect()][:2] == [None, ""]
     assert [r.pii_type for r in personal_data(docs, people.limit(0)).collect()] == ["email"]
     assert personal_data(docs.limit(0), people).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, date",
+    [("Born on March 3, 1984 in", "March 3, 1984"), ("DOB: 1984-03-09;", "1984-03-09"), ("geb. 09.03.1984", "09.03.1984"), ("née le 3 March 1984", "3 March 1984"), ('"date of birth": "3/21/1984"', "3/21/1984")],
+)
+def test_dates_of_birth_become_other_dates_in_the_same_writing(text, date):
+    assert found(text) == [("date", date)]
+    got = placeholder("date", date, KEY)[6:-1]
+    assert got != date and re.sub("[A-Z][a-z]+", "M", re.sub(r"\d+", "9", got)) == re.sub("[A-Z][a-z]+", "M", re.sub(r"\d+", "9", date))
+    assert found(text.replace(date, got)) == [("date", got)]
+
+
+def test_days_without_a_label_or_that_do_not_exist_stay():
+    assert found("released 2024-03-09, born 1984-02-31, DOB 31.31.1984, born free") == []
+
+
+def test_numbers_outside_of_all_blocks_are_none():
+    assert found("row 123-45-0000 and 123-00-4567 and 000-12-3456, row 155-555-0134 or 255-155-0134") == []
+    assert found("SSN 123-00-4567") == [("id_number", "123-00-4567")]  # the label speaks for it
+
+
+def test_pseudonyms_of_valid_numbers_are_valid():
+    digits = lambda s: re.sub(r"\D", "", s)
+    tens = [f"{n:010d}" for n in range(2_000_000_000, 2_000_000_000 + 200_000, 1_037)]
+    whole = [t + c for t in tens for c in "0123456789" if has_check_digit(t + c)]
+    assert len(whole) == len(tens) and has_check_digit("86095742719") and not has_check_digit("86095742718")
+    got = [digits(placeholder("id_number", w, KEY)) for w in whole]
+    assert all(map(has_check_digit, got)) and len(set(got)) == len(whole)
+    assert all(has_us_blocks(digits(placeholder("phone", f"({200 + i}) 255-{i:04d}", KEY))) for i in range(0, 700, 7))
+    assert all(has_id_blocks(digits(placeholder("id_number", f"{100 + i}-12-{i + 1:04d}", KEY))) for i in range(0, 700, 7))
+
+
+def test_a_long_list_of_names_needs_little_memory():
+    import itertools
+    import tracemalloc
+
+    syllables = ["".join(p) for p in itertools.product("bdfgklmnprst", "aeiou", "lmnrs")]
+    names = ["".join(p) for p in itertools.islice(itertools.product(syllables, syllables, syllables[::7]), 200_000)]
+    tracemalloc.start()
+    book = NameBook([("Ana", n) for n in names])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1e9 and book.is_family(names[77]) and [k for k, _ in find_kinds(book, f"Ana {names[77].title()} said")] == ["name"]
+
+
+def find_kinds(book, text):
+    return [(k, text[s:e]) for s, e, k in find(text, book)]
+
+
+def test_long_lines_and_labels_far_from_the_number():
+    lead = "word " * 5_000
+    assert found(f"{lead}SSN" + " " * 200 + "978-41-6830") == [("id_number", "978-41-6830")]
+    assert found(lead + "Tovuna-Seluna" * 3 + " " * 90 + "Stelwick") == found("Tovuna" + " " * 90 + "Nobody")
+    assert found("Tovuna" + " " * 90 + "Stelwick") == [("name", "Tovuna" + " " * 90 + "Stelwick")]
+
+
+def test_the_key_comes_from_the_session(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.example")], "doc_id bigint, text string")
+    people = spark.createDataFrame([], "given_name string, family_name string")
+    one = lambda: redacted(docs, people).first().text
+    assert one() != one()  # no key: a new one for each result
+    spark.conf.set(KEY_SETTING, "mine")
+    try:
+        assert one() == one() and one() == f"mail {pseudonyms(docs, people).first().placeholder}"
+    finally:
+        spark.conf.unset(KEY_SETTING)
