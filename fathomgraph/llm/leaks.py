@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -25,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgraph.plans.shared import kept
+
 RUN = 12
 K1, B = 1.2, 0.75
 BLOCK = 16
 STEP = 8
 TERM_WORDS = 3
 ITEMS_AN_INDEX = 20_000
+BYTES_A_READ = 64_000_000
 ROWS_A_BATCH = 256
 _WORDS = re.compile(r"[^\W_]+")
 _FORMAT = re.compile("[" + "".join(rf"\U{c:08x}" for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]+")
@@ -106,8 +110,7 @@ class Index:
             upper, after = 0.0, None
             for c in live[: pivot + 1]:  # the blocks that would hold the pivot
                 p, b = c[2], c[1] // BLOCK
-                while b < len(p.block_last) and p.block_last[b] < item:
-                    b += 1
+                b = bisect_left(p.block_last, item, b)
                 if b < len(p.block_last):
                     upper += p.block_top[b]
                     after = p.block_last[b] if after is None else min(after, p.block_last[b])
@@ -125,8 +128,7 @@ class Index:
             moved = []
             for c in live[: pivot + 1]:
                 items, k = c[2].items, c[1]
-                while k < len(items) and items[k] < target:
-                    k += 1
+                k = bisect_left(items, target, k)
                 if k < len(items):
                     moved.append([items[k], k, c[2]])
             live = moved + live[pivot + 1 :]
@@ -156,7 +158,7 @@ class Index:
 
 @lru_cache(2)
 def _index(passages: tuple[str | None, ...]) -> Index:
-    """One per Python worker."""
+    """The last two of a Python worker."""
     return Index(passages)
 
 
@@ -165,44 +167,41 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
     answer_found tells whether the item's answer also stands in the text, as consecutive words; null if the
     answer has none. Null and empty texts hold nothing; passages of fewer than RUN words, and null ones, can't leak; openings
-    that items share count for each of them. Rows of eval_items with one id count as one item each; the pair comes once. Whole texts are
-    searched. Items beyond ITEMS_AN_INDEX take one more pass over documents for each further index, so that a worker's memory
-    is bounded and no item is dropped.
+    that items share count for each of them. Repeated rows of eval_items count once, several items of one id as one; the pair comes once. Whole texts are
+    searched, for all items: ITEMS_AN_INDEX items make an index, and one read of documents serves all indexes, which a worker builds in turn for
+    each batch, so its memory holds two. A read carries items of up to BYTES_A_READ; further items take a further read.
     """
-    items = eval_items.select("item_id", F.col("passage").cast("string"), F.col("answer").cast("string")).distinct()
-    if items.limit(ITEMS_AN_INDEX + 1).count() <= ITEMS_AN_INDEX:
-        return _leaks_of(documents, items)
-    shards = -(-items.count() * 2 // ITEMS_AN_INDEX)
+    items = kept(eval_items.select("item_id", F.col("passage").cast("string"), F.col("answer").cast("string")).distinct())
+    size = items.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in items.columns), F.lit(32)))).first()[0] or 0
+    reads = -(-size * 2 // BYTES_A_READ) or 1
     out = None
-    for k in range(shards):
-        part = _leaks_of(documents, items.filter(F.pmod(F.xxhash64("item_id", "passage", "answer"), F.lit(shards)) == k))
+    for k in range(reads):
+        part = _leaks_of(documents, items if reads == 1 else items.filter(F.pmod(F.xxhash64("item_id", "passage", "answer"), F.lit(reads)) == k))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max("answer_found").alias("answer_found"))
+    return out if reads == 1 else out.groupBy("doc_id", "item_id").agg(F.max("answer_found").alias("answer_found"))
 
 
 def _leaks_of(documents: DataFrame, items: DataFrame) -> DataFrame:
-    taken = items.limit(ITEMS_AN_INDEX * 2 + 1).collect()
-    if len(taken) > ITEMS_AN_INDEX * 2:
-        raise RuntimeError(f"more than {ITEMS_AN_INDEX * 2} items for one index")
-    rows = sorted({(r[0], r[1], r[2]) for r in taken}, key=repr)
-    names, passages, answers = ([r[k] for r in rows] for k in range(3))
+    """For distinct items whose size was checked."""
+    rows = sorted(((r[0], r[1], r[2]) for r in items.collect()), key=repr)
+    indexes = [tuple(rows[k : k + ITEMS_AN_INDEX]) for k in range(0, len(rows), ITEMS_AN_INDEX)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(tuple(passages))
-        replies = [" ".join(words(a)) for a in answers]
+        replies = [[" ".join(words(r[2])) for r in some] for some in indexes]
         for whole in batches:
-            for begin in range(0, whole.num_rows, ROWS_A_BATCH):
-                batch = whole.slice(begin, ROWS_A_BATCH)
-                found: list[tuple[int, str, bool | None]] = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    if hits := index.leaked(text):
-                        spaced = f" {' '.join(words(text))} "
-                        pairs: dict[str, bool | None] = {}
-                        for i in hits:
-                            said = f" {replies[i]} " in spaced if replies[i] else None
-                            pairs[names[i]] = said if pairs.get(names[i]) is None else pairs[names[i]] or bool(said)
-                        found += [(doc, n, said) for n, said in pairs.items()]
-                columns = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.bool_())]
+            pieces = [whole] if len(indexes) > 1 else [whole.slice(begin, ROWS_A_BATCH) for begin in range(0, whole.num_rows, ROWS_A_BATCH)]
+            for batch in pieces:
+                pairs: dict[tuple[int, str], bool | None] = {}
+                docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                for some, answers in zip(indexes, replies):
+                    index = _index(tuple(r[1] for r in some))
+                    for at, text in enumerate(texts):
+                        if hits := index.leaked(text):
+                            spaced = f" {' '.join(words(text))} "
+                            for i in hits:
+                                said, pair = f" {answers[i]} " in spaced if answers[i] else None, (at, some[i][0])
+                                pairs[pair] = said if pairs.get(pair) is None else pairs[pair] or bool(said)
+                columns = [pa.array([docs[p[0]] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.string()), pa.array(list(pairs.values()), pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "answer_found"])
 
     return documents.select("doc_id", "text").mapInArrow(search, "doc_id bigint, item_id string, answer_found boolean")

@@ -1,5 +1,6 @@
 import random
 
+from fathomgraph.llm import leaks as module
 from fathomgraph.llm.leaks import RUN, STEP, Index, leaks, words
 
 
@@ -50,3 +51,20 @@ def test_tables(spark):
     got = sorted((r.doc_id, r.item_id, r.answer_found) for r in leaks(docs, items).collect())
     assert got == [(1, "a", False), (1, "a", True), (1, "d", None), (1, "d", None), (2, "a", False), (2, "d", None)]
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
+
+
+def test_many_items_need_one_read_and_none_is_lost(spark, monkeypatch):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(30)]
+    passages = [" ".join(rng.choices(vocabulary, k=20)) for _ in range(60)]
+    texts = [" ".join([*rng.choices(vocabulary, k=5), *words(p)[2:16], "end"]) for p in passages]
+    items = spark.createDataFrame([("again", passages[0], None)] * 300 + [(f"i{k}", p, None) for k, p in enumerate(passages)], "item_id string, passage string, answer string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    expected = sorted((d, f"i{i}") for d, hits in enumerate(brute(texts, passages)) for i in hits)
+    expected = sorted(expected + [(d, "again") for d, i in expected if i == "i0"])
+    monkeypatch.setattr(module, "ITEMS_AN_INDEX", 10)
+    found = leaks(docs, items)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == expected
+    assert found._jdf.queryExecution().toString().count("MapInArrow") == leaks(docs, items.limit(1))._jdf.queryExecution().toString().count("MapInArrow")
+    monkeypatch.setattr(module, "BYTES_A_READ", 2_000)  # several reads
+    assert sorted((r.doc_id, r.item_id) for r in leaks(docs, items).collect()) == expected
