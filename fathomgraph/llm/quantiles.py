@@ -9,30 +9,48 @@ with a relative error below 2 ** (12 - bits).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from fathomgraph.functions.text_ids import stripped
-from fathomgraph.plans.shared import kept
+from fathomgraph.plans.shared import kept, shared_folder
 
 DIGIT = 16
 MAX_BROADCAST_TARGETS = 100_000
 PERMILLES = (50, 250, 500, 750, 900, 950, 990)
 
 
+LOW_BITS = np.int64(0x7FFFFFFFFFFFFFFF)
+
+
+@F.arrow_udf(LongType())
+def _keys(values: pa.Array) -> pa.Array:
+    """A view of a batch of doubles as integers, with the lower bits of negative ones turned over."""
+    v = values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # -0.0 becomes 0.0, null becomes NaN
+    bits = v.view(np.int64)
+    return pa.array(np.where(bits < 0, bits ^ LOW_BITS, bits), mask=np.isnan(v))
+
+
+@F.arrow_udf(DoubleType())
+def _values(keys: pa.Array) -> pa.Array:
+    k = keys.to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array(np.where(k < 0, k ^ LOW_BITS, k).view(np.float64))
+
+
 def order_key(value: Column) -> Column:
     """A bigint that orders as the double does; -0.0 counts as 0.0. Null and NaN give null."""
-    v = value.cast("double")
-    bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.when(v == 0, F.lit(0.0)).otherwise(v)).cast("bigint")
-    key = F.when(bits < 0, bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(bits)
-    return F.when(v.isNotNull() & ~F.isnan(v), key)
+    return _keys(value.cast("double"))
 
 
 def key_value(key: Column) -> Column:
-    bits = F.when(key < 0, key.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))).otherwise(key)
-    return F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+    """The double of an order_key that is not null."""
+    return _values(key)
 
 
 def _followed(histogram: DataFrame, by: Sequence[str], targets: DataFrame) -> DataFrame:
@@ -76,6 +94,17 @@ def radix_state(keys: DataFrame, groups: Sequence[str], bits: int = 24) -> DataF
     return keys.filter("key is not null").groupBy(*groups, F.shiftright("key", 64 - bits).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def store_days(states: DataFrame, folder: str) -> None:
+    """Writes states(day, groups, prefix, rows) by month of the day. Only the months that states hold are replaced, so late rows mean their months' states anew."""
+    month = F.coalesce(F.date_format("day", "yyyy-MM"), F.lit("none"))
+    states.withColumn("month", month).repartition("month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(folder)
+
+
+def stored_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The states of store_days: what percentiles of any days are made from, without the values."""
+    return spark.read.parquet(folder)
+
+
 def merged_percentiles(states: DataFrame, groups: Sequence[str], bits: int = 24, permilles: Sequence[int] = PERMILLES) -> DataFrame:
     """(groups, permille, n, value) of the sum of states: the lower edge (towards zero) of the prefix that holds the rank.
 
@@ -115,6 +144,7 @@ def population_percentiles(population: DataFrame) -> DataFrame:
 
 
 def population_percentiles_of_days(population: DataFrame) -> DataFrame:
-    """The same from one 24-bit state per day, summed: relative error below 2 ** -12."""
-    states = radix_state(population_keys(population), ["day", "language", "metric"])
-    return _named(merged_percentiles(states, ["language", "metric"]))
+    """The same from one stored 24-bit state per day, summed: relative error below 2 ** -12. The values are read for the states alone."""
+    folder = f"{shared_folder(population.sparkSession)}/population-days-{uuid.uuid4().hex[:8]}"
+    store_days(radix_state(population_keys(population), ["day", "language", "metric"]), folder)
+    return _named(merged_percentiles(stored_days(population.sparkSession, folder), ["language", "metric"]))

@@ -13,7 +13,10 @@ from fathomgraph.llm.tokenizer import token_ids
 from fathomgraph.sources.tables import table
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The table of texts; a table of fewer splits than there are cores is spread over them, as each text costs far more than its transport."""
+    """The table of texts; a table of fewer splits than there are cores is spread over them, as each text costs far more than its transport.
+
+    Only the plan depends on that, not the rows; larger tables are read as they are.
+    """
     texts = table(spark, folder, "documents")
     cores = spark.sparkContext.defaultParallelism
     return texts if texts.rdd.getNumPartitions() >= cores else texts.select("doc_id", "text").repartition(cores)

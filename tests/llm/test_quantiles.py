@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fathomgraph.llm.quantiles import key_value, merged_percentiles, order_key, population_percentiles, radix_percentiles, radix_state
+from fathomgraph.llm.quantiles import key_value, merged_percentiles, order_key, population_percentiles, radix_percentiles, radix_state, store_days, stored_days
 
 
 def frame(spark, rows):
@@ -61,3 +61,16 @@ def test_the_mapping_orders_any_doubles(values):
         return bits ^ 0x7FFFFFFFFFFFFFFF if bits < 0 else bits
 
     assert sorted(values) == sorted(values, key=key)
+
+
+def test_stored_days_combine_and_late_rows_replace_their_month(spark, tmp_path):
+    folder = str(tmp_path / "days")
+    rows = [(f"2024-0{1 + i % 3}-0{1 + i % 7}", "a", float(i)) for i in range(90)] + [(None, "a", 3.0)]
+    frame_of = lambda some: spark.createDataFrame(some, "day string, g string, v double").select(F.col("day").cast("date").alias("day"), "g", order_key(F.col("v")).alias("key"))
+    answer = lambda: {r.permille: (r.n, r.value) for r in merged_percentiles(stored_days(spark, folder), ["g"]).collect()}
+    store_days(radix_state(frame_of(rows), ["day", "g"]), folder)
+    first = answer()
+    assert {n for n, _ in first.values()} == {91}
+    late = [r for r in rows if r[0] and r[0][6] == "2"] + [("2024-02-03", "a", 500.0)] * 9
+    store_days(radix_state(frame_of(late), ["day", "g"]), folder)
+    assert {n for n, _ in answer().values()} == {100} and answer()[990][1] > first[990][1]
