@@ -88,7 +88,7 @@ ID_SHAPED = re.compile(r"(?<![\w.+:/@#-])(?<!\d )(?:\d{3}([- ])\d{2}\1\d{4}|\d{4
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _CAP = r"(?:[^\W\d_a-zà-öø-ÿ]" + r"[^\W\d_]*(?:['’-][^\W\d_]+)*)"
 _EN_TYPE = r"(?:street|road|lane|avenue|square|terrace|close|boulevard|drive|court|place|crescent|gardens|grove|hill|mews|row|walk|way|parkway|circle|alley|(?:st|rd|ln|ave|sq|ter|cl|blvd|dr|ct|pl|cres|pkwy)\.|(?:st|rd|ave|blvd)(?=\s*(?:$|[,;\n])))"
-ADDRESS_EN = re.compile(rf"(?<![\w.:/-])\d{{1,5}}{SPACE}?[A-Za-z]?{SPACE}+(?:{_WORD}{SPACE}+){{1,3}}{_EN_TYPE}(?![\w])", re.I | re.M)
+ADDRESS_EN = re.compile(rf"(?<![\w.:/-])\d{{1,5}}{SPACE}?[A-Za-z]?{SPACE}+(?:{_WORD}{SPACE}+){{1,3}}{_EN_TYPE}(?![\w])", re.M)
 #: Endings of German street names, and beginnings of Spanish ones.
 DE_TYPES = ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "damm", "ufer", "steig")
 ES_TYPES = ("calle", "avenida", "avda.", "plaza", "paseo", "camino", "ronda")
@@ -98,7 +98,7 @@ ADDRESS_FR = re.compile(
     rf"(?<![\w.:/-])\d{{1,4}}(?i:{SPACE}?(?:bis|ter|[a-z])?,?{SPACE}+(?:rue|avenue|av\.|boulevard|bd|place|quai|impasse|allée|chemin|cours|route){SPACE}+"
     rf"(?:(?:de|du|des|la|le|les|d['’]|l['’]){SPACE}*){{0,3}}){_WORD}(?:{SPACE}+{_CAP})*"
 )
-ADDRESS_ES = re.compile(rf"(?<![\w-])(?:calle|avenida|avda\.|plaza|paseo|camino|ronda){SPACE}+(?:(?:de|del|la|las|los|el){SPACE}+){{0,3}}{_WORD}(?:{SPACE}+{_WORD}){{0,3}},?{SPACE}+\d{{1,4}}{SPACE}?[a-z]?(?![\w-])(?!\.\d)", re.I)
+ADDRESS_ES = re.compile(rf"(?<![\w-])(?:calle|avenida|avda\.|plaza|paseo|camino|ronda){SPACE}+(?:(?:de|del|la|las|los|el){SPACE}+){{0,3}}{_WORD}(?:{SPACE}+{_WORD}){{0,3}},?{SPACE}+\d{{1,4}}{SPACE}?[a-z]?(?![\w-])(?!\.\d)")
 
 SIGNED = re.compile(rf"(?m)^{SPACE}*(?:[A-Z][\w-]*-by|Author|Committer|Cc|From):{SPACE}+(?:(?:Dr|Prof|Mr|Mrs|Ms)\.?{SPACE}+)?({_CAP}(?:,?{SPACE}+(?:[^\W\d_]\.|{_CAP})){{1,3}}){SPACE}+<")
 _LETTERS = r"[^\W\d_]"
@@ -166,7 +166,8 @@ class NameBook:
 
     def families(self, low: str) -> list[tuple[int, int]]:
         """Where family names stand in a lower-cased text."""
-        named = {w for w in set(_RUN.findall(low)) if self.is_family(w)}
+        every = {w.decode() for w in set(low.encode().translate(_LETTERS_ALONE).split())} if low.isascii() else set(_RUN.findall(low))
+        named = {w for w in every if self.is_family(w)}
         spans = [m.span() for m in _RUN.finditer(low) if m.group() in named] if named else []
         if len(self.odd):
             spans += [(end + 1 - n, end + 1) for end, n in self.odd.iter(low)]
@@ -174,6 +175,7 @@ class NameBook:
 
 
 _RUN = re.compile(_LETTERS + "+")
+_LETTERS_ALONE = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 
 
 def token_start(text: str, at: int, tokens: int) -> int:
@@ -354,11 +356,12 @@ NOT_STREETS = frozenset("of in is at the a an to and or with for from by on ms s
 
 
 def _addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
-    for m in ADDRESS_EN.finditer(text):
-        words = re.findall(r"[^\W\d_]+", m.group())
+    for m in ADDRESS_EN.finditer(low):
+        whole = text[m.start() : m.end()]
+        words = re.findall(r"[^\W\d_]+", whole)
         words = words[1:] if len(words[0]) == 1 else words
         names = words[:-1]
-        if names and not any(w.lower() in NOT_STREETS for w in names) and (all(w[0].isupper() for w in names) or m.group().islower() and len(names) == 1 and m.group().rstrip(".").split()[-1] in ("street", "avenue", "terrace", "boulevard", "st", "ave")):
+        if names and not any(w.lower() in NOT_STREETS for w in names) and (all(w[0].isupper() for w in names) or whole.islower() and len(names) == 1 and whole.rstrip(".").split()[-1] in ("street", "avenue", "terrace", "boulevard", "st", "ave")):
             yield m.span()
     for kind in DE_TYPES:
         at = low.find(kind)
@@ -375,7 +378,7 @@ def _addresses(text: str, low: str) -> Iterator[tuple[int, int]]:
     for m in ADDRESS_FR.finditer(text):
         yield m.start(), m.end()
     if any(kind in low for kind in ES_TYPES):
-        for m in ADDRESS_ES.finditer(text):
+        for m in ADDRESS_ES.finditer(low):
             yield m.span()
 
 
