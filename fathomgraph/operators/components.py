@@ -241,15 +241,15 @@ def longest_depth(links: DataFrame, cyclic: DataFrame) -> DataFrame:
     return kept(depth)
 
 
-def layer_violations(edges: DataFrame, depth: DataFrame, cyclic: DataFrame, fans: DataFrame, threshold: DataFrame, min_gap: int = 2) -> DataFrame:
+def layer_violations(edges: DataFrame, depth: DataFrame, cyclic: DataFrame, fans: DataFrame, functions: DataFrame, threshold: DataFrame, min_gap: int = 2) -> DataFrame:
     """(from_id, to_id, from_depth, to_depth, gap): edges that skip layers, away from cycles and from callees of many.
 
-    edges are clean, call-like ones; threshold is one row, above whose fan-in a callee is left out.
+    edges are clean, call-like ones; threshold is one row, above whose fan-in a callee that is a function is left out.
     """
     pairs = without(edges.select("from_id", "to_id").distinct(), cyclic.select(F.col("node").alias("id")), ["from_id", "to_id"])
-    few = fans.join(F.broadcast(threshold)).filter("threshold is null or fan_in <= threshold").select("id")  # one row
+    many = fans.join(F.broadcast(threshold)).filter("fan_in > threshold").join(functions.select("id"), "id", "left_semi").select("id")  # one row
     a = depth.select(F.col("node").alias("from_id"), F.col("depth").alias("from_depth"))
-    b = kept(depth.withColumnRenamed("node", "id").join(few, "id").select(F.col("id").alias("to_id"), F.col("depth").alias("to_depth")))
+    b = kept(depth.withColumnRenamed("node", "id").join(many, "id", "left_anti").select(F.col("id").alias("to_id"), F.col("depth").alias("to_depth")))
     met = sized_join(sized_join(pairs, b, "to_id"), a, "from_id")
     return met.withColumn("gap", F.col("to_depth") - F.col("from_depth")).filter(F.col("gap") >= min_gap).select("from_id", "to_id", "from_depth", "to_depth", "gap")
 

@@ -38,6 +38,11 @@ class Thresholds:
     temporal_min_co_changes: int = 3
     temporal_min_score: float = 0.5
     temporal_max_files: int = 50
+    cycle_lengths: tuple[int, int] = (3, 4)
+    coupling_levels: tuple[float, float, float, float] = (0.3, 0.5, 0.7, 0.85)
+    flow_limits: tuple[tuple[int, int], ...] = ((95, 100), (97, 200), (99, 400))
+    hub_limits: tuple[tuple[int, int], ...] = ((95, 4), (99, 6))
+    layer_gaps: tuple[int, int] = (3, 4)
     min_edges_for_cycles: int = 50
     min_calls_for_depth: int = 20
 
@@ -82,9 +87,9 @@ def percentile_floor(values: DataFrame, column: str, percentile: int, floor: int
     return ranked_value(values, column, at).select(F.greatest(F.coalesce("threshold", F.lit(floor)), F.lit(floor)).alias("threshold"))
 
 
-def layer_exclusion_threshold(fans: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """One row (threshold): over nodes with callers, the fan-in at index floor(n * percentile / 100), at most the last."""
-    return ranked_value(fans.filter("fan_in > 0"), "fan_in", F.floor(F.col("n") * t.layer_exclude_percentile / 100))
+def layer_exclusion_threshold(fans: DataFrame, functions: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """One row (threshold): over functions with callers, the fan-in at index floor(n * percentile / 100), at most the last."""
+    return ranked_value(fans.filter("fan_in > 0").join(functions.select("id"), "id", "left_semi"), "fan_in", F.floor(F.col("n") * t.layer_exclude_percentile / 100))
 
 
 def module_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:

@@ -91,6 +91,13 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return summed.join(offsets, same).select(*df.columns, (F.col("__inner") + F.col("__offset")).alias(name))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """df with `name`: 1, 2, ... in the order of the columns, which tell its rows apart."""
+    keys = [f"__k{i}" for i in range(len(order))]
+    marked = df.select("*", *[c.alias(k) for c, k in zip(order, keys)], F.lit(1).alias("__one"))
+    return running_sums(marked, [], keys, "__one", name).select(*df.columns, name)
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value computed once a row however often use names it, and however far filters move."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

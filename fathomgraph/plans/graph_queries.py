@@ -165,7 +165,7 @@ query("information_flow", graph("fans fn", "SELECT id, (fan_in * fan_out) * (fan
 query("information_flow_threshold", graph("fans fn", "SELECT greatest(coalesce((list_sort(list(v)))[greatest(ceil(count(*) * 95 / 100) - 1, 0)::BIGINT + 1], 100), 100) AS threshold FROM (SELECT (fan_in * fan_out) * (fan_in * fan_out) AS v FROM fans JOIN fn USING (id))"))(
     lambda g: M.percentile_floor(M.information_flow(g.fans, g.functions), "information_flow", 95, 100)
 )
-query("layer_exclusion_threshold", graph("fans", "SELECT (list_sort(list(fan_in)))[least(count(*) * 95 // 100, count(*) - 1) + 1] AS threshold FROM fans WHERE fan_in > 0"))(lambda g: M.layer_exclusion_threshold(g.fans))
+query("layer_exclusion_threshold", graph("fans fn", "SELECT (list_sort(list(fan_in)))[least(count(*) * 95 // 100, count(*) - 1) + 1] AS threshold FROM fans JOIN fn USING (id) WHERE fan_in > 0"))(lambda g: M.layer_exclusion_threshold(g.fans, g.functions))
 _LOC = "CASE WHEN end_line >= start_line THEN end_line - start_line + 1 ELSE 0 END"
 query("lines_of_code", graph("fn mods", f"SELECT module, count(*) AS functions, sum({_LOC})::BIGINT AS loc FROM fn JOIN mods USING (id) GROUP BY 1"))(lambda g: M.lines_of_code(g.functions, g.modules))
 query("tangle_index", graph("scc struct prod", "SELECT (SELECT count(*) FROM prod JOIN scc a ON from_id = a.node JOIN scc b ON to_id = b.node WHERE a.component = b.component) / (SELECT count(*) FROM struct) AS tangle_index"))(lambda g: _tangle(g))
@@ -212,9 +212,9 @@ depths AS (SELECT node, max(depth) AS depth FROM dw GROUP BY 1)"""
 query("call_depth", _with("scc clinks", _DEPTH, "SELECT * FROM depths"))(lambda g: g.depth)
 query(
     "layer_violations",
-    _with("scc clinks clean fans", _DEPTH, """SELECT from_id, to_id, a.depth AS from_depth, b.depth AS to_depth, b.depth - a.depth AS gap FROM (SELECT DISTINCT from_id, to_id FROM clean WHERE kind IN ('Call', 'Framework:VisualforcePage', 'Declarative:Flow')) e
+    _with("scc clinks clean fans fn", _DEPTH, """SELECT from_id, to_id, a.depth AS from_depth, b.depth AS to_depth, b.depth - a.depth AS gap FROM (SELECT DISTINCT from_id, to_id FROM clean WHERE kind IN ('Call', 'Framework:VisualforcePage', 'Declarative:Flow')) e
 JOIN depths a ON a.node = from_id JOIN depths b ON b.node = to_id JOIN fans ON fans.id = to_id
-WHERE b.depth - a.depth >= 2 AND from_id NOT IN (SELECT node FROM scc) AND to_id NOT IN (SELECT node FROM scc) AND fan_in <= (SELECT (list_sort(list(fan_in)))[least(count(*) * 95 // 100, count(*) - 1) + 1] FROM fans WHERE fan_in > 0)"""),
+WHERE b.depth - a.depth >= 2 AND from_id NOT IN (SELECT node FROM scc) AND to_id NOT IN (SELECT node FROM scc) AND (to_id NOT IN (SELECT id FROM fn) OR fan_in <= (SELECT (list_sort(list(fan_in)))[least(count(*) * 95 // 100, count(*) - 1) + 1] FROM fans JOIN fn USING (id) WHERE fan_in > 0))"""),
 )(lambda g: _layers(g))
 query(
     "blast_radius",
@@ -225,7 +225,7 @@ query("test_only_files")(lambda g: _test_only(g))
 
 
 def _layers(g: Graph) -> DataFrame:
-    return C.layer_violations(S.clean_edges(g.edges, g.nodes).filter(is_call_like()), g.depth, g.strong, g.fans, M.layer_exclusion_threshold(g.fans))
+    return C.layer_violations(S.clean_edges(g.edges, g.nodes).filter(is_call_like()), g.depth, g.strong, g.fans, g.functions, M.layer_exclusion_threshold(g.fans, g.functions))
 
 
 def _test_only(g: Graph) -> DataFrame:

@@ -121,8 +121,9 @@ def test_thresholds(spark):
     ordered = sorted(i // 2 for i in range(40))
     assert M.percentile_floor(values, "v", 95, 3).first()[0] == ordered[37]
     assert M.percentile_floor(values.limit(0), "v", 95, 3).first()[0] == 3
-    fans = values.select(F.col("v").alias("fan_in"))
-    assert M.layer_exclusion_threshold(fans).first()[0] == sorted(x for x in ordered if x)[min(38 * 95 // 100, 37)]
+    fans = values.select(F.col("v").alias("fan_in"), F.lit("f").alias("id"))
+    functions = spark.createDataFrame([("f",)], "id string")
+    assert M.layer_exclusion_threshold(fans.unionByName(fans.select((F.col("fan_in") + 99).alias("fan_in"), F.lit("file").alias("id"))), functions).first()[0] == sorted(x for x in ordered if x)[min(38 * 95 // 100, 37)]
 
 
 def test_paths(spark):
