@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomgraph.operators.skew import running_sums
+from fathomgraph.plans.shared import kept
+
 #: Ranks of severities, and factors of the priority.
 SEVERITY_RANK = {"Critical": 4, "High": 3, "Warning": 2, "Info": 1}
 CONFIDENCE_FACTOR = {"High": 1.0, "Medium": 0.7, "Low": 0.4}
@@ -27,13 +30,24 @@ def severity_rank(c: Column | str) -> Column:
 def capped(findings: DataFrame, limit: int = 10) -> DataFrame:
     """(type, id, severity, overflow): per type the gravest `limit` findings, ties by id, and one row with the number of the others.
 
-    The cap is the feature of a report; the overflow row keeps its count whole.
+    The cap is the feature of a report; the overflow row keeps its count whole. Each task sheds all but its own first rows of a type, and the others are counted apart.
     """
     by = Window.partitionBy("type").orderBy(severity_rank("severity").desc(), "id")
-    ranked = findings.select("type", "id", "severity", F.row_number().over(by).alias("place"))
-    kept = ranked.filter(F.col("place") <= limit).select("type", "id", "severity", F.lit(0).cast("bigint").alias("overflow"))
-    rest = ranked.filter(F.col("place") > limit).groupBy("type").agg(F.count(F.lit(1)).alias("overflow")).select("type", F.concat("type", F.lit("-overflow")).alias("id"), F.lit("Info").alias("severity"), "overflow")
-    return kept.unionByName(rest)
+    shown = findings.select("type", "id", "severity", F.row_number().over(by).alias("place")).filter(F.col("place") <= limit).select("type", "id", "severity", F.lit(0).cast("bigint").alias("overflow"))
+    counts = findings.groupBy("type").agg((F.count(F.lit(1)) - limit).alias("overflow")).filter("overflow > 0")
+    return shown.unionByName(counts.select("type", F.concat("type", F.lit("-overflow")).alias("id"), F.lit("Info").alias("severity"), "overflow"))
+
+
+def filtered(findings: DataFrame, severity: str | None = None, type_name: str | None = None, type_part: str | None = None, suppressed: DataFrame | None = None) -> DataFrame:
+    """findings of a severity, of a type (spaces stand for underscores) or with a part of its name, all without letter case, and without those of suppressed(id)."""
+    if severity is not None:
+        findings = findings.filter(F.lower("severity") == severity.lower())
+    if type_name is not None:
+        plain = lambda c: F.regexp_replace(F.lower(c), "[ _]", "")
+        findings = findings.filter(plain(F.col("type")) == plain(F.lit(type_name)))
+    if type_part is not None:
+        findings = findings.filter(F.contains(F.lower("type"), F.lit(type_part.lower())))
+    return findings if suppressed is None else findings.join(suppressed.select("id"), "id", "left_anti").select(*findings.columns)
 
 
 def node_risk(findings: DataFrame) -> DataFrame:
@@ -82,37 +96,12 @@ def population_scores(population: DataFrame, probes: DataFrame, metrics: tuple[s
     a popular language costs its distinct values, and ties are exact. Lower values are better. A value counts as equal only if it is the same.
     """
     melt = lambda df, *own: df.select(*own, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(*own, "x.*").filter("value is not null and not isnan(value)")
-    counts = melt(population, "language").groupBy("language", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = kept(melt(population, "language").groupBy("language", "metric", "value").agg(F.count(F.lit(1)).alias("n")))
     probed = melt(probes, "probe", "language")
     marks = probed.select("language", "metric", "value").distinct().withColumn("n", F.lit(0))
     both = counts.unionByName(marks).groupBy("language", "metric", "value").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("language", "metric")
-    run = both.select("*", F.sum("n").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("through"), F.sum("n").over(by).alias("total"))
-    met = probed.join(run, ["language", "metric", "value"])
+    run = running_sums(both, ["language", "metric"], ["value"], "n", "through")
+    total = counts.groupBy("language", "metric").agg(F.sum("n").alias("total"))
+    met = probed.join(run, ["language", "metric", "value"]).join(total, ["language", "metric"])
     worse = F.col("total") - F.col("through")
     return met.select("probe", "language", "metric", F.when(F.col("total") > 0, F.round((worse + F.col("n") / 2) / F.col("total") * 100)).otherwise(50.0).alias("percentile"))
-
-
-def score_column(parts: dict[str, Column], with_history: bool = True) -> Column:
-    """The weighted sum of parts from 0 to 100; without history its weight is shared out in proportion."""
-    weights = dict(WEIGHTS)
-    if not with_history:
-        spare = weights.pop("temporal_coupling")
-        weights = {k: w * (1 + spare / (1 - spare)) for k, w in weights.items()}
-    total = F.lit(0.0)
-    for name, w in weights.items():
-        total = total + F.lit(w) * parts[name]
-    return total
-
-
-def fallback_parts() -> dict[str, Column]:
-    """Parts of the score of a population row, by fixed curves."""
-    cut = lambda c, hi=100.0: F.greatest(F.lit(0.0), F.least(c, F.lit(hi)))
-    known = lambda n: F.when(F.isnan(n), F.lit(None)).otherwise(F.col(n))
-    return {
-        "cycle_severity": 100 - cut(known("cycle_ratio") * 500),
-        "coupling_health": 100 * (1 - cut(F.greatest(F.lit(0.0), F.coalesce(F.col("avg_coupling"), F.lit(0.35)) - 0.35) / 0.65, 1.0)),
-        "hotspot_concentration": 100 * (1 - cut(F.col("hotspot_concentration"), 1.0)),
-        "dead_code_ratio": 100 - cut(known("dead_ratio") * 300),
-        "depth_complexity": 100 * (1 - cut(F.col("max_depth") / 30, 1.0)),
-    }

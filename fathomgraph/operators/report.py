@@ -105,8 +105,8 @@ def layer_findings(violations: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame
 
 
 def with_confidence(findings: DataFrame, edges: DataFrame) -> DataFrame:
-    """findings with `confidence`: of types that rest on resolved calls High if a language server took part, Medium if heuristics alone did, else Low; null for other types."""
-    tier = edges.agg(F.when(F.count_if(F.col("source") == "Lsp") > 0, "High").when(F.count_if(F.col("source") == "Heuristic") > 0, "Medium").otherwise("Low").alias("__tier"))
+    """findings with `confidence`: of types that rest on resolved calls Low if there are no imports, High if a language server took part, else Medium; null for other types."""
+    tier = edges.agg(F.when(F.count_if(F.col("kind") == "Import") == 0, "Low").when(F.count_if(F.col("source") == "Lsp") > 0, "High").otherwise("Medium").alias("__tier"))
     return findings.join(F.broadcast(tier)).withColumn("confidence", F.when(F.col("type").isin(*RESOLVED_TYPES), F.col("__tier"))).drop("__tier")  # one row
 
 
@@ -128,8 +128,10 @@ def node_risks(named: DataFrame) -> DataFrame:
 def module_risks(modules: DataFrame, named: DataFrame) -> DataFrame:
     """(module, risk): the gravest finding that names the module itself; Healthy without any."""
     worst = named.groupBy(F.col("node").alias("module")).agg(F.max(severity_rank("severity")).alias("rank"))
-    by_rank = F.element_at(F.array(*[F.lit(s) for s in reversed(SEVERITY_RANK)]), F.col("rank"))
-    return modules.select("module").distinct().join(worst, "module", "left").select("module", F.coalesce(by_rank, F.lit("Healthy")).alias("risk"))
+    by_rank = F.lit("Healthy")
+    for name, rank in SEVERITY_RANK.items():
+        by_rank = F.when(F.col("rank") == rank, name).otherwise(by_rank)
+    return modules.select("module").distinct().join(worst, "module", "left").select("module", by_rank.alias("risk"))
 
 
 def worsening_modules(risks: DataFrame, violations: DataFrame, modules: DataFrame) -> DataFrame:

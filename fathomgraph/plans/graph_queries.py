@@ -220,7 +220,6 @@ query(
     "blast_radius",
     _with("plinks fn", "br AS (SELECT id AS seed, id AS node FROM fn UNION SELECT br.seed, src FROM br JOIN plinks ON dst = br.node)", "SELECT seed AS id, count(*) - 1 AS blast FROM br GROUP BY 1"),
 )(lambda g: C.blast_radius(g.links, g.functions.select("id")))
-query("cohesion")(lambda g: C.cohesion(g.edges, g.functions, g.modules))
 query("test_only_files")(lambda g: _test_only(g))
 
 

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from fathomgraph.functions.paths import NON_PRODUCTION_PATH
 from fathomgraph.plans.sql_parts import sql_confidence, sql_edge_kind, sql_id, sql_json, sql_node_kind, sql_source
 from fathomgraph.sources.graph import CALL_LIKE
@@ -101,6 +103,111 @@ FROM (SELECT *, try_cast(properties AS JSON) AS p, try_cast(location AS JSON) AS
 }
 
 
+_LOC = "CASE WHEN end_line >= start_line THEN end_line - start_line + 1 ELSE 0 END"
+_CALLS = "('Call', 'Framework:VisualforcePage', 'Declarative:Flow')"
+
+
+def _limit(v: str, percentile: int, floor: int) -> str:
+    return f"greatest(coalesce((list_sort(list({v})))[greatest(ceil(count(*) * {percentile} / 100) - 1, 0)::BIGINT + 1], {floor}), {floor})"
+
+
+def _coupled(name: str, edges: str) -> dict:
+    sides = " UNION ALL ".join(f"SELECT {m} AS module, {i} AS i, {1 - i} AS x FROM {edges} WHERE {test}" for m, i, test in (("from_module", 1, "from_module = to_module"), ("from_module", 0, "from_module IS DISTINCT FROM to_module"), ("to_module", 0, "from_module IS DISTINCT FROM to_module")))
+    return {name: ((edges, "mods"), f"SELECT module, m.members, internal_edges, external_edges, external_edges / (internal_edges + external_edges) AS score FROM (SELECT module, count(*) AS members FROM mods GROUP BY 1 HAVING count(*) >= 3) m JOIN (SELECT module, sum(i)::BIGINT AS internal_edges, sum(x)::BIGINT AS external_edges FROM ({sides}) WHERE module IS NOT NULL GROUP BY 1) USING (module)")}
+
+
+def _hot(name: str, fans: str) -> dict:
+    return {name: ((fans, "fn"), f"SELECT id, fan_in, t.threshold FROM {fans} JOIN fn USING (id), (SELECT CASE WHEN count(*) < 20 THEN 8 ELSE (list_sort(list(fan_in)))[least(ceil(count(*) * 95 / 100), count(*) - 1)::BIGINT + 1] END AS threshold FROM {fans} JOIN fn USING (id)) t WHERE fan_in >= t.threshold AND t.threshold > 0")}
+
+
+TABLES |= {
+    "dag": (("clinks", "scc"), "SELECT src, dst FROM clinks WHERE NOT (src IN (SELECT node FROM scc) AND dst IN (SELECT node FROM scc))"),
+    "dn": (("dag",), "SELECT src AS node FROM dag UNION SELECT dst FROM dag"),
+    "dw": (("dag", "dn"), "SELECT node, 0 AS depth FROM dn WHERE node NOT IN (SELECT dst FROM dag) UNION SELECT dag.dst, dw.depth + 1 FROM dw JOIN dag ON dw.node = dag.src"),
+    "depths": (("dw",), "SELECT node, max(depth) AS depth FROM dw GROUP BY 1"),
+    "viol": (
+        ("scc", "clean", "fans", "fn", "depths"),
+        f"""SELECT from_id, to_id, a.depth AS from_depth, b.depth AS to_depth, b.depth - a.depth AS gap FROM (SELECT DISTINCT from_id, to_id FROM clean WHERE kind IN {_CALLS}) e
+JOIN depths a ON a.node = from_id JOIN depths b ON b.node = to_id JOIN fans ON fans.id = to_id
+WHERE b.depth - a.depth >= 2 AND from_id NOT IN (SELECT node FROM scc) AND to_id NOT IN (SELECT node FROM scc)
+AND (to_id NOT IN (SELECT id FROM fn) OR fan_in <= (SELECT (list_sort(list(fan_in)))[least(count(*) * 95 // 100, count(*) - 1) + 1] FROM fans JOIN fn USING (id) WHERE fan_in > 0))""",
+    ),
+    "br": (("plinks", "fn"), "SELECT id AS seed, id AS node FROM fn UNION SELECT br.seed, src FROM br JOIN plinks ON dst = br.node"),
+    "blasts": (("br",), "SELECT seed AS id, count(*) - 1 AS blast FROM br GROUP BY 1"),
+    "cyc": (
+        ("scc", "prod"),
+        """SELECT row_number() OVER (ORDER BY size DESC, component) AS cycle, component, size, edges FROM (SELECT component, count(*) AS size FROM scc GROUP BY 1)
+JOIN (SELECT a.component, count(*) AS edges FROM prod JOIN scc a ON from_id = a.node JOIN scc b ON to_id = b.node WHERE a.component = b.component GROUP BY 1) USING (component)""",
+    ),
+    **_coupled("coupled", "medges"),
+    **_hot("hotspots", "fans"),
+    "unstable": (
+        ("medges", "mods"),
+        """SELECT module, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) > 0 THEN coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)) ELSE 0 END AS instability
+ FROM (SELECT DISTINCT module FROM mods) LEFT JOIN (SELECT to_module AS module, count(DISTINCT from_module) AS ca FROM medges WHERE from_module <> to_module GROUP BY 1) USING (module)
+ LEFT JOIN (SELECT from_module AS module, count(DISTINCT to_module) AS ce FROM medges WHERE from_module <> to_module GROUP BY 1) USING (module)""",
+    ),
+    "abstract": (
+        ("mods", "gn"),
+        """SELECT module, abstract_types, types, CASE WHEN types > 0 THEN abstract_types / types ELSE 0 END AS abstractness
+ FROM (SELECT module, count(*) FILTER (kind = 'Interface') AS abstract_types, count(*) FILTER (kind IN ('Interface', 'Struct', 'Enum', 'Type')) AS types FROM mods JOIN gn USING (id) GROUP BY 1)""",
+    ),
+    "zones": (
+        ("unstable", "abstract"),
+        """SELECT module, instability, abstractness, d AS distance, CASE WHEN d < 0.15 THEN 'main_sequence' WHEN abstractness < 0.3 AND instability < 0.3 THEN 'pain' WHEN abstractness > 0.7 AND instability > 0.7 THEN 'uselessness' ELSE 'balanced' END AS zone
+FROM (SELECT *, abs(abstractness + instability - 1) AS d FROM unstable JOIN abstract USING (module))""",
+    ),
+    "bridged": (
+        ("medges", "fn"),
+        """SELECT fn.id, coalesce(n, 0) AS bridges FROM fn LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT to_id AS id, '<' || from_module AS m FROM medges WHERE from_module <> to_module UNION SELECT from_id, '>' || to_module FROM medges WHERE from_module <> to_module) GROUP BY 1) b ON b.id = fn.id""",
+    ),
+    "flows": (("fans", "fn"), "SELECT id, (fan_in * fan_out) * (fan_in * fan_out) AS v FROM fans JOIN fn USING (id)"),
+    "fnd": (
+        ("cyc", "coupled", "hotspots", "blasts", "prod_fn", "flows", "bridged", "zones", "viol", "ge"),
+        f"""SELECT *, CASE WHEN type IN ('HighCoupling', 'BlastRadiusHotspot', 'InformationFlowBottleneck', 'HubNode') THEN (SELECT CASE WHEN count(*) FILTER (kind = 'Import') = 0 THEN 'Low' WHEN count(*) FILTER (source = 'Lsp') > 0 THEN 'High' ELSE 'Medium' END FROM ge) END AS confidence FROM (
+SELECT 'CircularDependency' AS type, 'cycle-' || cycle AS id, CASE WHEN size >= 4 THEN 'Critical' WHEN size >= 3 THEN 'High' ELSE 'Warning' END AS severity, component AS primary_node, size::DOUBLE AS value, NULL AS callee FROM cyc
+UNION ALL SELECT 'HighCoupling', 'coupling-' || module, CASE WHEN score > 0.85 THEN 'Critical' WHEN score > 0.7 THEN 'High' WHEN score > 0.5 THEN 'Warning' ELSE 'Info' END, module, score, NULL FROM coupled WHERE score > 0.3 AND NOT {outside_path('module')}
+UNION ALL SELECT 'BlastRadiusHotspot', 'hotspot-' || row_number() OVER (ORDER BY fan_in DESC, id), CASE WHEN coalesce(blast, 0) > 0 AND fan_in > 0 THEN 'High' ELSE 'Warning' END, id, fan_in, NULL FROM hotspots LEFT JOIN blasts USING (id) WHERE id IN (SELECT id FROM prod_fn)
+UNION ALL SELECT 'ExcessiveComplexity', 'complexity-' || row_number() OVER (ORDER BY id), CASE WHEN c > 25 OR g > 30 THEN 'Critical' WHEN c > 15 OR g > 20 THEN 'High' ELSE 'Warning' END, id, c, NULL FROM (SELECT id, cyclomatic_complexity AS c, coalesce(cognitive_complexity, 0) AS g FROM prod_fn WHERE cyclomatic_complexity IS NOT NULL) WHERE c > 10 OR g > 12
+UNION ALL SELECT 'InformationFlowBottleneck', 'ifc-' || row_number() OVER (ORDER BY v DESC, id), CASE WHEN v > c THEN 'Critical' WHEN v > b THEN 'High' ELSE 'Warning' END, id, v, NULL FROM flows, (SELECT {_limit('v', 95, 100)} AS a, {_limit('v', 97, 200)} AS b, {_limit('v', 99, 400)} AS c FROM flows) WHERE v > a AND id IN (SELECT id FROM prod_fn)
+UNION ALL SELECT 'HubNode', 'hub-' || row_number() OVER (ORDER BY bridges DESC, id), CASE WHEN bridges > b THEN 'High' ELSE 'Warning' END, id, bridges, NULL FROM bridged, (SELECT {_limit('bridges', 95, 4)} AS a, {_limit('bridges', 99, 6)} AS b FROM bridged) WHERE bridges > a AND id IN (SELECT id FROM prod_fn)
+UNION ALL SELECT CASE zone WHEN 'pain' THEN 'ZoneOfPain' ELSE 'ZoneOfUselessness' END, 'zone-' || row_number() OVER (ORDER BY module), CASE WHEN distance > 0.7 AND zone = 'pain' THEN 'High' WHEN distance > 0.5 THEN 'Warning' ELSE 'Info' END, module, distance, NULL FROM zones WHERE zone IN ('pain', 'uselessness') AND distance >= 0.3 AND NOT {outside_path('module')}
+UNION ALL SELECT 'LayerViolation', 'layer-' || row_number() OVER (ORDER BY gap DESC, from_id, to_id), CASE WHEN gap >= 4 THEN 'Critical' WHEN gap >= 3 THEN 'High' ELSE 'Warning' END, from_id, gap, to_id FROM viol)""",
+    ),
+    "named": (
+        ("fnd", "scc"),
+        "SELECT type, id, severity, primary_node AS node FROM fnd WHERE type <> 'CircularDependency' UNION ALL SELECT type, id, severity, callee FROM fnd WHERE callee IS NOT NULL UNION ALL SELECT type, id, severity, node FROM fnd JOIN scc ON component = primary_node WHERE type = 'CircularDependency'",
+    ),
+    "modrisk": (("mods", "named"), "SELECT module, coalesce(['Info', 'Warning', 'High', 'Critical'][r], 'Healthy') AS risk FROM (SELECT DISTINCT module FROM mods) LEFT JOIN (SELECT node AS module, max(CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END) AS r FROM named GROUP BY 1) USING (module)"),
+    "cohere": (
+        ("struct", "fn", "mods"),
+        "SELECT module, id FROM mods JOIN fn USING (id) WHERE module IN (SELECT module FROM mods JOIN fn USING (id) GROUP BY 1 HAVING count(*) >= 3)",
+    ),
+    "tied": (
+        ("cohere", "struct"),
+        """SELECT c.module, id AS f, '>' || to_id AS o FROM cohere c JOIN struct ON from_id = id UNION SELECT c.module, id, '<' || from_id FROM cohere c JOIN struct ON to_id = id
+UNION SELECT a.module, a.id, '=' || b.id FROM cohere a JOIN struct ON from_id = a.id JOIN cohere b ON to_id = b.id AND a.module = b.module UNION SELECT module, id, '=' || id FROM cohere""",
+    ),
+    "together": (("tied",), "SELECT module, f AS start, f AS node FROM tied UNION SELECT t.module, t.start, y.f FROM together t JOIN tied x ON t.module = x.module AND t.node = x.f JOIN tied y ON x.module = y.module AND x.o = y.o"),
+    "lcom": (
+        ("together",),
+        "SELECT module, count(*) AS functions, count(DISTINCT low) AS components, 1 / count(DISTINCT low) AS cohesion FROM (SELECT module, start, min(node) AS low FROM together GROUP BY 1, 2) GROUP BY 1",
+    ),
+    "hprod": (("prod",), "SELECT * FROM prod WHERE confidence = 'High'"),
+    "hmedges": (("medges",), "SELECT * FROM medges WHERE confidence = 'High'"),
+    "hfans": (
+        ("gn", "struct"),
+        "SELECT gn.id, coalesce(n, 0) AS fan_in FROM gn LEFT JOIN (SELECT to_id, count(*) AS n FROM struct WHERE confidence = 'High' GROUP BY 1) i ON gn.id = i.to_id",
+    ),
+    **_coupled("hcoupled", "hmedges"),
+    **_hot("hhotspots", "hfans"),
+}
+_OVER_SURE = ("plinks", "clinks", *(f"core{k}" for k in range(7)), "preach", "scc", "dag", "dn", "dw", "depths")
+_SURE = re.compile(rf"\b({'|'.join(('prod', *_OVER_SURE))})\b")
+TABLES |= {"h" + n: (tuple("h" + x for x in TABLES[n][0]), _SURE.sub(r"h\1", TABLES[n][1])) for n in _OVER_SURE}
+_RECURSIVE = ("above", "preach", "hpreach", "dw", "hdw", "br", "together")
+
+
 def graph(names: str, body: str) -> str:
     needed: list[str] = []
 
@@ -112,4 +219,4 @@ def graph(names: str, body: str) -> str:
 
     for name in names.split():
         need(name)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in ('above', 'preach') else 'MATERIALIZED '}({TABLES[n][1]})" for n in needed) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in _RECURSIVE else 'MATERIALIZED '}({TABLES[n][1]})" for n in needed) + "\n" + body

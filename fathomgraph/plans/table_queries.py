@@ -105,8 +105,8 @@ def _findings(t) -> DataFrame:
     return t("analysis_segment_cache").filter(fingerprint.isNotNull() & F.col("segment_id").isNotNull()).select(F.col("segment_id").alias("type"), F.concat_ws("-", "segment_id", "scan_run_id", fingerprint).alias("id"), severity.alias("severity"), F.array("scan_run_id").alias("node_ids"), number.alias("number"))
 
 
-_FINDINGS = """WITH f AS (SELECT segment_id AS type, segment_id || '-' || scan_run_id || '-' || graph_fingerprint AS id, ['Critical', 'High', 'Warning', 'Info'][n + 1] AS severity, 4 - n AS rank, scan_run_id AS node, n AS number
-FROM (SELECT *, ('0x' || trim(graph_fingerprint)[1:4])::INTEGER % 4 AS n FROM analysis_segment_cache WHERE graph_fingerprint IS NOT NULL AND segment_id IS NOT NULL AND regexp_matches(graph_fingerprint, '^[0-9a-fA-F]{4}')))"""
+_FINDINGS = """WITH f AS (SELECT segment_id AS type, segment_id || '-' || scan_run_id || '-' || g AS id, ['Critical', 'High', 'Warning', 'Info'][n + 1] AS severity, 4 - n AS rank, scan_run_id AS node, n AS number
+FROM (SELECT *, ('0x' || g[1:4])::INTEGER % 4 AS n FROM (SELECT *, lower(trim(graph_fingerprint)) AS g FROM analysis_segment_cache) WHERE g <> '' AND segment_id IS NOT NULL))"""
 query("capped_findings", _FINDINGS + ", r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rank DESC, id) AS k FROM f) SELECT type, id, severity, 0::BIGINT AS overflow FROM r WHERE k <= 10 UNION ALL SELECT type, type || '-overflow', 'Info', count(*) FROM r WHERE k > 10 GROUP BY type")(lambda t: N.capped(_findings(t)))
 query("node_risk", _FINDINGS + """ SELECT node, CASE WHEN c + h >= 2 THEN 'Critical' WHEN c > 0 OR h + w >= 2 THEN 'High' WHEN h > 0 OR w > 0 THEN 'Warning' WHEN i > 0 THEN 'Info' END AS risk
 FROM (SELECT node, count(*) FILTER (rank = 4) AS c, count(*) FILTER (rank = 3) AS h, count(*) FILTER (rank = 2) AS w, count(*) FILTER (rank = 1) AS i FROM f GROUP BY 1)""")(lambda t: N.node_risk(_findings(t)))
@@ -147,9 +147,12 @@ query("stable_ids", "SELECT DISTINCT fqn, sha256('fqn' || chr(0) || fqn) AS stab
 query("upsert_last_writer", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")(
     lambda t: U.upsert(t("events").filter("event_id % 2 = 0").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("v")), t("events").filter("event_id % 2 = 1").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("v")), ["user_id"], "v").select("user_id", "v.event_type", "v.ts")
 )
-query("reusable_segments", "SELECT DISTINCT segment_id, graph_fingerprint FROM analysis_segment_cache WHERE (segment_id, graph_fingerprint) IN (SELECT (segment_id, graph_fingerprint) FROM analysis_segment_cache WHERE segment_id = 'Cycles')")(
-    lambda t: U.reusable_segments(t("analysis_segment_cache"), t("scan_runs"))
-)
+query(
+    "reusable_segments",
+    """WITH u AS (SELECT DISTINCT id, project_id, started_at FROM scan_runs WHERE lower(trim(status)) = 'completed'), r AS (SELECT id AS scan_run_id, lag(id) OVER (PARTITION BY project_id ORDER BY started_at, id) AS previous FROM u),
+h AS (SELECT scan_run_id, segment_id, arg_max(g, (updated_at, g)) AS g FROM (SELECT *, nullif(lower(trim(graph_fingerprint)), '') AS g FROM analysis_segment_cache) WHERE segment_id IS NOT NULL GROUP BY 1, 2)
+SELECT r.scan_run_id, a.segment_id, a.g AS graph_fingerprint FROM r JOIN h a ON a.scan_run_id = r.scan_run_id JOIN h b ON b.scan_run_id = r.previous AND b.segment_id = a.segment_id AND b.g = a.g""",
+)(lambda t: U.reusable_segments(t("analysis_segment_cache"), t("scan_runs")))
 
 # Progress events
 
