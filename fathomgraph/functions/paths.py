@@ -33,7 +33,6 @@ def _delimited(words: tuple[str, ...]) -> str:
     return rf"(^|[-_./]){_any(words)}($|[-_./])"
 
 
-#: The same patterns serve Spark and the SQL beside it.
 TEST_PATH = "|".join([_any(TEST_DIRS), rf"{_any(TEST_MARKS)}[^/]*$", r"(^|/)test_[^/]*$", _delimited(TEST_WORDS)])
 AUXILIARY_PATH = "|".join([rf"(^|/){_any(TOOLING_PREFIXES)}(\.[^/]*)?($|/)", _delimited(AUXILIARY_WORDS)])
 CONFIG_PATH = "|".join([rf"(^|/)\.([^/]*\.)?{_any(CONFIG_ENDINGS)}$", r"\.config\.[^/]*$", rf"(^|/){_any(CONFIG_FILES)}$"])

@@ -102,6 +102,6 @@ def population_scores(population: DataFrame, probes: DataFrame, metrics: tuple[s
     both = counts.unionByName(marks).groupBy("language", "metric", "value").agg(F.sum("n").alias("n"))
     run = running_sums(both, ["language", "metric"], ["value"], "n", "through")
     total = counts.groupBy("language", "metric").agg(F.sum("n").alias("total"))
-    met = probed.join(run, ["language", "metric", "value"]).join(total, ["language", "metric"])
+    met = probed.join(run, ["language", "metric", "value"]).join(total, ["language", "metric"], "left").na.fill(0, ["total"])
     worse = F.col("total") - F.col("through")
     return met.select("probe", "language", "metric", F.when(F.col("total") > 0, F.round((worse + F.col("n") / 2) / F.col("total") * 100)).otherwise(50.0).alias("percentile"))

@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgraph.operators.metrics import DEFAULTS, Thresholds
+from fathomgraph.operators.skew import sized_join, without
+from fathomgraph.plans.shared import kept
+
+
+def small_commits(commits: DataFrame, max_files: int) -> DataFrame:
+    """(commit, file), distinct, of the commits of at most max_files files. The others are few and go before anything is gathered by commit."""
+    per = kept(commits.filter("file is not null").select("commit", "file").distinct())
+    return without(per, per.groupBy(F.col("commit").alias("id")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > max_files).select("id"), ["commit"])
+
+
+def _pairs(files: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of each array."""
+    first = files.select("files", F.posexplode("files").alias("at", "a"))
+    return first.select("a", F.explode(F.slice("files", F.col("at") + 2, F.size("files"))).alias("b"))
 
 
 def co_changes(commits: DataFrame, max_files: int = 50) -> DataFrame:
@@ -16,17 +30,13 @@ def co_changes(commits: DataFrame, max_files: int = 50) -> DataFrame:
 
     That limit is the feature: it also bounds a commit's pairs.
     """
-    files = commits.filter("file is not null").groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files")).filter(F.size("files").between(2, max_files))
-    a = files.select("files", F.posexplode("files").alias("at", "file_a"))
-    pairs = a.select("file_a", F.explode(F.slice("files", F.col("at") + 2, F.lit(max_files))).alias("file_b"))
-    return pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("n"))
+    files = small_commits(commits, max_files).groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files")).filter(F.size("files") > 1)
+    return _pairs(files).groupBy(F.col("a").alias("file_a"), F.col("b").alias("file_b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def file_changes(commits: DataFrame, max_files: int = 50) -> DataFrame:
     """(file, n): commits of at most max_files files that change each file."""
-    per = commits.filter("file is not null").select("commit", "file").distinct()
-    small = per.groupBy("commit").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= max_files).select("commit")
-    return per.join(small, "commit", "left_semi").groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return small_commits(commits, max_files).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
 def temporal_coupling(commits: DataFrame, linked: DataFrame | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -46,9 +56,15 @@ def temporal_coupling(commits: DataFrame, linked: DataFrame | None = None, t: Th
 
 def file_links(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """(file_a, file_b): files with a structural edge between their nodes, unordered and distinct; paths(id, path)."""
-    a, b = paths.select(F.col("id").alias("from_id"), F.col("path").alias("a")), paths.select(F.col("id").alias("to_id"), F.col("path").alias("b"))
-    met = edges.filter("kind != 'Contains'").select("from_id", "to_id").join(a, "from_id").join(b, "to_id").filter("a != b")
-    return met.select(F.least("a", "b").alias("file_a"), F.greatest("a", "b").alias("file_b")).distinct()
+    paths = kept(paths.select("id", "path"))
+    met = sized_join(edges.filter("kind != 'Contains'").select("from_id", "to_id"), paths.select(F.col("id").alias("from_id"), F.col("path").alias("a")), "from_id")
+    both = sized_join(met, paths.select(F.col("id").alias("to_id"), F.col("path").alias("b")), "to_id").filter("a != b")
+    return both.select(F.least("a", "b").alias("file_a"), F.greatest("a", "b").alias("file_b")).distinct()
+
+
+def known_files(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of commits whose file is one of files(file): the others are gone from the repository."""
+    return sized_join(commits, kept(files.select("file").distinct()), "file", "left_semi").select(*commits.columns)
 
 
 def module_co_changes(pairs: DataFrame, depth_key) -> DataFrame:
@@ -73,16 +89,20 @@ def churn(commits: DataFrame, now: str) -> DataFrame:
 
 
 def clusters(commits: DataFrame, least: int = 3) -> DataFrame:
-    """(files, n): sets of files that exactly recur in commits, and pairs that recur outside of such a set. Commits count with all of their files."""
-    sets = commits.filter("file is not null").groupBy("commit").agg(F.array_sort(F.collect_set("file")).alias("files")).filter(F.size("files") > 1)
-    exact = sets.groupBy("files").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    """(files, n): sets of files that exactly recur in commits, and pairs that recur outside of such a set. Commits count with all of their files.
 
-    def pairs(df: DataFrame) -> DataFrame:
-        a = df.select("files", F.posexplode("files").alias("at", "a"))
-        return a.select("a", F.explode(F.slice("files", F.col("at") + 2, F.size("files"))).alias("b"))
-
-    often = pairs(sets).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    rest = often.join(pairs(exact).distinct(), ["a", "b"], "left_anti").select(F.array("a", "b").alias("files"), "n")
+    Sets compare by their size and two sums of hashes, and are spelled out for those alone that recur. Files that change less often than `least` are in no
+    recurring pair and are left out before pairs are formed.
+    """
+    per = kept(commits.filter("file is not null").select("commit", "file").distinct())
+    wide = lambda salt: F.sum(F.xxhash64(F.lit(salt), "file").cast("decimal(20, 0)")).alias(f"h{salt}")
+    marks = per.groupBy("commit").agg(F.count(F.lit(1)).alias("k"), wide(1), wide(2)).filter("k > 1")
+    sets = marks.groupBy("k", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("commit").alias("commit")).filter(F.col("n") >= least)
+    exact = kept(per.join(sets.select("commit", "n"), "commit").groupBy("commit", "n").agg(F.array_sort(F.collect_list("file")).alias("files")).select("files", "n"))
+    often = per.groupBy("file").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least)
+    gathered = sized_join(per, kept(often.select("file")), "file", "left_semi").groupBy("commit").agg(F.array_sort(F.collect_list("file")).alias("files")).filter(F.size("files") > 1)
+    recurring = _pairs(gathered).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    rest = recurring.join(_pairs(exact).distinct(), ["a", "b"], "left_anti").select(F.array("a", "b").alias("files"), "n")
     return exact.unionByName(rest)
 
 

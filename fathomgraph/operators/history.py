@@ -26,6 +26,14 @@ def run_deltas(metrics: DataFrame, by: str, order: list[str], values: list[str])
     return out
 
 
+def with_percent(deltas: DataFrame, values: list[str]) -> DataFrame:
+    """deltas with `<value>_percent`: the delta in percent of the value before; null where that is 0 or there is none."""
+    for v in values:
+        before = F.col(v) - F.col(f"{v}_delta")
+        deltas = deltas.withColumn(f"{v}_percent", F.when(before != 0, F.col(f"{v}_delta") / F.abs(before) * 100))
+    return deltas
+
+
 def trend(delta: Column) -> Column:
     return F.when(F.abs(delta) < STABLE, "Stable").when(delta < 0, "Improved").when(delta > 0, "Worsened")
 

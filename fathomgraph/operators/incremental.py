@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.text_ids import clean_id
+from fathomgraph.operators.skew import sized_join, without
 from fathomgraph.operators.snapshot_diff import run_order
+from fathomgraph.plans.shared import kept
 
 
 def content_hash(c: Column | str) -> Column:
@@ -43,9 +45,19 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], version: str) ->
 def prune(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes without those of files(file), and edges without those that touch a node removed."""
     gone = nodes.join(files, "file", "left_semi").select("id")
-    left = nodes.join(files, "file", "left_anti")
-    kept = edges.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-    return left, kept.select(*edges.columns)
+    left = nodes.join(files, "file", "left_anti").select(*nodes.columns)
+    return left, without(edges, gone, ["from_id", "to_id"]).select(*edges.columns)
+
+
+def prune_missing(cache: DataFrame, present: DataFrame, language: str) -> DataFrame:
+    """cache without the rows of that language whose file is not in present(file); other languages stay."""
+    mine = F.col("language") == language
+    return cache.filter(~mine | F.col("language").isNull()).unionByName(cache.filter(mine).join(present.select("file").distinct(), "file", "left_semi").select(*cache.columns))
+
+
+def dirty_paths(unstaged: DataFrame, staged: DataFrame, untracked: DataFrame, files: DataFrame, since) -> DataFrame:
+    """(path): changed in any of the three lists, or modified after `since` by files(path, modified_at); each once."""
+    return unstaged.select("path").unionByName(staged.select("path")).unionByName(untracked.select("path")).unionByName(files.filter(F.col("modified_at") > F.lit(since)).select("path")).distinct()
 
 
 TOPOLOGY = ("Call", "Import", "Uses", "Type", "Extends", "Implements")
@@ -54,14 +66,15 @@ TOPOLOGY = ("Call", "Import", "Uses", "Type", "Extends", "Implements")
 def structure_fingerprint(nodes: DataFrame, edges: DataFrame, by: str = "language") -> DataFrame:
     """(by, nodes, edges, fingerprint) of each group of nodes: equal where the same named nodes are tied the same way.
 
-    The fingerprint adds up 64-bit hashes of the distinct kind|from|to names, in two independent sums, so it is one partial sum per task and
-    needs no sorted list of all edges.
+    The fingerprint adds up forty bits of two SHA-256 hashes of each distinct kind|from|to of names, so it is one partial sum per task and
+    needs no sorted list of all edges. Much-used ends are spread.
     """
-    a = nodes.select(F.col("id").alias("from_id"), F.col("fqn").alias("from_fqn"), F.col(by))
-    b = nodes.select(F.col("id").alias("to_id"), F.col("fqn").alias("to_fqn"))
-    named = edges.filter(F.col("kind").isin(*TOPOLOGY)).join(a, "from_id").join(b, "to_id").select(by, F.concat_ws("|", "kind", "from_fqn", "to_fqn").alias("e")).distinct()
-    part = lambda salt: F.sum(F.pmod(F.xxhash64(F.lit(salt), "e"), F.lit(1 << 40)))
-    ties = named.groupBy(by).agg(F.count(F.lit(1)).alias("edges"), F.sha2(F.concat_ws("|", part(1), part(2)), 256).alias("fingerprint"))
+    a = kept(nodes.select(F.col("id").alias("from_id"), F.col("fqn").alias("from_fqn"), F.col(by)))
+    b = kept(nodes.select(F.col("id").alias("to_id"), F.col("fqn").alias("to_fqn")))
+    met = sized_join(sized_join(edges.filter(F.col("kind").isin(*TOPOLOGY)).select("kind", "from_id", "to_id"), a, "from_id"), b, "to_id")
+    named = met.select(by, F.concat_ws("|", "kind", "from_fqn", "to_fqn").alias("e")).distinct()
+    part = lambda salt: F.sum(F.conv(F.substring(F.sha2(F.concat(F.lit(f"{salt}|"), "e"), 256), 1, 10), 16, 10).cast("decimal(20, 0)"))
+    ties = named.groupBy(by).agg(F.count(F.lit(1)).alias("edges"), F.sha2(F.concat_ws("|", part(1).cast("string"), part(2).cast("string")), 256).alias("fingerprint"))
     return nodes.groupBy(by).agg(F.count(F.lit(1)).alias("nodes")).join(ties, by, "left").select(by, "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "fingerprint")
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from fathomgraph.functions.paths import is_non_production_path, is_test_path
+from fathomgraph.operators.skew import running_sums
+
 #: Rates from which resolution counts as degraded, and edges and modules that metrics need at least.
 DEGRADED = ((0.50, "Critical"), (0.25, "High"), (0.10, "Warning"))
 MIN_EDGES, MIN_CALLS, MIN_MODULES = 50, 20, 3
@@ -41,15 +44,19 @@ TEST_IMPORT_PREFIXES = {
 }
 
 
-def resolution_quality(edges: DataFrame, by: str = "kind") -> DataFrame:
-    """(by, language_server, heuristic, rate, level): edges found by heuristics among those that ask for a target; null where there are none."""
+def resolution_quality(edges: DataFrame, by: str = "kind", drops: DataFrame | None = None) -> DataFrame:
+    """(by, language_server, heuristic[, dropped], rate, level): edges found by heuristics, and sites dropped as ambiguous, among all that asked for a target; null where there are none.
+
+    drops(by, dropped), if given, are counts of sites that named several targets and got no edge.
+    """
     n = edges.groupBy(by).agg(F.count_if(F.col("source") == "Lsp").alias("language_server"), F.count_if(F.col("source") == "Heuristic").alias("heuristic"))
-    total = F.col("language_server") + F.col("heuristic")
-    rate = F.when(total > 0, F.col("heuristic") / total)
+    n = n.withColumn("dropped", F.lit(0).cast("bigint")) if drops is None else n.join(drops, by, "full_outer").na.fill(0, ["language_server", "heuristic", "dropped"])
+    total = F.col("language_server") + F.col("heuristic") + F.col("dropped")
+    rate = F.when(total > 0, (F.col("heuristic") + F.col("dropped")) / total)
     level = None
     for least, name in DEGRADED:
         level = F.when(rate >= least, name) if level is None else level.when(rate >= least, name)
-    return n.select(by, "language_server", "heuristic", rate.alias("rate"), level.alias("level"))
+    return n.select(by, "language_server", "heuristic", *(["dropped"] if drops is not None else []), rate.alias("rate"), level.alias("level"))
 
 
 def metric_status(production: DataFrame, modules: DataFrame) -> DataFrame:
@@ -78,8 +85,7 @@ def downgraded_by_gaps(dead: DataFrame, coverage: DataFrame) -> DataFrame:
 def within_budget(rows: DataFrame, by: str, order: str, text: str, budget: int) -> DataFrame:
     """(by, order, tokens): the first rows of each `by` that fit a budget of tokens, four characters each. The budget is the feature."""
     tokens = F.ceil(F.length(F.coalesce(F.col(text), F.lit(""))) / 4)
-    run = F.sum("tokens").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(by, order, tokens.alias("tokens")).withColumn("through", run).filter(F.col("through") <= budget).drop("through")
+    return running_sums(rows.select(by, order, tokens.alias("tokens")), [by], [order], "tokens", "through").filter(F.col("through") <= budget).drop("through")
 
 
 def imports_test_framework(imports: Column, language: Column) -> Column:
@@ -118,3 +124,40 @@ def normal_body(text: str | None, language: str | None) -> str | None:
 @pandas_udf(StringType())
 def normal_bodies(texts: pd.Series, languages: pd.Series) -> pd.Series:
     return pd.Series([normal_body(t, g) for t, g in zip(texts, languages)], dtype=object)
+
+
+def test_framework_files(nodes: DataFrame) -> DataFrame:
+    """(id): the files that import a test framework of their language."""
+    return nodes.filter("kind = 'File'").filter(imports_test_framework(F.col("import_sources"), F.col("language"))).select("id")
+
+
+def classified_files(files: DataFrame, by_import: DataFrame, by_importers: DataFrame) -> DataFrame:
+    """(id, tier) of files(id, path, imports): 1 by imports of a test framework, 2 by importers that are all tests, 4 by a test path beside a file of tier 1, without imports; 0 for none.
+
+    by_import(id) and by_importers(id) name the files of the first two.
+    """
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    first = files.join(by_import.select("id").withColumn("one", F.lit(True)), "id", "left").join(by_importers.select("id").withColumn("two", F.lit(True)), "id", "left").withColumn("folder", folder)
+    beside = first.filter("one").select("folder").distinct().withColumn("near", F.lit(True))
+    met = first.join(beside, "folder", "left")
+    tier = F.when(F.col("one"), 1).when(F.col("two"), 2).when(F.coalesce(is_test_path("path"), F.lit(False)) & F.col("near") & (F.size("imports") == 0), 4).otherwise(0)
+    return met.select("id", tier.alias("tier"))
+
+
+def module_kinds(members: DataFrame, production_paths: tuple[str, ...] = (), other_paths: tuple[str, ...] = ()) -> DataFrame:
+    """(module, kind, reason) of members(module, is_test): by the user's path beginnings, else the module's own path, else if most of its members are tests, else production."""
+    counted = members.groupBy("module").agg(F.avg(F.col("is_test").cast("int")).alias("share"))
+    begins = lambda paths: F.lit(False) if not paths else F.col("module").rlike("^(" + "|".join(re.escape(p) for p in paths) + ")")
+    chain = [(begins(production_paths), "production", "override"), (begins(other_paths), "non_production", "override"), (is_non_production_path("module"), "non_production", "path"), (F.col("share") > 0.5, "non_production", "tests")]
+    kind, reason = F.lit("production"), F.lit("default")
+    for test, k, r in reversed(chain):
+        kind, reason = F.when(test, k).otherwise(kind), F.when(test, r).otherwise(reason)
+    return counted.select("module", kind.alias("kind"), reason.alias("reason"))
+
+
+def majority_language(files: DataFrame, least: float = 0.6) -> DataFrame:
+    """One row (language, files, share, is_majority) of files(language): the most used language, ties by name; no rows without any."""
+    counts = files.filter("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("files"))
+    total = counts.agg(F.sum("files").alias("n"))
+    top = counts.orderBy(F.col("files").desc(), "language").limit(1)
+    return top.join(F.broadcast(total)).select("language", "files", (F.col("files") / F.col("n")).alias("share"), (F.col("files") / F.col("n") >= least).alias("is_majority"))  # one row

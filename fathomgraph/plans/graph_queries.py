@@ -19,7 +19,7 @@ from fathomgraph.operators import template as T
 from fathomgraph.operators.incremental import structure_fingerprint
 from fathomgraph.operators.skew import sized_join
 from fathomgraph.plans.code_graph import Graph
-from fathomgraph.plans.graph_sql import graph, outside_path
+from fathomgraph.plans.graph_sql import graph, outside_path, path_role
 from fathomgraph.plans.shared import kept
 from fathomgraph.plans.sql_parts import sql_edge_kind
 from fathomgraph.sources.graph import is_call_like, unknown_edge_kinds
@@ -118,7 +118,13 @@ query(
     graph("gn", """SELECT id, fqn, kind, ['fqn', 'id', 'suffix', 'part'][rule + 1] AS how FROM (SELECT *, min(rule) OVER () AS best FROM (SELECT id, fqn, kind, CASE WHEN fqn = 'decode' THEN 0 WHEN id = 'decode' THEN 1
   WHEN kind IN ('Function', 'Module', 'File') AND fqn ILIKE '%::decode' THEN 2 WHEN kind IN ('Function', 'Module', 'File') AND fqn ILIKE '%decode%' THEN 3 END AS rule FROM gn) WHERE rule IS NOT NULL) WHERE rule = best ORDER BY length(fqn), fqn, id LIMIT 25"""),
 )(lambda g: I.resolve_symbol(g.nodes, "decode"))
-query("shortest_call_path")(lambda g: _longest_pair(g))
+_PATH = _reach_sql("to_id", "from_id", 3).replace("FROM hot ", "FROM target ")
+query(
+    "shortest_call_path",
+    _with("gn calls", "target AS (" + _TOP.format(side="to_id", having="", limit=1).replace("SELECT id, fqn, n", "SELECT id") + "),\n" + _PATH + """,
+far AS (SELECT node FROM met WHERE node NOT IN (SELECT id FROM target) ORDER BY depth DESC, node LIMIT 1),
+ways AS (SELECT node, [node] AS p FROM far UNION ALL SELECT to_id, list_append(p, to_id) FROM ways JOIN (SELECT DISTINCT from_id, to_id FROM calls) ON node = from_id WHERE len(p) < 4)""", """SELECT (k - 1)::INTEGER AS step, p[k] AS id FROM (SELECT p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT p FROM ways WHERE node IN (SELECT id FROM target) ORDER BY len(p), p LIMIT 1))"""),
+)(lambda g: _longest_pair(g))
 
 
 def _longest_pair(g: Graph) -> DataFrame:
@@ -220,7 +226,7 @@ query(
     "blast_radius",
     _with("plinks fn", "br AS (SELECT id AS seed, id AS node FROM fn UNION SELECT br.seed, src FROM br JOIN plinks ON dst = br.node)", "SELECT seed AS id, count(*) - 1 AS blast FROM br GROUP BY 1"),
 )(lambda g: C.blast_radius(g.links, g.functions.select("id")))
-query("test_only_files")(lambda g: _test_only(g))
+query("test_only_files", graph("marked8", "SELECT file FROM marked8"))(lambda g: _test_only(g))
 
 
 def _layers(g: Graph) -> DataFrame:
@@ -270,8 +276,13 @@ def _dead(g: Graph) -> DataFrame:
 _NAMES = "SELECT id, name, array_to_string(string_split(fqn, '::')[-2:], '::') AS display_name FROM gn"
 query("display_names", graph("gn", _NAMES))(lambda g: g.nodes.select("id", "name", P.display_name("fqn").alias("display_name")))
 query("path_flags", graph("gn", f"SELECT id, {outside_path('path_repo_rel')} AS outside FROM gn"))(lambda g: g.nodes.select("id", F.coalesce(P.is_non_production_path("path_repo_rel"), F.lit(False)).alias("outside")))
-query("path_roles")(lambda g: g.nodes.select("id", P.path_role("path_repo_rel").alias("role")))
-query("structure_fingerprint")(lambda g: structure_fingerprint(g.nodes, g.edges))
+query("path_roles", graph("gn", f"SELECT id, {path_role('path_repo_rel')} AS role FROM gn"))(lambda g: g.nodes.select("id", P.path_role("path_repo_rel").alias("role")))
+_PART = "sum(('0x' || sha256('{}|' || e)[1:10])::BIGINT)"
+query(
+    "structure_fingerprint",
+    graph("gn ge", f"""SELECT language, nodes, coalesce(edges, 0) AS edges, fingerprint FROM (SELECT language, count(*) AS nodes FROM gn GROUP BY 1) LEFT JOIN (SELECT language, count(*) AS edges, sha256({_PART.format(1)}::VARCHAR || '|' || {_PART.format(2)}::VARCHAR) AS fingerprint
+FROM (SELECT DISTINCT a.language, concat_ws('|', ge.kind, a.fqn, b.fqn) AS e FROM ge JOIN gn a ON from_id = a.id JOIN gn b ON to_id = b.id WHERE ge.kind IN ('Call', 'Import', 'Uses', 'Type', 'Extends', 'Implements')) GROUP BY 1) USING (language)"""),
+)(lambda g: structure_fingerprint(g.nodes, g.edges))
 
 # Templates
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 
-from fathomgraph.functions.paths import NON_PRODUCTION_PATH
 from fathomgraph.plans.sql_parts import sql_confidence, sql_edge_kind, sql_id, sql_json, sql_node_kind, sql_source
 from fathomgraph.sources.graph import CALL_LIKE
 
@@ -24,8 +23,53 @@ def _count(name: str) -> str:
     return f"CASE WHEN json_type(p, '$.{name}') IN ('UBIGINT', 'BIGINT') THEN json_extract_string(p, '$.{name}')::INTEGER END AS {name}"
 
 
+# Paths by lists of their components and words; the operators use patterns instead.
+
+#: As the words of paths are given.
+_TESTS = "['test', 'tests', 'spec', 'specs']"
+_AUXILIARY = "['example', 'examples', 'benchmark', 'benchmarks', 'bench', 'benches', 'fixture', 'fixtures', 'mock', 'mocks', 'stub', 'stubs', 'demo', 'demos', 'sample', 'samples', 'docs', 'doc', 'e2e', 'testdata', 'perf', 'performance', 'scripts']"
+_TOOLING = "['vitest', 'jest', 'storybook', 'husky', 'cypress', 'playwright', 'nyc', 'coverage']"
+_ROLES = {"example": "['example', 'examples']", "benchmark": "['bench', 'benches', 'benchmark', 'benchmarks']", "fixture": "['fixture', 'fixtures', 'mock', 'mocks', 'stub', 'stubs']", "docs": "['docs', 'doc']"}
+
+
+def _low(c: str) -> str:
+    return f"lower(replace({c}, '\\', '/'))"
+
+
+def _last(c: str) -> str:
+    return f"string_split({_low(c)}, '/')[-1]"
+
+
+def _has_words(text: str, words: str) -> str:
+    return f"list_has_any(regexp_split_to_array({text}, '[-_./]'), {words})"
+
+
+def _is_tooling(component: str) -> str:
+    return f"(starts_with({component}, '.') AND list_contains({_TOOLING}, string_split({component}, '.')[2]))"
+
+
+def test_path(c: str) -> str:
+    marks = " OR ".join([*[f"contains({_low(c)}, '{d}')" for d in ("__tests__", "__test__", "__mocks__")], *[f"contains({_last(c)}, '{m}')" for m in (".test.", ".spec.", "_test.", ".tests.")]])
+    return f"coalesce({marks} OR starts_with({_last(c)}, 'test_') OR {_has_words(_low(c), _TESTS)}, false)"
+
+
+def auxiliary_path(c: str) -> str:
+    return f"coalesce({_has_words(_low(c), _AUXILIARY)} OR len(list_filter(string_split({_low(c)}, '/'), lambda x: {_is_tooling('x')})) > 0, false)"
+
+
+def config_path(c: str) -> str:
+    names = "['tsconfig.json', 'jsconfig.json', 'package.json', 'package-lock.json', 'gruntfile.js', 'gulpfile.js', 'rollup.config.js', 'webpack.config.js', 'babel.config.js', 'postcss.config.js', 'tailwind.config.js', 'karma.conf.js']"
+    return f"coalesce(starts_with({_last(c)}, '.') AND string_split({_last(c)}, '.')[-1] IN ('js', 'ts', 'json', 'yaml', 'yml', 'toml') OR contains({_last(c)}, '.config.') OR list_contains({names}, {_last(c)}), false)"
+
+
 def outside_path(c: str) -> str:
-    return f"coalesce(regexp_matches(lower(replace({c}, '\\', '/')), '{NON_PRODUCTION_PATH}'), false)"
+    return f"({test_path(c)} OR {auxiliary_path(c)} OR {config_path(c)})"
+
+
+def path_role(c: str) -> str:
+    cases = " ".join(f"WHEN {_has_words('x', words)} THEN '{name}'" for name, words in _ROLES.items())
+    first = f"list_filter(list_transform(string_split({_low(c)}, '/'), lambda x: CASE {cases} WHEN {_is_tooling('x')} THEN 'config' END), lambda r: r IS NOT NULL)[1]"
+    return f"CASE WHEN {test_path(c)} THEN 'test' WHEN {config_path(c)} THEN 'config' WHEN {auxiliary_path(c)} THEN coalesce({first}, 'auxiliary') END"
 
 
 _ORDER = "recorded_at DESC NULLS LAST, kind DESC, fqn DESC NULLS LAST, location DESC NULLS LAST, provenance DESC NULLS LAST, properties DESC NULLS LAST, trait_metadata DESC NULLS LAST"
@@ -193,6 +237,11 @@ UNION SELECT a.module, a.id, '=' || b.id FROM cohere a JOIN struct ON from_id =
         ("together",),
         "SELECT module, count(*) AS functions, count(DISTINCT low) AS components, 1 / count(DISTINCT low) AS cohesion FROM (SELECT module, start, min(node) AS low FROM together GROUP BY 1, 2) GROUP BY 1",
     ),
+    "holder": (("gn", "here"), "SELECT h.node AS id, arg_min(h.anc, h.d) AS file FROM here h JOIN gn x ON h.anc = x.id WHERE x.kind = 'File' GROUP BY 1"),
+    "blocked": (("paths",), f"SELECT id AS file FROM paths WHERE path <> '' AND NOT {outside_path('path')}"),
+    "imports": (("ge", "holder", "blocked"), "SELECT DISTINCT a.file AS importer, b.file FROM ge JOIN holder a ON from_id = a.id JOIN holder b ON to_id = b.id WHERE kind = 'Import' AND a.file <> b.file AND b.file NOT IN (SELECT file FROM blocked)"),
+    "marked0": (("gn", "holder"), "SELECT id AS file FROM gn WHERE kind = 'File' AND is_test UNION SELECT holder.file FROM gn JOIN holder USING (id) WHERE kind = 'Function' GROUP BY 1 HAVING bool_and(is_test)"),
+    **{f"marked{k + 1}": ((f"marked{k}", "imports"), f"SELECT file FROM marked{k} UNION SELECT file FROM imports GROUP BY 1 HAVING bool_and(importer IN (SELECT file FROM marked{k}))") for k in range(8)},
     "hprod": (("prod",), "SELECT * FROM prod WHERE confidence = 'High'"),
     "hmedges": (("medges",), "SELECT * FROM medges WHERE confidence = 'High'"),
     "hfans": (

@@ -58,7 +58,7 @@ def items(path: str, text: str | None) -> list[tuple]:
             elif isinstance(child, ast.ImportFrom):
                 out += [(path, "Import", scope, f"{'.' * child.level}{child.module or ''}.{a.name}".lstrip() if child.level else f"{child.module}.{a.name}", child.lineno, child.end_lineno, None, None) for a in child.names]
             elif isinstance(child, ast.Call):
-                out.append((path, "CallSite", scope, ast.unparse(child.func)[:500], child.lineno, child.end_lineno, None, None))
+                out.append((path, "CallSite", scope, ast.unparse(child.func), child.lineno, child.end_lineno, None, None))
             stack.append((child, inner))
     return out
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomgraph.plans.shared import kept
+
 EVENT = "struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>"
 
 
@@ -51,13 +54,31 @@ def folded_state(events: DataFrame) -> DataFrame:
     return timed.groupBy("user_id").applyInPandasWithState(fold, OUT, STATE, "update", "NoTimeout")
 
 
-def upsert_each_batch(stream: DataFrame, folder: str, key: list[str], version: str, checkpoint: str):
-    """Starts an upsert of every micro-batch into the parquet table at folder, by key and version; the table is swapped in whole, as version folders."""
+BUCKETS = 64
+
+
+def upsert_each_batch(stream: DataFrame, folder: str, key: list[str], version: str, checkpoint: str, buckets: int = BUCKETS):
+    """Starts an upsert of every micro-batch into the parquet table at folder, by key and version.
+
+    The table lies in folders by a hash of the key. A batch reads and rewrites those alone that it touches; the others stay as they are. The merged rows are
+    written beside the table first, so the folders being replaced are no longer read; a batch that is run again gives the same rows.
+    """
     from fathomgraph.operators.incremental import upsert
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{folder}/v{number - 1}") if number else batch.limit(0)
-        upsert(old, batch, key, version).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        new = kept(batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most buckets rows
+        try:
+            old = spark.read.schema(new.schema).parquet(folder).filter(F.col("bucket").isin(touched))
+        except AnalysisException:
+            old = new.limit(0)
+        merged = kept(upsert(old, new, key, version))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_upserts(spark, folder: str) -> DataFrame:
+    """The table of upsert_each_batch."""
+    return spark.read.parquet(folder).drop("bucket")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomgraph.operators import findings as N
+from fathomgraph.operators import report as R
 from fathomgraph.operators import git_signals as G
 from fathomgraph.operators import history as H
 from fathomgraph.operators import incremental as U
@@ -60,10 +61,12 @@ def test_percentile_ranks_and_scores(spark):
     assert rows(N.population_scores(pop, probes, ("m",))) == [("p", "r", "m", 50.0), ("q", "r", "m", 25.0), ("s", "g", "m", 50.0)]
     whole = pop.filter("language = 'r'").agg(N.percentile_rank(pop, "m", F.lit(2.0)).alias("x")).first().x
     assert whole == 50.0
-    parts = {k: F.lit(80.0) for k in N.WEIGHTS}
-    assert [round(spark.range(1).select(N.score_column(parts, h)).first()[0], 6) for h in (True, False)] == [80.0, 80.0]
-    row = spark.createDataFrame([(0.1, 0.35, 0.25, 0.0, 15)], "cycle_ratio double, avg_coupling double, hotspot_concentration double, dead_ratio double, max_depth int")
-    assert [round(v, 6) for v in row.select(*[c.alias(k) for k, c in N.fallback_parts().items()]).first()] == [50.0, 100.0, 75.0, 100.0, 50.0]
+    values = [("cycle_ratio", 0.1), ("avg_coupling", 0.35), ("hotspot_concentration", 0.25), ("dead_ratio", 0.0), ("max_depth", 15.0), ("avg_cyclomatic", 30.0), ("avg_cohesion", 0.5), ("avg_distance", 0.2), ("hidden_ratio", 0.0)]
+    metrics = spark.createDataFrame(values, "metric string, value double")
+    got = {r.part: r.score for r in R.score_parts(metrics).collect()}
+    assert got == {"cycle_severity": 50, "coupling_health": 100, "hotspot_concentration": 75, "dead_code_ratio": 100, "depth_complexity": 50, "complexity": 0, "cohesion": 50, "distance": 80, "temporal_coupling": 100}
+    assert R.health_score(R.score_parts(metrics)).first().score == round(sum(got[k] * w for k, w in N.WEIGHTS.items()))
+    assert R.health_score(R.score_parts(metrics, False)).first().score == round(sum(got[k] * w for k, w in N.WEIGHTS.items() if k != "temporal_coupling") / 0.95)
 
 
 def test_history(spark):
@@ -137,7 +140,7 @@ def test_streams(spark, sf, tmp_path):
 
     q = Q.upsert_each_batch(stream, str(tmp_path / "table"), ["user_id"], "event_id", str(tmp_path / "c3"))
     q.awaitTermination(120)
-    assert rows(spark.read.parquet(str(tmp_path / "table/v2")).select("user_id", "event_id")) == rows(batch.groupBy("user_id").agg(F.max("event_id")))
+    assert rows(Q.stored_upserts(spark, str(tmp_path / "table")).select("user_id", "event_id")) == rows(batch.groupBy("user_id").agg(F.max("event_id")))
 
 
 def test_every_query_has_a_stable_schema(spark, sf):
