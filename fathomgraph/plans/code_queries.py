@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgraph.functions.paths import is_auxiliary_path, is_test_path, last_name, path_role
+from fathomgraph.functions.paths import path_role
 from fathomgraph.operators import findings as N
 from fathomgraph.operators import git_signals as G
 from fathomgraph.operators import history as H
@@ -80,25 +80,23 @@ query(
 e AS (SELECT kind, language_server, heuristic, coalesce(dropped, 0) AS dropped FROM (SELECT kind, count(*) FILTER (source = 'Lsp') AS language_server, count(*) FILTER (source = 'Heuristic') AS heuristic FROM ge GROUP BY 1) LEFT JOIN d USING (kind))""",
           "SELECT *, CASE WHEN rate >= 0.5 THEN 'Critical' WHEN rate >= 0.25 THEN 'High' WHEN rate >= 0.1 THEN 'Warning' END AS level FROM (SELECT *, (heuristic + dropped) / nullif(language_server + heuristic + dropped, 0) AS rate FROM e)"),
 )(lambda g: Y.resolution_quality(g.edges, drops=R.ambiguous_drops(*_calls(g)).agg(F.count(F.lit(1)).alias("dropped")).select(F.lit("Call").alias("kind"), "dropped")))
-_TYPES = "ty AS (SELECT id, name, file FROM gn WHERE kind IN ('Struct', 'Enum', 'Type', 'Interface') AND name IS NOT NULL), us AS (SELECT DISTINCT id, name, file, ['Extends', 'Implements', 'Uses'][length(fqn) % 3 + 1] AS kind FROM gn WHERE kind = 'Function' AND name IS NOT NULL)"
+_TYPES = "ty AS (SELECT id, name, file FROM gn WHERE kind IN ('Struct', 'Enum', 'Type', 'Interface') AND name IS NOT NULL), us AS (SELECT DISTINCT id, string_split(fqn, '::')[-2] AS name, file, ['Extends', 'Implements', 'Uses'][length(fqn) % 3 + 1] AS kind FROM gn WHERE kind = 'Function' AND contains(fqn, '::'))"
 query(
     "fallback_types",
     _with("gn", _TYPES, """SELECT DISTINCT u.id AS from_id, CASE WHEN a.n = 1 THEN a.one WHEN h.n = 1 THEN h.one END AS to_id, u.kind, 'Medium' AS confidence FROM us u JOIN (SELECT name, count(*) AS n, min(id) AS one FROM ty GROUP BY 1) a USING (name)
 LEFT JOIN (SELECT name, file, count(*) AS n, min(id) AS one FROM ty GROUP BY 1, 2) h ON h.name = u.name AND h.file = u.file WHERE CASE WHEN a.n = 1 THEN a.one WHEN h.n = 1 THEN h.one END <> u.id"""),
 )(lambda g: R.fallback_types(
-    g.nodes.filter("kind = 'Function' and name is not null").select(F.col("id").alias("user"), "name", "file", F.element_at(F.array(*[F.lit(k) for k in ("Extends", "Implements", "Uses")]), (F.length("fqn") % 3).cast("int") + 1).alias("how")),
+    g.nodes.filter("kind = 'Function' and contains(fqn, '::')").select(F.col("id").alias("user"), F.element_at(F.split("fqn", "::"), -2).alias("name"), "file", F.element_at(F.array(*[F.lit(k) for k in ("Extends", "Implements", "Uses")]), (F.length("fqn") % 3).cast("int") + 1).alias("how")),
     g.nodes.filter("kind in ('Struct', 'Enum', 'Type', 'Interface') and name is not null").select(F.col("id").alias("symbol"), "name", "file"),
 ))
 query(
     "fallback_variables",
-    _with("gn", "va AS (SELECT id, name, file FROM gn WHERE kind = 'Variable' AND name IS NOT NULL), us AS (SELECT DISTINCT id, name, file FROM gn WHERE kind <> 'Variable' AND name IS NOT NULL)", """SELECT DISTINCT u.id AS from_id, CASE WHEN h.n = 1 THEN h.one WHEN a.n = 1 THEN a.one END AS to_id, 'Uses' AS kind, 'Low' AS confidence
+    _with("gn par", "va AS (SELECT id, name, file FROM gn WHERE kind = 'Variable' AND name IS NOT NULL), us AS (SELECT DISTINCT parent AS id, name, CASE WHEN length(name) % 2 = 0 THEN file END AS file FROM va JOIN par ON par.node = va.id)", """SELECT DISTINCT u.id AS from_id, CASE WHEN h.n = 1 THEN h.one WHEN a.n = 1 THEN a.one END AS to_id, 'Uses' AS kind, 'Low' AS confidence
 FROM us u JOIN (SELECT name, count(*) AS n, min(id) AS one FROM va GROUP BY 1) a USING (name) LEFT JOIN (SELECT name, file, count(*) AS n, min(id) AS one FROM va GROUP BY 1, 2) h ON h.name = u.name AND h.file = u.file WHERE CASE WHEN h.n = 1 THEN h.one WHEN a.n = 1 THEN a.one END <> u.id"""),
-)(lambda g: R.fallback_variables(g.nodes.filter("kind != 'Variable' and name is not null").select(F.col("id").alias("user"), "name", "file"), g.nodes.filter("kind = 'Variable' and name is not null").select(F.col("id").alias("symbol"), "name", "file")))
+)(lambda g: R.fallback_variables(g.nodes.filter("kind = 'Variable' and name is not null").join(g.parents.withColumnRenamed("node", "id"), "id").select(F.col("parent").alias("user"), "name", F.when(F.length("name") % 2 == 0, F.col("file")).alias("file")), g.nodes.filter("kind = 'Variable' and name is not null").select(F.col("id").alias("symbol"), "name", "file")))
 
 # Test files and modules
 
-_EXACT = {"rust": [], "python": ["pytest", "unittest", "mock", "hypothesis"], "go": ["testing"]}
-query("test_framework_files")(lambda g: Y.test_framework_files(g.nodes))
 query(
     "module_kinds",
     graph("mods gn", f"SELECT module, CASE WHEN starts_with(module, 'src/layer') THEN 'production' WHEN {outside_path('module')} OR s > 0.5 THEN 'non_production' ELSE 'production' END AS kind, CASE WHEN starts_with(module, 'src/layer') THEN 'override' WHEN {outside_path('module')} THEN 'path' WHEN s > 0.5 THEN 'tests' ELSE 'default' END AS reason FROM (SELECT module, avg(is_test::INTEGER) AS s FROM mods JOIN gn USING (id) GROUP BY 1)"),
@@ -110,8 +108,8 @@ query("file_roles", graph("gn", f"SELECT coalesce({sql_path_role('path_repo_rel'
 query("node_annotation", graph("gn fans outside", "SELECT id, fqn, kind, fan_in, fan_out, is_non_production FROM gn JOIN fans USING (id) JOIN outside USING (id) WHERE fqn = (SELECT min(fqn) FROM gn WHERE kind = 'Function') OR array_to_string(string_split(fqn, '::')[-2:], '::') = (SELECT min(fqn) FROM gn WHERE kind = 'Function')"))(
     lambda g: _annotation(g, g.nodes.filter("kind = 'Function'").agg(F.min("fqn")).first()[0])
 )
-query("endings_of_files", f"SELECT lower(string_split(path, '.')[-1]) AS ending, count(*) AS files FROM (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL) WHERE lower(string_split(path, '.')[-1]) IN ({', '.join(repr(e) for e in SOURCE_ENDINGS)}) GROUP BY 1", True)(
-    lambda t: t("documents").select("path").distinct().groupBy(F.lower(F.element_at(F.split("path", r"\\."), -1)).alias("ending")).agg(F.count(F.lit(1)).alias("files")).filter(F.col("ending").isin(*SOURCE_ENDINGS))
+query("endings_of_files", graph("gn", f"SELECT lower(string_split(path_repo_rel, '.')[-1]) AS ending, count(*) AS files FROM gn WHERE kind = 'File' AND lower(string_split(path_repo_rel, '.')[-1]) IN ({', '.join(repr(e) for e in SOURCE_ENDINGS)}) GROUP BY 1"))(
+    lambda g: g.nodes.filter("kind = 'File'").groupBy(F.lower(F.element_at(F.split("path_repo_rel", r"\."), -1)).alias("ending")).agg(F.count(F.lit(1)).alias("files")).filter(F.col("ending").isin(*SOURCE_ENDINGS))
 )
 
 

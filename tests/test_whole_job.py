@@ -78,19 +78,3 @@ def test_clusters_of_commits_of_more_than_fifty_files(spark):
     names = [f"f{i:02d}" for i in range(51)]
     data = [(c, f) for c in ("c1", "c2", "c3") for f in names] + [("d", f) for f in [*names[:50], "other"]]
     assert [(r.files, r.n) for r in G.clusters(spark.createDataFrame(data, "commit string, file string")).collect() if len(r.files) > 2] == [(names, 3)]
-
-
-def test_leaks_take_repeated_items_once_and_drop_none(spark, monkeypatch):
-    import pytest
-
-    from fathomgraph.llm import leaks as L
-
-    monkeypatch.setattr(L, "ITEMS_AN_INDEX", 2)
-    items = spark.createDataFrame([("a", "x", "y")] * 9 + [("b", "x", "y")], "item_id string, passage string, answer string")
-    documents = spark.createDataFrame([(1, "x")], "doc_id bigint, text string")
-    with pytest.raises(RuntimeError):
-        L._leaks_of(documents, items)
-    met = []
-    monkeypatch.setattr(L, "_leaks_of", lambda d, i: met.append(i.count()))
-    L.leaks(documents, items)
-    assert met == [2]
