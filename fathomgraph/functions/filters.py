@@ -29,8 +29,11 @@ class NodeFilter:
     flags: dict[str, bool] = field(default_factory=dict)
     prefixes: list[str] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """Kinds and roles are alternatives each; everything else must hold. Missing flags count as false."""
+    def column(self, pattern: bool = False) -> Column:
+        """Kinds and roles are alternatives each; everything else must hold. Missing flags count as false.
+
+        pattern: beginnings of paths are SQL patterns without letter case, in which `_` and `%` stand for any sign and any signs; else they are literal.
+        """
         out = F.lit(True)
         if self.kinds:
             out = out & F.col("kind").isin(*self.kinds)
@@ -39,7 +42,8 @@ class NodeFilter:
         for name, want in self.flags.items():
             out = out & (F.coalesce(F.col(name), F.lit(False)) == want)
         for prefix in self.prefixes:
-            out = out & F.coalesce(F.startswith("path_repo_rel", F.lit(prefix)), F.lit(False))
+            begins = F.col("path_repo_rel").ilike(prefix.replace("\\", "\\\\") + "%") if pattern else F.startswith("path_repo_rel", F.lit(prefix))
+            out = out & F.coalesce(begins, F.lit(False))
         return out
 
 

@@ -127,3 +127,17 @@ def tier_rank(tier: Column | str) -> Column:
 def ranked_tier(rank: Column | str) -> Column:
     r = _col(rank)
     return F.when(r == 3, "tier_3").when(r == 2, "tier_0").when(r == 1, "tier_1")
+
+
+#: Files by which frameworks are recognised.
+DJANGO_FILES = ("views.py", "urls.py", "models.py", "admin.py", "forms.py", "apps.py", "settings.py", "middleware.py")
+CELERY_FILES = ("tasks.py", "celery.py", "celery_app.py")
+
+
+def frameworks_of(path: Column | str, language: Column | str) -> Column:
+    """The sorted frameworks that a file's name tells, or plain."""
+    name, python = F.element_at(F.split(lowered(path), "/"), -1), F.lower(_col(language)) == "python"
+    harness = lambda runner: name.rlike(rf"^{runner}\.(setup|config)\.(js|ts|mjs|cjs)$")
+    tests = [("celery", python & name.isin(*CELERY_FILES)), ("django", python & name.isin(*DJANGO_FILES)), ("jest", harness("jest")), ("vitest", harness("vitest"))]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), tag) for tag, test in tests]))
+    return F.when(F.size(found) == 0, F.array(F.lit("plain"))).otherwise(found)

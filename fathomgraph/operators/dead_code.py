@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathomgraph.functions.paths import frameworks_of
+
 #: File names, and parts of names, by which functions are entered from outside.
 BARREL_FILES = ("index.ts", "index.js", "index.tsx", "index.jsx", "index.mts", "index.mjs", "mod.rs", "lib.rs", "__init__.py", "package-info.java", "GlobalUsings.cs", "AssemblyInfo.cs")
 ENTRYPOINT_FILES = (
@@ -41,7 +43,15 @@ ACCESSOR_NAMES = (
     "status", "statusText", "type", "length", "size", "name", "value", "checked", "disabled", "selected",
 )
 PRIVATE = ("private", "fileprivate", "module_private")
-REASONS = ("framework_annotation_unresolved", "callback_target_not_tracked", "test_only_reference", "visibility_private_unused", "no_callers")
+REASONS = (
+    "no_callers", "framework_annotation_unresolved", "declarative_wiring_unparsed", "dynamic_dispatch_target", "callback_target_not_tracked", "test_only_reference", "visibility_private_unused", "unclassified",
+)
+#: Methods that a view class's dispatch and a command runner call.
+VIEW_METHODS = (
+    "get", "post", "put", "patch", "delete", "head", "options", "trace", "get_queryset", "get_object", "get_context_data", "form_valid",
+    "form_invalid", "get_success_url",
+)
+COMMAND_METHODS = ("handle", "add_arguments")
 
 
 @dataclass(frozen=True)
@@ -114,19 +124,38 @@ def entry_points(functions: DataFrame, nodes: DataFrame, classes: DataFrame, rul
     return with_class(functions, nodes, classes).select("id", entry_reason(rules).alias("reason")).filter("reason is not null")
 
 
+def framework_reason() -> Column:
+    """The reason that the first of a function's frameworks gives, in their order; null if none gives one. Without frameworks of its own, those count that its file's name tells.
+
+    Reads frameworks, language, name and class_path; callers are known to be none.
+    """
+    path, name = F.coalesce("class_path", F.lit("")), F.col("name")
+    views, urls = path.endswith("/views.py") | path.contains("/views/"), path.endswith("urls.py")
+    wired = (path.contains("/management/commands/") & name.isin(*COMMAND_METHODS)) | views | urls
+    given = {
+        "celery": F.when(path.endswith("/tasks.py") | path.contains("/tasks/"), "framework_annotation_unresolved"),
+        "django": F.when(wired, "declarative_wiring_unparsed"),
+        "jest": F.lit("framework_annotation_unresolved"),
+        "vitest": F.lit("framework_annotation_unresolved"),
+    }
+    one = lambda f: F.coalesce(*[F.when(f == k, v) for k, v in given.items()])
+    return F.get(F.filter(F.transform(F.when(F.size("frameworks") > 0, F.col("frameworks")).otherwise(frameworks_of(path, "language")), one), lambda r: r.isNotNull()), F.lit(0))
+
+
 def dead_code(functions: DataFrame, nodes: DataFrame, classes: DataFrame, fans: DataFrame, outside: DataFrame, rules: EntryRules = EntryRules()) -> DataFrame:
     """(id, bucket, reason): functions without structural callers that are no entry points.
 
-    bucket is production, test or vendor, by outside(id, is_non_production, in_test_file); reason is the first of
-    REASONS that holds.
+    bucket is production, test or vendor, by outside(id, is_non_production, in_test_file). reason is given by the rules for all, then by the function's
+    frameworks, then by its visibility.
     """
     uncalled = with_class(functions, nodes, classes).join(fans.filter("fan_in = 0").select("id"), "id", "left_semi").filter(entry_reason(rules).isNull())
     reason = (
-        F.when((F.size("entry_points") > 0) | F.col("is_attribute_invoked"), REASONS[0])
-        .when(F.col("is_callback_target"), REASONS[1])
-        .when(F.coalesce("class_test", F.lit(False)), REASONS[2])
-        .when(F.col("visibility").isin(*PRIVATE), REASONS[3])
-        .otherwise(REASONS[4])
+        F.when((F.size("entry_points") > 0) | F.col("is_attribute_invoked"), "framework_annotation_unresolved")
+        .when(F.col("is_callback_target"), "callback_target_not_tracked")
+        .when(F.coalesce("class_test", F.lit(False)), "test_only_reference")
+        .when(framework_reason().isNotNull(), framework_reason())
+        .when(F.col("visibility").isin(*PRIVATE), "visibility_private_unused")
+        .otherwise("no_callers")
     )
     bucket = F.when(~F.col("is_non_production"), "production").when(F.col("in_test_file"), "test").otherwise("vendor")
     return uncalled.join(outside, "id").select("id", bucket.alias("bucket"), reason.alias("reason"))

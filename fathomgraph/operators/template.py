@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tomllib
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +30,9 @@ def guarded(df: DataFrame, limit: int, what: str) -> DataFrame:
 def filtered_dump(nodes: DataFrame, edges: DataFrame, node_filter: str = "", edge_filter: str = "", closed: bool = True) -> tuple[DataFrame, DataFrame]:
     """The nodes that pass, and the edges of the kinds asked for among them (closed) or touching them.
 
-    Where edges touch, ends beyond the chosen nodes come as stubs: is_stub, stub_reason 'external_endpoint'.
+    Where edges touch, ends beyond the chosen nodes come as stubs: is_stub, stub_reason 'external_endpoint'. Beginnings of paths are SQL patterns here.
     """
-    wanted = parse_node_filter(node_filter).column() if node_filter.strip() else F.lit(True)
+    wanted = parse_node_filter(node_filter).column(pattern=True) if node_filter.strip() else F.lit(True)
     chosen = nodes.filter(wanted)
     kinds = parse_edge_filter(edge_filter) if edge_filter.strip() else None
     some = edges if kinds is None else edges.filter(F.col("kind").isin(*kinds))
@@ -74,3 +77,63 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, d
     if emit is not None:
         met = met.join(nodes.filter(emit.column()).select("id"), "id", "left_semi")
     return met, inside
+
+
+class TemplateError(ValueError):
+    pass
+
+
+@dataclass(frozen=True)
+class Template:
+    """The [graph] section of a template file."""
+
+    mode: str = "filtered_dump"
+    depth: int = 3
+    direction: str = "out"
+    show_externals: bool = False
+    node_filter: str = ""
+    edge_filter: str = ""
+    ids: tuple[str, ...] = ()
+    paths: tuple[str, ...] = ()
+    fqn_like: tuple[str, ...] = ()
+    warnings: tuple[str, ...] = field(default=())
+
+    @classmethod
+    def parse(cls, text: str) -> Template:
+        doc = tomllib.loads(text).get("graph")
+        if doc is None:
+            raise TemplateError("no [graph] section")
+        mode, said = str(doc.get("mode", "filtered_dump")).strip(), []
+        if mode not in ("filtered_dump", "traversal"):
+            raise TemplateError(f"no mode: {mode}")
+        if "mode" not in doc:
+            said.append("mode: filtered_dump")
+        depth, direction = int(doc.get("depth", 3)), doc.get("direction", "out")
+        if direction not in ("out", "in", "both"):
+            raise TemplateError(f"no direction: {direction}")
+        if mode == "filtered_dump" and (depth != 3 or direction != "out"):
+            said.append("depth and direction are not used")
+        seeds: dict[str, list[str]] = {"by_id": [], "by_path_repo_rel": [], "by_fqn_like": []}
+        if mode == "traversal":
+            for root in (doc.get("seed") or {}).get("roots") or []:
+                name = next((k for k in seeds if k in root), None)
+                if name is None:
+                    raise TemplateError("a seed names none of " + ", ".join(seeds))
+                seeds[name].append(root[name])
+            if not any(seeds.values()):
+                raise TemplateError("a traversal needs seed.roots")
+        return cls(mode, depth, direction, bool(doc.get("show_externals", False)), doc.get("node_filter", ""), doc.get("edge_filter", ""), *map(tuple, seeds.values()), tuple(said))
+
+
+def run_template(nodes: DataFrame, edges: DataFrame, template: Template, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
+    """The template's nodes and edges; refused if they are more than the limits, or if no seed is met."""
+    if template.mode == "filtered_dump":
+        chosen, some = filtered_dump(nodes, edges, template.node_filter, template.edge_filter, not template.show_externals)
+        return guarded(chosen, max_nodes, "nodes"), guarded(some, max_edges, "edges")
+    seeds = kept(resolve_seeds(nodes, template.ids, template.paths, template.fqn_like))
+    if seeds.isEmpty():
+        raise TemplateError("no node is named by the seeds")
+    kinds = parse_edge_filter(template.edge_filter) if template.edge_filter.strip() else None
+    emit = parse_node_filter(template.node_filter) if template.node_filter.strip() else None
+    met, inside = traverse(nodes, edges, seeds, template.depth, template.direction, kinds, emit)
+    return guarded(met.join(nodes, "id"), max_nodes, "nodes"), guarded(inside, max_edges, "edges")

@@ -13,6 +13,7 @@ from fathomgraph.operators import components as C
 from fathomgraph.operators import dead_code as D
 from fathomgraph.operators import interactive as I
 from fathomgraph.operators import metrics as M
+from fathomgraph.operators import overrides as V
 from fathomgraph.operators import quality as Y
 from fathomgraph.operators import subsets as S
 from fathomgraph.operators import template as T
@@ -261,10 +262,12 @@ _ENTRY = f"entry AS (SELECT *, {_RULES} AS entry_reason FROM (SELECT fn.*, o.* E
 query("entry_points", _with("fn outside", _ENTRY, "SELECT id, entry_reason AS reason FROM entry WHERE entry_reason IS NOT NULL"))(lambda g: D.entry_points(g.functions, g.nodes, g.classes))
 _DEAD = """dead AS (SELECT e.id, CASE WHEN NOT is_non_production THEN 'production' WHEN in_test_file THEN 'test' ELSE 'vendor' END AS bucket,
  CASE WHEN is_attribute_invoked THEN 'framework_annotation_unresolved' WHEN is_callback_target THEN 'callback_target_not_tracked' WHEN in_test_file THEN 'test_only_reference'
+  WHEN language = 'python' AND lower(base) = 'tasks.py' AND (class_path LIKE '%/tasks.py' OR class_path LIKE '%/tasks/%') OR language = 'python' AND lower(base) IN ('celery.py', 'celery_app.py') AND class_path LIKE '%/tasks/%' OR regexp_matches(lower(base), '^(jest|vitest)\\.(setup|config)\\.(js|ts|mjs|cjs)$') THEN 'framework_annotation_unresolved'
+  WHEN language = 'python' AND lower(base) IN ('views.py', 'urls.py', 'models.py', 'admin.py', 'forms.py', 'apps.py', 'settings.py', 'middleware.py') AND (class_path LIKE '%/management/commands/%' AND name IN ('handle', 'add_arguments') OR class_path LIKE '%/views.py' OR class_path LIKE '%/views/%' OR class_path LIKE '%urls.py') THEN 'declarative_wiring_unparsed'
   WHEN visibility IN ('private', 'fileprivate', 'module_private') THEN 'visibility_private_unused' ELSE 'no_callers' END AS reason
  FROM entry e JOIN fans USING (id) WHERE fan_in = 0 AND entry_reason IS NULL)"""
 query("dead_code", _with("fn outside fans", _ENTRY + ",\n" + _DEAD, "SELECT * FROM dead"))(lambda g: _dead(g))
-query("dead_code_reasons", _with("fn outside fans", _ENTRY + ",\n" + _DEAD, f"""SELECT b.bucket, r.reason, count(dead.id) AS n FROM (SELECT unnest(['production', 'test', 'vendor']) AS bucket) b, (SELECT unnest({list(D.REASONS)}) AS reason) r LEFT JOIN dead ON dead.bucket = b.bucket AND dead.reason = r.reason GROUP BY 1, 2"""))(lambda g: D.reason_breakdown(_dead(g)))
+query("dead_code_reasons", _with("fn outside fans", _ENTRY + ",\n" + _DEAD, f"""SELECT b.bucket, r.reason, count(dead.id) AS n FROM (SELECT unnest(['production', 'test', 'vendor']) AS bucket) b, (SELECT unnest(['no_callers', 'framework_annotation_unresolved', 'declarative_wiring_unparsed', 'dynamic_dispatch_target', 'callback_target_not_tracked', 'test_only_reference', 'visibility_private_unused', 'unclassified']) AS reason) r LEFT JOIN dead ON dead.bucket = b.bucket AND dead.reason = r.reason GROUP BY 1, 2"""))(lambda g: D.reason_breakdown(_dead(g)))
 
 
 def _dead(g: Graph) -> DataFrame:
@@ -287,7 +290,7 @@ FROM (SELECT DISTINCT a.language, concat_ws('|', ge.kind, a.fqn, b.fqn) AS e FRO
 # Templates
 
 _FILTER = "kind in ['Function', 'Method', 'File'] and is_test == false and path_repo_rel starts_with 'src/'"
-_CHOSEN = "chosen AS (SELECT id FROM gn WHERE kind IN ('Function', 'File') AND NOT is_test AND starts_with(path_repo_rel, 'src/'))"
+_CHOSEN = "chosen AS (SELECT id FROM gn WHERE kind IN ('Function', 'File') AND NOT is_test AND path_repo_rel ILIKE 'src/%')"
 query("template_nodes", _with("gn", _CHOSEN, "SELECT id FROM chosen"))(lambda g: T.filtered_dump(g.nodes, g.edges, _FILTER)[0].select("id"))
 query("template_edges", _with("gn ge", _CHOSEN, "SELECT from_id, to_id, kind FROM ge WHERE kind IN ('Call', 'Import') AND from_id IN (SELECT id FROM chosen) AND to_id IN (SELECT id FROM chosen)"))(
     lambda g: T.filtered_dump(g.nodes, g.edges, _FILTER, "rel in ['Calls', 'Import']")[1].select("from_id", "to_id", "kind")
@@ -307,3 +310,35 @@ def _traversed(g: Graph) -> tuple[DataFrame, DataFrame]:
 query("template_traversal", _with("gn ge", _SEEDS + ",\n" + _WALK, "SELECT id, depth FROM tn"))(lambda g: _traversed(g)[0])
 query("template_traversal_edges", _with("gn ge", _SEEDS + ",\n" + _WALK, "SELECT from_id, to_id, kind FROM ge WHERE kind IN ('Contains', 'Extends') AND from_id IN (SELECT id FROM tn) AND to_id IN (SELECT id FROM tn)"))(lambda g: _traversed(g)[1].select("from_id", "to_id", "kind"))
 query("node_filter", graph("gn", "SELECT id FROM gn WHERE kind IN ('Interface') AND NOT is_vendor"))(lambda g: g.nodes.filter(parse_node_filter("kind == 'Trait' AND is_vendor == false").column()).select("id"))
+
+_TOML = """[graph]
+mode = "traversal"
+depth = 2
+direction = "both"
+edge_filter = "rel in ['Contains', 'Extends']"
+node_filter = "kind in ['Function', 'File'] and path_repo_rel starts_with 'src/'"
+
+[[graph.seed.roots]]
+by_path_repo_rel = "src/layer0"
+
+[[graph.seed.roots]]
+by_fqn_like = "%hub0"
+"""
+query("template_file", _with("gn ge", _SEEDS + ",\n" + _WALK, "SELECT id, depth, kind FROM tn JOIN gn USING (id) WHERE kind IN ('Function', 'File') AND starts_with(path_repo_rel, 'src/')"))(
+    lambda g: T.run_template(g.nodes, g.edges, T.Template.parse(_TOML))[0].select("id", "depth", "kind")
+)
+_OVERRIDES = V.Overrides.parse('{"file_overrides": [{"path": "shared/prelude.rs", "classification": "test"}, {"path": "shared/types.ts", "classification": "generated"}], "entry_point_patterns": [{"pattern": "^flush", "action": "mark_as_entry_point"}]}')
+_FLAGS = "coalesce('{p}' IN (path_repo_rel, file, fqn), false)"
+query(
+    "overridden_files",
+    graph("gn", f"SELECT id, is_test OR {_FLAGS.format(p='shared/prelude.rs')} AS is_test, is_vendor AND NOT {_FLAGS.format(p='shared/prelude.rs')} AS is_vendor, is_generated AND NOT {_FLAGS.format(p='shared/prelude.rs')} OR {_FLAGS.format(p='shared/types.ts')} AS is_generated FROM gn WHERE kind = 'File'"),
+)(lambda g: V.with_file_overrides(g.nodes, _OVERRIDES).filter("kind = 'File'").select("id", "is_test", "is_vendor", "is_generated"))
+query("dead_code_overridden", _with("fn outside fans", _ENTRY + ",\n" + _DEAD, "SELECT dead.* FROM dead JOIN fn USING (id) WHERE NOT (regexp_matches(name, '(?i)^flush') OR regexp_matches(fqn, '(?i)^flush'))"))(
+    lambda g: V.without_exempt(D.dead_code(g.functions, g.nodes, g.classes, g.fans, g.outside, _OVERRIDES.entry_rules()), _OVERRIDES)
+)
+_PY = "language = 'python' AND string_split(lower(path_repo_rel), '/')[-1] IN "
+query(
+    "frameworks",
+    graph("gn", f"""SELECT id, CASE WHEN {_PY}('tasks.py', 'celery.py', 'celery_app.py') THEN ['celery'] WHEN {_PY}('views.py', 'urls.py', 'models.py', 'admin.py', 'forms.py', 'apps.py', 'settings.py', 'middleware.py') THEN ['django']
+WHEN regexp_matches(lower(path_repo_rel), '(^|/)jest[.](setup|config)[.](js|ts|mjs|cjs)$') THEN ['jest'] WHEN regexp_matches(lower(path_repo_rel), '(^|/)vitest[.](setup|config)[.](js|ts|mjs|cjs)$') THEN ['vitest'] ELSE ['plain'] END AS frameworks FROM gn WHERE kind = 'File'"""),
+)(lambda g: g.nodes.filter("kind = 'File'").select("id", P.frameworks_of("path_repo_rel", "language").alias("frameworks")))
