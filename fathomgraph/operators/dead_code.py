@@ -158,7 +158,7 @@ def dead_code(functions: DataFrame, nodes: DataFrame, classes: DataFrame, fans:
         .otherwise("no_callers")
     )
     bucket = F.when(~F.col("is_non_production"), "production").when(F.col("in_test_file"), "test").otherwise("vendor")
-    return uncalled.join(outside, "id").select("id", bucket.alias("bucket"), reason.alias("reason"))
+    return uncalled.join(outside.select("id", "is_non_production", "in_test_file"), "id").select("id", bucket.alias("bucket"), reason.alias("reason"))
 
 
 def reason_breakdown(dead: DataFrame) -> DataFrame:
