@@ -312,9 +312,9 @@ def cohesion(edges: DataFrame, functions: DataFrame, modules: DataFrame, min_fun
     member, other = F.col("id"), F.col("other")
     out = edges.filter("kind != 'Contains'").select(F.col("from_id").alias("id"), F.concat(F.lit(">"), "to_id").alias("other"))
     into = edges.filter("kind != 'Contains'").select(F.col("to_id").alias("id"), F.concat(F.lit("<"), "from_id").alias("other"))
-    shared = own.join(out.unionByName(into), "id").select("module", member.alias("id"), other.alias("other"))
+    shared = sized_join(out.unionByName(into), own, "id").select("module", member.alias("id"), other.alias("other"))
     direct = edges.filter("kind != 'Contains'").select(F.col("from_id").alias("id"), F.col("to_id").alias("to"))
-    inner = own.join(direct, "id").join(own.select(F.col("id").alias("to"), F.col("module").alias("to_module")), "to").filter("module = to_module").select("module", "id", F.concat(F.lit("f"), "to").alias("other"))
+    inner = sized_join(sized_join(direct, own, "id"), own.select(F.col("id").alias("to"), F.col("module").alias("to_module")), "to").filter("module = to_module").select("module", "id", F.concat(F.lit("f"), "to").alias("other"))
     key = lambda c: F.concat_ws("\u0001", F.col("module"), c)
     links = shared.unionByName(inner).select(key(F.concat(F.lit("f"), "id")).alias("src"), key(F.col("other")).alias("dst")).distinct()
     links = kept(links)

@@ -57,10 +57,10 @@ def module_pairs(edges: DataFrame, limit: int = 20) -> DataFrame:
     Calls are first counted per pair of functions' containers' keys on one side, so a much-called function
     meets its containers once per calling container and not once per call. Nodes with several parents count for each.
     """
-    holds = edges.filter("kind = 'Contains'").select(F.col("to_id").alias("member"), F.col("from_id").alias("module"))
-    outer = calls(edges).join(holds.select(F.col("member").alias("from_id"), F.col("module").alias("from_module")), "from_id")
+    holds = kept(edges.filter("kind = 'Contains'").select(F.col("to_id").alias("member"), F.col("from_id").alias("module")))
+    outer = sized_join(calls(edges).select("from_id", "to_id"), holds.select(F.col("member").alias("from_id"), F.col("module").alias("from_module")), "from_id")
     counted = outer.groupBy("from_module", "to_id").agg(F.count(F.lit(1)).alias("n"))
-    inner = counted.join(holds.select(F.col("member").alias("to_id"), F.col("module").alias("to_module")), "to_id").filter("from_module != to_module")
+    inner = sized_join(counted, holds.select(F.col("member").alias("to_id"), F.col("module").alias("to_module")), "to_id").filter("from_module != to_module")
     return inner.groupBy("from_module", "to_module").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "from_module", "to_module").limit(limit)
 
 
@@ -117,13 +117,13 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 1
     return spark.createDataFrame([], "step int, id string")
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 4, limit: int | None = None) -> DataFrame:
-    """(cycle, length): simple cycles of calls up to max_length, written from their least id on, shortest first.
+def simple_cycles(edges: DataFrame, max_length: int = 4, limit: int | None = None, calls_only: bool = True) -> DataFrame:
+    """(cycle, length): simple cycles of calls (or of all the edges given) up to max_length, written from their least id on, shortest first.
 
     Paths start at the cycle's least id and grow only by greater ids, so each cycle is found once. Before
     that, edges outside of strongly connected parts are shed: those whose ends have no way in or no way on.
     """
-    steps = calls(edges).filter("from_id != to_id").select("from_id", "to_id").distinct()
+    steps = (calls(edges) if calls_only else edges).filter("from_id != to_id").select("from_id", "to_id").distinct()
     for _ in range(max_length):
         steps = steps.join(steps.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi")
         steps = kept(steps.join(steps.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi"))
@@ -172,3 +172,20 @@ def seeds_of(spark: SparkSession, ids: list[str]) -> DataFrame:
 def functions_of_file(nodes: DataFrame, path: Column | str) -> DataFrame:
     """(seed): the functions whose location is in the file."""
     return nodes.filter(F.col("kind") == "Function").filter(F.col("file") == path).select(F.col("id").alias("seed"))
+
+
+def file_blast_radius(calls_in: DataFrame, nodes: DataFrame, path: str, max_depth: int = 3) -> DataFrame:
+    """reach of all functions of the file, against the direction of calls."""
+    return reach(calls_in, kept(functions_of_file(nodes, path)), "in", max_depth)
+
+
+class NotAFunction(ValueError):
+    pass
+
+
+def blast_radius_of(calls_in: DataFrame, nodes: DataFrame, seed: str, max_depth: int = 3, cap: int = 500) -> tuple[DataFrame, bool]:
+    """The callers of one function within max_depth, nearest first, ties by id, and whether there are more than cap of them. The cap is the question's own."""
+    if nodes.filter((F.col("id") == seed) & (F.col("kind") == "Function")).isEmpty():
+        raise NotAFunction(seed)
+    found = kept(reach(calls_in, seeds_of(nodes.sparkSession, [seed]), "in", max_depth))
+    return found.orderBy("depth", "id").limit(cap), found.count() > cap

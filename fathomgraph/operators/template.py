@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomgraph.functions.filters import NodeFilter, parse_edge_filter, parse_node_filter
+from fathomgraph.operators.skew import sized_join
 from fathomgraph.plans.shared import kept
 
 #: Limits of a template query's answer.
@@ -36,11 +37,12 @@ def filtered_dump(nodes: DataFrame, edges: DataFrame, node_filter: str = "", edg
     chosen = nodes.filter(wanted)
     kinds = parse_edge_filter(edge_filter) if edge_filter.strip() else None
     some = edges if kinds is None else edges.filter(F.col("kind").isin(*kinds))
-    a, b = chosen.select(F.col("id").alias("from_id")), chosen.select(F.col("id").alias("to_id"))
+    ids = kept(chosen.select("id"))
+    a, b = ids.select(F.col("id").alias("from_id")), ids.select(F.col("id").alias("to_id"))
     marked = chosen.withColumn("is_stub", F.lit(False)).withColumn("stub_reason", F.lit(None).cast("string"))
     if closed:
-        return marked, some.join(a, "from_id", "left_semi").join(b, "to_id", "left_semi")
-    touching = some.join(a, "from_id", "left_semi").unionByName(some.join(b, "to_id", "left_semi")).distinct()
+        return marked, sized_join(sized_join(some, a, "from_id", "left_semi"), b, "to_id", "left_semi")
+    touching = sized_join(some, a, "from_id", "left_semi").unionByName(sized_join(some, b, "to_id", "left_semi")).distinct()
     ends = touching.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().join(chosen.select("id"), "id", "left_anti")
     stubs = nodes.join(ends, "id", "left_semi").withColumn("is_stub", F.lit(True)).withColumn("stub_reason", F.lit("external_endpoint"))
     return marked.unionByName(stubs), touching
@@ -73,7 +75,8 @@ def traverse(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, d
         if frontier.isEmpty():
             break
         met = met.unionByName(frontier)
-    inside = some.join(met.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(met.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    ids = kept(met.select("id"))
+    inside = sized_join(sized_join(some, ids.select(F.col("id").alias("from_id")), "from_id", "left_semi"), ids.select(F.col("id").alias("to_id")), "to_id", "left_semi")
     if emit is not None:
         met = met.join(nodes.filter(emit.column()).select("id"), "id", "left_semi")
     return met, inside

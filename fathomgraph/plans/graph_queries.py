@@ -62,9 +62,10 @@ def _dangling(g: Graph) -> DataFrame:
     """(kind, n): distinct edges with an end that no node has."""
     from fathomgraph.sources.graph import raw_edges
 
-    ids = g.nodes.select("id", F.lit(1).alias("there"))
-    e = raw_edges(g.raw_edges).join(ids.select(F.col("id").alias("from_id"), F.col("there").alias("a")), "from_id", "left").join(ids.select(F.col("id").alias("to_id"), F.col("there").alias("b")), "to_id", "left")
-    return e.filter("a is null or b is null").groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    e = kept(raw_edges(g.raw_edges))
+    bad = kept(e.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().join(g.nodes.select("id"), "id", "left_anti"))
+    marked = sized_join(sized_join(e, bad.select(F.col("id").alias("from_id"), F.lit(True).alias("a")), "from_id", "left"), bad.select(F.col("id").alias("to_id"), F.lit(True).alias("b")), "to_id", "left")
+    return marked.filter("a or b").groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Interactive questions
@@ -114,6 +115,22 @@ query(
     _with("calls", _CORE, """cw AS (SELECT [a, b] AS p FROM s8 WHERE a < b UNION ALL SELECT list_append(p, b) FROM cw JOIN s8 ON p[-1] = a WHERE b > p[1] AND NOT list_contains(p, b) AND len(p) < 8)
 SELECT p AS cycle, len(p)::INTEGER AS length FROM cw JOIN s8 ON p[-1] = a AND b = p[1]""").replace(")\ncw AS", "),\ncw AS"),
 )(lambda g: I.simple_cycles(g.calls_out, 8))
+_RINGS = _CORE.replace("calls", "prod")
+query(
+    "link_cycles",
+    _with("prod", _RINGS, """cw AS (SELECT [a, b] AS p FROM s8 WHERE a < b UNION ALL SELECT list_append(p, b) FROM cw JOIN s8 ON p[-1] = a WHERE b > p[1] AND NOT list_contains(p, b) AND len(p) < 4)
+SELECT p AS cycle, len(p)::INTEGER AS length FROM cw JOIN s8 ON p[-1] = a AND b = p[1]""").replace(")\ncw AS", "),\ncw AS"),
+)(lambda g: I.simple_cycles(g.production, 4, calls_only=False))
+_BUSY = "busy AS (SELECT file FROM gn WHERE kind = 'Function' AND file IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, file LIMIT 1), hot AS (SELECT id FROM gn WHERE kind = 'Function' AND file = (SELECT file FROM busy))"
+query("file_blast_radius", _with("gn calls", _BUSY + ",\n" + _reach_sql("to_id", "from_id", 3), _REACHED))(lambda g: _file_blast(g))
+
+
+def _file_blast(g: Graph) -> DataFrame:
+    """Of the file with most functions."""
+    top = g.nodes.filter("kind = 'Function' and file is not null").groupBy("file").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "file").first()
+    return I.file_blast_radius(g.calls_in, g.nodes, top.file if top else "")
+
+
 query(
     "resolve_symbol",
     graph("gn", """SELECT id, fqn, kind, ['fqn', 'id', 'suffix', 'part'][rule + 1] AS how FROM (SELECT *, min(rule) OVER () AS best FROM (SELECT id, fqn, kind, CASE WHEN fqn = 'decode' THEN 0 WHEN id = 'decode' THEN 1
@@ -240,7 +257,7 @@ def _test_only(g: Graph) -> DataFrame:
     own = g.nodes.select(F.col("id").alias("node"), F.when(F.col("kind") == "File", F.col("id")).alias("value"))
     holder = kept(S.nearest_ancestor(own, g.parents).filter("value is not null").select(F.col("node").alias("id"), F.col("value").alias("file")))
     ends = g.edges.filter("kind = 'Import'").select("from_id", "to_id")
-    imports = ends.join(holder.select(F.col("id").alias("from_id"), F.col("file").alias("importer")), "from_id").join(holder.withColumnRenamed("id", "to_id"), "to_id").select("importer", "file")
+    imports = sized_join(sized_join(ends, holder.select(F.col("id").alias("from_id"), F.col("file").alias("importer")), "from_id"), holder.withColumnRenamed("id", "to_id"), "to_id").select("importer", "file")
     whole = g.nodes.filter("kind = 'Function'").select("id", "is_test").join(holder, "id").groupBy("file").agg(F.every("is_test").alias("all_test")).filter("all_test").select("file")
     tests = files.filter("is_test").select(F.col("id").alias("file")).unionByName(whole)
     paths = g.paths.filter(~F.coalesce(P.is_non_production_path("path"), F.lit(False)) & (F.col("path") != ""))

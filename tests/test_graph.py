@@ -230,3 +230,13 @@ def test_last_edge_and_evidence(spark, size):
     )
     assert rows(raw_edges(e)) == sorted([("a", "b", "Call", "Heuristic", "High", at(2)), ("b", "a", "Call", "Unknown", "Unknown", None)], key=repr)
     assert raw_edges(e.limit(0)).count() == 0
+
+
+def test_capped_blast_radius(spark, small):
+    nodes, edges = small
+    near, more = I.blast_radius_of(edges, nodes, "fn_hot", 2, cap=2)
+    assert [r.id for r in near.collect()] == ["fn_caller_a", "fn_caller_b"] and more
+    assert not I.blast_radius_of(edges, nodes, "fn_hot", 2)[1]
+    with pytest.raises(I.NotAFunction):
+        I.blast_radius_of(edges, nodes, "nobody")
+    assert {r.id for r in I.file_blast_radius(edges, nodes, "src/b.rs", 1).collect()} == {"fn_root", "fn_mid", "fn_caller_a", "fn_caller_b"}
