@@ -21,7 +21,7 @@ from fathomgraph.plans.shared import Rounds, kept
 
 ON_CYCLE, BELOW_CYCLE = -1, -2
 LEVELS_A_PLAN = 4
-LEVELS_A_STAGE = 8
+LEVELS_A_STAGE = 16
 
 
 def parent_links(links: DataFrame, newest: Column) -> DataFrame:
@@ -51,13 +51,19 @@ def hierarchy(links: DataFrame, paths: bool = True) -> DataFrame:
     begin = [F.array("node").alias("path")] if paths else []
     columns = ["node", "root", "depth", *(["path"] if paths else [])]
     last = kept(links.filter("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), *begin))
-    rest, reached, depth, rounds = links.filter("parent is not null"), [last], 0, Rounds()
-    while not last.isEmpty() and not rest.isEmpty():
-        some, levels = (_few(last, rest, depth), LEVELS_A_STAGE) if is_small(rest) else (_many(last, rest), LEVELS_A_PLAN)
+    rest, reached, depth, rounds, few = links.filter("parent is not null"), [last], 0, Rounds(), False
+    while not last.isEmpty():
+        few = few or is_small(rest)
+        some, levels = (_few(last, rest, depth), LEVELS_A_STAGE) if few else (_many(last, rest), LEVELS_A_PLAN)
         some, depth = kept(some), depth + levels
         reached.append(some.select(*columns))
         last = some.filter(F.col("depth") == depth).select(*columns)
-        rest = rounds.kept(rest.join(some.select("node"), "node", "left_anti"))
+        if not few:
+            rest = rounds.kept(rest.join(some.select("node"), "node", "left_anti"))
+    found = reached[0].select("node")
+    for some in reached[1:]:
+        found = found.unionByName(some.select("node"))
+    rest = kept(rest.join(found, "node", "left_anti"))
     if not rest.isEmpty():
         around = _around(rest)
         reached.append(around.withColumn("path", F.lit(None).cast("array<string>")) if paths else around)
@@ -94,7 +100,7 @@ def _many(last: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 def _few(last: DataFrame, rest: DataFrame, depth: int) -> DataFrame:
-    """The nodes of the next LEVELS_A_STAGE levels below last, where rest, the links left, is broadcast: its size was checked.
+    """The nodes of the next LEVELS_A_STAGE levels below last, where rest, the links left ahead of the first of these stages, is broadcast: its size was checked.
 
     A row of the frontier meets its children, and itself once more if it has any; a row that meets nothing stays as it is.
     """
