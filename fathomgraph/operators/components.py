@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomgraph.operators.skew import Spread, fits_a_task, sized_join, without
+from fathomgraph.operators.skew import Spread, fits_a_task, numbered, sized_join, without
 from fathomgraph.plans.shared import Rounds, kept
 
 
@@ -254,50 +254,62 @@ def layer_violations(edges: DataFrame, depth: DataFrame, cyclic: DataFrame, fans
     return met.withColumn("gap", F.col("to_depth") - F.col("from_depth")).filter(F.col("gap") >= min_gap).select("from_id", "to_id", "from_depth", "to_depth", "gap")
 
 
+BLOCK_BITS = 512
+
+
 def blast_radius(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, blast): how many other nodes reach each row of seeds(id) along links(src, dst), at any distance.
 
-    Strongly connected parts shrink to one node, whose count stands for all of its members. Seeds are dealt to as many blocks as there are
-    cores, and each block meets all links of the shrunk graph and searches seed by seed: pairs are counted and never written, so the work
-    grows with the pairs, and a worker's memory with the shrunk links.
+    Strongly connected parts shrink to one node, whose size stands for all of its members; what is left has no cycle. Its nodes are numbered and taken in blocks of
+    BLOCK_BITS: each node holds one bit for each node of the block that reaches it, and the bits move level by level along all links, so a
+    block costs one pass over the links, and pairs are counted and never written. Blocks are dealt to the cores; each core reads the shrunk links as numbers.
     """
     parts = strong_components(links)
     part = kept(parts.select("node", "component"))
-    weight = parts.select(F.col("component").alias("rep"), F.col("size").alias("weight")).distinct()
-    rep = lambda c: F.coalesce(F.col(f"{c}_part"), F.col(c))
+    weight = kept(parts.select(F.col("component").alias("rep"), F.col("size").alias("weight")).distinct())
     a, b = part.select(F.col("node").alias("src"), F.col("component").alias("src_part")), part.select(F.col("node").alias("dst"), F.col("component").alias("dst_part"))
-    short = links.select("src", "dst").distinct().join(a, "src", "left").join(b, "dst", "left").select(rep("src").alias("rep"), rep("dst").alias("dst")).filter("rep != dst").distinct()
-    own = kept(seeds.select("id").distinct().join(part.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("rep")))
-    weighed = lambda df: df.join(weight, "rep", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    blocks = links.sparkSession.sparkContext.defaultParallelism
-    asked = weighed(own.select("rep").distinct()).withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
-    every = kept(weighed(short)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    counts = asked.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_reached, "rep string, reached bigint")
-    return own.join(counts, "rep").select("id", (F.col("reached") - 1).alias("blast"))
+    joined = sized_join(sized_join(links.select("src", "dst").distinct(), a, "src", "left"), b, "dst", "left")
+    short = kept(joined.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst")).filter("src != dst").distinct())
+    own = kept(seeds.select("id").distinct().join(part.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("rep")).join(weight, "rep", "left").na.fill(1, ["weight"]))
+    levels = longest_depth(short, part.limit(0).select("node")).select(F.col("node").alias("rep"), "depth").join(weight, "rep", "left").na.fill(1, ["weight"])
+    nodes = kept(numbered(levels, [F.col("weight"), F.col("rep")], "number").withColumn("code", (F.col("number") - 1).cast("int")).drop("number"))
+    coded = sized_join(sized_join(short, nodes.select(F.col("rep").alias("src"), F.col("code").alias("from")), "src"), nodes.select(F.col("rep").alias("dst"), F.col("code").alias("to"), F.col("depth").alias("level")), "dst").select("from", "to", "level")
+    cores = links.sparkSession.sparkContext.defaultParallelism
+    block = F.floor(F.col("code") / BLOCK_BITS)  # one weight a block and core: nodes are numbered by weight
+    asked = nodes.select("code", "weight", block.alias("block"), F.pmod(block, F.lit(cores)).cast("int").alias("core"))
+    every = kept(coded).withColumn("core", F.explode(F.sequence(F.lit(0), F.lit(cores - 1))))
+    counts = asked.groupBy("core").cogroup(every.groupBy("core")).applyInArrow(_reached, "code int, reached bigint").groupBy("code").agg(F.sum("reached").alias("reached"))
+    found = nodes.select("rep", "code").join(counts, "code").select("rep", "reached")
+    return own.join(found, "rep", "left").select("id", (F.coalesce("reached", "weight") - 1).alias("blast"))
 
 
 def _reached(asked: pa.Table, links: pa.Table) -> pa.Table:
-    """(rep, reached): for each row of asked(rep, weight) the weights of all nodes from which links(rep, dst, weight) lead to it, its own included."""
-    seeds, n = asked.num_rows, links.num_rows
-    names = pa.chunked_array([*asked["rep"].chunks, *links["rep"].chunks, *links["dst"].chunks], pa.string()).combine_chunks()
-    codes = names.dictionary_encode().indices.to_numpy()
-    size = int(codes.max()) + 1 if len(codes) else 0
-    weight = np.ones(size, dtype=np.int64)
-    weight[codes[: seeds + n]] = np.concatenate([asked["weight"].to_numpy(), links["weight"].to_numpy()])
-    src, dst = codes[seeds : seeds + n], codes[seeds + n :]
-    order = np.argsort(dst, kind="stable")
-    before, start = src[order].tolist(), np.searchsorted(dst[order], np.arange(size + 1)).tolist()
-    reached = []
-    for seed in codes[:seeds].tolist():
-        seen, todo = {seed}, [seed]
-        while todo:
-            v = todo.pop()
-            for w in before[start[v] : start[v + 1]]:
-                if w not in seen:
-                    seen.add(w)
-                    todo.append(w)
-        reached.append(int(weight[list(seen)].sum()))
-    return pa.table({"rep": asked["rep"], "reached": pa.array(reached, pa.int64())})
+    """(code, reached): for each node the weights of the nodes of asked(code, weight, block) from which links(from, to, level) lead to it, itself included.
+
+    Every link ends at a higher level than it starts from. Nodes of one block but different weights are counted apart.
+    """
+    src, dst, level = (links[c].to_numpy() for c in ("from", "to", "level"))
+    codes, weights, blocks = (asked[c].to_numpy() for c in ("code", "weight", "block"))
+    size = int(max([*(x.max() for x in (src, dst, codes) if len(x)), -1])) + 1
+    order = np.lexsort((dst, level))
+    src, dst, level = src[order].astype(np.int32), dst[order].astype(np.int32), level[order]
+    steps = []
+    for begin, end in zip(*(np.append(np.flatnonzero(np.diff(level, prepend=-1)), len(level))[k:][: len(np.unique(level))] for k in (0, 1))):
+        starts = np.flatnonzero(np.diff(dst[begin:end], prepend=-1))
+        steps.append((src[begin:end], dst[begin:end][starts], starts))
+    total = np.zeros(size, np.int64)
+    key = np.lexsort((codes, weights, blocks))
+    codes, weights, blocks = codes[key], weights[key], blocks[key]
+    edges = np.flatnonzero((np.diff(blocks, prepend=-1) != 0) | (np.diff(weights, prepend=-1) != 0)).tolist()
+    for begin, end in zip(edges, [*edges[1:], len(codes)]):
+        bits = np.zeros((size, BLOCK_BITS // 64), np.uint64)
+        place = np.arange(end - begin)
+        bits[codes[begin:end], place >> 6] = np.uint64(1) << (place & 63).astype(np.uint64)
+        for sources, targets, starts in steps:
+            bits[targets] |= np.bitwise_or.reduceat(bits[sources], starts, axis=0)
+        total += int(weights[begin]) * np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    hit = np.flatnonzero(total)
+    return pa.table({"code": pa.array(hit, pa.int32()), "reached": pa.array(total[hit], pa.int64())})
 
 
 def cohesion(edges: DataFrame, functions: DataFrame, modules: DataFrame, min_functions: int = 3) -> DataFrame:
