@@ -271,9 +271,10 @@ def blast_radius(links: DataFrame, seeds: DataFrame) -> DataFrame:
     joined = sized_join(sized_join(links.select("src", "dst").distinct(), a, "src", "left"), b, "dst", "left")
     short = kept(joined.select(F.coalesce("src_part", "src").alias("src"), F.coalesce("dst_part", "dst").alias("dst")).filter("src != dst").distinct())
     own = kept(seeds.select("id").distinct().join(part.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("rep")).join(weight, "rep", "left").na.fill(1, ["weight"]))
-    levels = longest_depth(short, part.limit(0).select("node")).select(F.col("node").alias("rep"), "depth").join(weight, "rep", "left").na.fill(1, ["weight"])
-    nodes = kept(numbered(levels, [F.col("weight"), F.col("rep")], "number").withColumn("code", (F.col("number") - 1).cast("int")).drop("number"))
-    coded = sized_join(sized_join(short, nodes.select(F.col("rep").alias("src"), F.col("code").alias("from")), "src"), nodes.select(F.col("rep").alias("dst"), F.col("code").alias("to"), F.col("depth").alias("level")), "dst").select("from", "to", "level")
+    reps = short.select(F.col("src").alias("rep")).unionByName(short.select(F.col("dst").alias("rep"))).distinct().join(weight, "rep", "left").na.fill(1, ["weight"])
+    nodes = kept(numbered(reps, [F.col("weight"), F.col("rep")], "number").withColumn("code", (F.col("number") - 1).cast("int")).drop("number"))
+    coded = kept(sized_join(sized_join(short, nodes.select(F.col("rep").alias("src"), F.col("code").alias("from")), "src"), nodes.select(F.col("rep").alias("dst"), F.col("code").alias("to")), "dst").select("from", "to"))
+    coded = sized_join(coded, _levels(coded), "to").select("from", "to", "level")
     cores = links.sparkSession.sparkContext.defaultParallelism
     block = F.floor(F.col("code") / BLOCK_BITS)  # one weight a block and core: nodes are numbered by weight
     asked = nodes.select("code", "weight", block.alias("block"), F.pmod(block, F.lit(cores)).cast("int").alias("core"))
@@ -283,6 +284,36 @@ def blast_radius(links: DataFrame, seeds: DataFrame) -> DataFrame:
     return own.join(found, "rep", "left").select("id", (F.coalesce("reached", "weight") - 1).alias("blast"))
 
 
+NUMBERED_TASK_ROWS = 5_000_000
+
+
+def _levels(coded: DataFrame) -> DataFrame:
+    """(to, level): the longest way to each end of links(from, to) without cycles; in one task if they are few enough, at eight bytes a link."""
+    if coded.count() <= NUMBERED_TASK_ROWS:
+        return _in_one_task(coded, _level_table, "to int, level int")
+    named = coded.select(F.col("from").cast("string").alias("src"), F.col("to").cast("string").alias("dst"))
+    return longest_depth(named, named.select(F.col("src").alias("node")).limit(0)).select(F.col("node").cast("int").alias("to"), F.col("depth").alias("level"))
+
+
+def _level_table(links: pa.Table) -> pa.Table:
+    """Level by level, the nodes all of whose predecessors are done, with whole arrays."""
+    src, dst = links["from"].to_numpy(), links["to"].to_numpy()
+    size = int(max(src.max(), dst.max())) + 1
+    order = np.argsort(src, kind="stable")
+    to, start = dst[order], np.searchsorted(src[order], np.arange(size + 1))
+    waiting, level = np.bincount(dst, minlength=size), np.zeros(size, np.int32)
+    front, depth = np.flatnonzero(waiting == 0), 0
+    while len(front):
+        level[front] = depth
+        sizes = start[front + 1] - start[front]
+        places = np.repeat(start[front] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        met, times = np.unique(to[places], return_counts=True)
+        waiting[met] -= times
+        front, depth = met[waiting[met] == 0], depth + 1
+    ends = np.unique(dst)
+    return pa.table({"to": pa.array(ends, pa.int32()), "level": pa.array(level[ends], pa.int32())})
+
+
 def _reached(asked: pa.Table, links: pa.Table) -> pa.Table:
     """(code, reached): for each node the weights of the nodes of asked(code, weight, block) from which links(from, to, level) lead to it, itself included.
 

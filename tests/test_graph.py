@@ -80,6 +80,7 @@ def size(request, monkeypatch):
     if request.param == "large":
         monkeypatch.setattr(skew, "MAX_ROWS", 0)
         monkeypatch.setattr(skew, "TASK_ROWS", 0)
+        monkeypatch.setattr(C, "NUMBERED_TASK_ROWS", 0)
     return request.param
 
 
