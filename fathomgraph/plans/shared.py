@@ -23,7 +23,7 @@ def _remove(path: str) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """This run's own folder below spark.checkpoint.dir. Only a local session that names none (tests) gets a temporary one."""
     global _local
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
         if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir names no shared folder")
