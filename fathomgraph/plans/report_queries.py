@@ -68,17 +68,32 @@ class Report:
     def layers(self) -> DataFrame:
         return kept(R.layer_findings(self.violations))
 
-    @cached_property
-    def findings(self) -> DataFrame:
+    def _found(self, type_part: str = "") -> DataFrame:
+        """All findings of the types with type_part in their name, without letter case. What other types rest on is not computed."""
         g, own = self.g, self.g.production_functions
-        every = [
-            R.cycle_findings(self.cycles), R.coupling_findings(self.coupled), R.hotspot_findings(M.hotspots(g.fans, g.functions), own, self.blast), R.complexity_findings(own),
-            R.flow_findings(M.information_flow(g.fans, g.functions), own), R.hub_findings(R.bridges(g.between, g.functions), own), R.zone_findings(self.placed), self.layers.drop("callee"),
-        ]
-        out = every[0]
-        for some in every[1:]:
+        every = {
+            ("CircularDependency",): lambda: R.cycle_findings(self.cycles),
+            ("HighCoupling",): lambda: R.coupling_findings(self.coupled),
+            ("BlastRadiusHotspot",): lambda: R.hotspot_findings(M.hotspots(g.fans, g.functions), own, self.blast),
+            ("ExcessiveComplexity",): lambda: R.complexity_findings(own),
+            ("InformationFlowBottleneck",): lambda: R.flow_findings(M.information_flow(g.fans, g.functions), own),
+            ("HubNode",): lambda: R.hub_findings(R.bridges(g.between, g.functions), own),
+            ("ZoneOfPain", "ZoneOfUselessness"): lambda: R.zone_findings(self.placed),
+            ("LayerViolation",): lambda: self.layers.drop("callee"),
+        }
+        asked = [f() for types, f in every.items() if any(type_part.lower() in t.lower() for t in types)]
+        out = asked[0]
+        for some in asked[1:]:
             out = out.unionByName(some)
-        return kept(R.with_confidence(out, g.edges))
+        return N.filtered(R.with_confidence(out, g.edges), type_part=type_part)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return kept(self._found())
+
+    def findings_of(self, type_part: str) -> DataFrame:
+        """The rows of findings of the types with type_part in their name, which some type has; taken from findings if they are there."""
+        return N.filtered(self.findings, type_part=type_part) if "findings" in vars(self) else self._found(type_part)
 
     @cached_property
     def named(self) -> DataFrame:
@@ -141,7 +156,7 @@ def query(name: str, sql: str | None = None):
 query("cycles", graph("cyc", "SELECT * FROM cyc"))(lambda r: r.cycles)
 query("findings", graph("fnd", "SELECT type, id, severity, primary_node, value, confidence FROM fnd"))(lambda r: r.findings)
 query("findings_of_type", graph("fnd", "SELECT type, id, severity, primary_node FROM fnd WHERE contains(lower(type), 'hub') AND lower(severity) = 'high'"))(
-    lambda r: N.filtered(r.findings, severity="HIGH", type_part="Hub").select("type", "id", "severity", "primary_node")
+    lambda r: N.filtered(r.findings_of("Hub"), severity="HIGH").select("type", "id", "severity", "primary_node")
 )
 query("finding_nodes", graph("named", "SELECT * FROM named"))(lambda r: r.named)
 _CAPPED = "SELECT *, row_number() OVER (PARTITION BY type ORDER BY CASE severity WHEN 'Critical' THEN 4 WHEN 'High' THEN 3 WHEN 'Warning' THEN 2 ELSE 1 END DESC, id) AS k FROM fnd"
