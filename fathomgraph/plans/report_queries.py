@@ -74,7 +74,7 @@ class Report:
         every = {
             ("CircularDependency",): lambda: R.cycle_findings(self.cycles),
             ("HighCoupling",): lambda: R.coupling_findings(self.coupled),
-            ("BlastRadiusHotspot",): lambda: R.hotspot_findings(M.hotspots(g.fans, g.functions), own, self.blast),
+            ("BlastRadiusHotspot",): lambda: R.hotspot_findings(M.hotspots(g.fans, g.functions), own, g.links),
             ("ExcessiveComplexity",): lambda: R.complexity_findings(own),
             ("InformationFlowBottleneck",): lambda: R.flow_findings(M.information_flow(g.fans, g.functions), own),
             ("HubNode",): lambda: R.hub_findings(R.bridges(g.between, g.functions), own),
