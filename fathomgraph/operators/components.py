@@ -17,14 +17,20 @@ from fathomgraph.operators.skew import Spread, fits_a_task, numbered, sized_join
 from fathomgraph.plans.shared import Rounds, kept
 
 
-def _coded(*columns: pa.ChunkedArray) -> tuple[list[str], list[np.ndarray]]:
-    """The names in the columns, and each column as places in that list."""
-    both = pa.chunked_array([c for column in columns for c in column.chunks], pa.string()).combine_chunks().dictionary_encode()
+def _codes(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """The values in the columns, and each column as places among them."""
+    both = pa.chunked_array([c for column in columns for c in column.chunks], columns[0].type).combine_chunks().dictionary_encode()
     codes, out, at = both.indices.to_numpy(), [], 0
     for column in columns:
         out.append(codes[at : at + len(column)])
         at += len(column)
-    return both.dictionary.to_pylist(), out
+    return both.dictionary, out
+
+
+def _coded(*columns: pa.ChunkedArray) -> tuple[list[str], list[np.ndarray]]:
+    """The names in the columns, and each column as places in that list."""
+    names, out = _codes(*columns)
+    return names.to_pylist(), out
 
 
 def _ahead(src: np.ndarray, dst: np.ndarray, size: int) -> tuple[list[int], list[int]]:
@@ -44,14 +50,11 @@ def _in_one_task(df: DataFrame, solve, schema: str) -> DataFrame:
     return kept(df.coalesce(1).mapInArrow(run, schema))
 
 
-def _strong_table(links: pa.Table) -> pa.Table:
-    """Strongly connected parts by depth-first search with low links, without recursion."""
-    names, (src, dst) = _coded(links["src"], links["dst"])
-    size = len(names)
+def _strong_parts(src: np.ndarray, dst: np.ndarray, size: int) -> list[list[int]]:
+    """Strongly connected parts of more than one node by depth-first search with low links, without recursion."""
     to, start = _ahead(src, dst, size)
     index, low, on, stack, count = [0] * size, [0] * size, [False] * size, [], 0
-    place = start[:-1].copy()
-    node, component, sizes = [], [], []
+    place, parts = start[:-1].copy(), []
     for root in range(size):
         if index[root]:
             continue
@@ -79,13 +82,22 @@ def _strong_table(links: pa.Table) -> pa.Table:
                 while True:
                     w = stack.pop()
                     on[w] = False
-                    part.append(names[w])
+                    part.append(w)
                     if w == v:
                         break
                 if len(part) > 1:
-                    node += part
-                    component += [min(part)] * len(part)
-                    sizes += [len(part)] * len(part)
+                    parts.append(part)
+    return parts
+
+
+def _strong_table(links: pa.Table) -> pa.Table:
+    names, (src, dst) = _coded(links["src"], links["dst"])
+    node, component, sizes = [], [], []
+    for part in _strong_parts(src, dst, len(names)):
+        own = [names[v] for v in part]
+        node += own
+        component += [min(own)] * len(own)
+        sizes += [len(own)] * len(own)
     return pa.table({"node": pa.array(node, pa.string()), "component": pa.array(component, pa.string()), "size": pa.array(sizes, pa.int64())})
 
 
@@ -105,6 +117,29 @@ def _depth_table(links: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(names, pa.string()), "depth": pa.array(depth, pa.int32())})
 
 
+def _strong_hash_table(links: pa.Table) -> pa.Table:
+    """(hash, part) of links between hashes. Links that no cycle can use are shed, with whole arrays, as long as that is worth a pass."""
+    names, (src, dst) = _codes(links["src"], links["dst"])
+    size, shed = len(names), True
+    while shed and len(src):
+        ends, begins = np.zeros(size, bool), np.zeros(size, bool)
+        ends[dst], begins[src] = True, True
+        on = ends[src] & begins[dst]
+        shed = np.count_nonzero(~on) * 100 > len(on)
+        src, dst = src[on], dst[on]
+    used = np.unique(np.concatenate([src, dst]))
+    parts = _strong_parts(np.searchsorted(used, src), np.searchsorted(used, dst), len(used))
+    node = used[np.array([v for part in parts for v in part], np.int64)]
+    return pa.table({"hash": names.take(pa.array(node)), "part": pa.array(np.repeat(np.arange(len(parts)), np.array([len(part) for part in parts], np.int64)), pa.int64())})
+
+
+def _depth_hash_table(links: pa.Table) -> pa.Table:
+    """(hash, depth) of the ends of links between hashes, without cycles."""
+    names, (src, dst) = _codes(links["src"], links["dst"])
+    levels = _level_table(pa.table({"from": src, "to": dst}))
+    return pa.table({"hash": names.take(levels["to"].combine_chunks()), "depth": levels["level"]})
+
+
 def _label_table(links: pa.Table) -> pa.Table:
     """The least node of each node's group of links, whose direction does not matter."""
     names, (src, dst) = _coded(links["src"], links["dst"])
@@ -123,6 +158,28 @@ def _label_table(links: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(names, pa.string()), "label": pa.array([names[top(v)] for v in range(len(names))], pa.string())})
 
 
+NUMBERED_TASK_ROWS = 5_000_000
+
+
+def _hashed(links: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """links(src, dst) as 64-bit hashes of its ends, and (node, hash); None if they are too many for one task, or should two ends share a hash.
+
+    Each end is hashed where it stands, so links meet no table of numbers. links is read three times: pass it kept or stored.
+    """
+    if links.count() > NUMBERED_TASK_ROWS:
+        return None
+    ends = kept(links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct().withColumn("hash", F.xxhash64("node")))
+    if ends.count() != ends.select("hash").distinct().count():
+        return None
+    return kept(links.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))), ends
+
+
+def _strong_by_hash(numbers: DataFrame, ends: DataFrame) -> DataFrame:
+    found = kept(_in_one_task(numbers, _strong_hash_table, "hash bigint, part bigint").join(ends, "hash").select("node", "part"))
+    named = found.groupBy("part").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size"))
+    return kept(found.join(named, "part").select("node", "component", "size"))
+
+
 def trimmed(links: DataFrame, rounds: int = 4) -> DataFrame:
     """links(src, dst) without those that no cycle can use, as far as `rounds` of shedding ends without a way in or on gets."""
     for _ in range(rounds):
@@ -169,17 +226,21 @@ def _followed(steps: DataFrame) -> DataFrame:
 def strong_components(links: DataFrame) -> DataFrame:
     """(node, component, size) of the strongly connected parts of links(src, dst) with more than one node; component is the part's least node.
 
-    Links that no cycle can use are shed. Nodes with one way in and one way on are drawn into a link between the ends of their chain, which
+    Links that one task may hold, as they are or as hashes, are solved there. Of more, links that no cycle can use are shed. Nodes with one way in and one way on are drawn into a link between the ends of their chain, which
     leaves a small graph even where cycles are long. Its nodes are coloured with the least node that reaches them; a colour's
     root and the nodes that reach it backwards within the colour form a part. Parts found are taken out and the rest starts over.
     Self-links are ignored.
     """
-    links = kept(links.filter("src is not null and dst is not null and src != dst").select("src", "dst").distinct())
+    links = kept(links.filter("src is not null and dst is not null and src != dst").select("src", "dst"))
     if fits_a_task(links):
         return _in_one_task(links, _strong_table, "node string, component string, size bigint")
-    core = trimmed(links)
+    if numbers := _hashed(links):
+        return _strong_by_hash(*numbers)
+    core = trimmed(kept(links.distinct()))
     if fits_a_task(core):
         return _in_one_task(core, _strong_table, "node string, component string, size bigint")
+    if numbers := _hashed(core):
+        return _strong_by_hash(*numbers)
     ins = core.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("prev"))
     outs = core.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("next"))
     inner = kept(ins.join(outs, "node").filter("n_in = 1 and n_out = 1").select("node", "prev", "next"))
@@ -223,13 +284,17 @@ def _parts(links: DataFrame) -> DataFrame:
 def longest_depth(links: DataFrame, cyclic: DataFrame) -> DataFrame:
     """(node, depth): edges on the longest path from a node without predecessors, over links(src, dst) without those with both ends in cyclic(node).
 
-    The rest has no cycle. Each round relaxes the nodes that changed; rounds are as many as the longest path is long.
+    The rest has no cycle. It is solved in one task that holds it as it is, or as hashes; of more links, each round relaxes the nodes that
+    changed, and rounds are as many as the longest path is long.
     """
-    inside = cyclic.select("node").distinct()
-    both = links.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-    dag = kept(links.filter("src != dst").select("src", "dst").distinct().join(both.distinct(), ["src", "dst"], "left_anti"))
+    inside = kept(cyclic.select("node").distinct())
+    a, b = inside.select(F.col("node").alias("src"), F.lit(True).alias("a")), inside.select(F.col("node").alias("dst"), F.lit(True).alias("b"))
+    own = links.filter("src != dst").select("src", "dst")
+    dag = kept(sized_join(sized_join(own, a, "src", "left"), b, "dst", "left", own).filter("a is null or b is null").select("src", "dst"))
     if fits_a_task(dag):
         return _in_one_task(dag, _depth_table, "node string, depth int")
+    if numbers := _hashed(dag):
+        return kept(numbers[1].join(_in_one_task(numbers[0], _depth_hash_table, "hash bigint, depth int"), "hash", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth")))
     nodes = dag.select(F.col("src").alias("node")).unionByName(dag.select(F.col("dst").alias("node"))).distinct()
     depth, rounds, dag = kept(nodes.select("node", F.lit(0).alias("depth"))), Rounds(), Spread(dag, "src")
     moved = depth
@@ -246,11 +311,11 @@ def layer_violations(edges: DataFrame, depth: DataFrame, cyclic: DataFrame, fans
 
     edges are clean, call-like ones; threshold is one row, above whose fan-in a callee that is a function is left out.
     """
-    pairs = without(edges.select("from_id", "to_id").distinct(), cyclic.select(F.col("node").alias("id")), ["from_id", "to_id"])
+    pairs = kept(without(edges.select("from_id", "to_id").distinct(), cyclic.select(F.col("node").alias("id")), ["from_id", "to_id"]))
     many = fans.join(F.broadcast(threshold)).filter("fan_in > threshold").join(functions.select("id"), "id", "left_semi").select("id")  # one row
     a = depth.select(F.col("node").alias("from_id"), F.col("depth").alias("from_depth"))
     b = kept(depth.withColumnRenamed("node", "id").join(many, "id", "left_anti").select(F.col("id").alias("to_id"), F.col("depth").alias("to_depth")))
-    met = sized_join(sized_join(pairs, b, "to_id"), a, "from_id")
+    met = sized_join(sized_join(pairs, b, "to_id"), a, "from_id", keys=pairs)
     return met.withColumn("gap", F.col("to_depth") - F.col("from_depth")).filter(F.col("gap") >= min_gap).select("from_id", "to_id", "from_depth", "to_depth", "gap")
 
 
@@ -284,9 +349,6 @@ def blast_radius(links: DataFrame, seeds: DataFrame) -> DataFrame:
     return own.join(found, "rep", "left").select("id", (F.coalesce("reached", "weight") - 1).alias("blast"))
 
 
-NUMBERED_TASK_ROWS = 5_000_000
-
-
 def _levels(coded: DataFrame) -> DataFrame:
     """(to, level): the longest way to each end of links(from, to) without cycles; in one task if they are few enough, at eight bytes a link."""
     if coded.count() <= NUMBERED_TASK_ROWS:

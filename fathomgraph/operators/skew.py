@@ -42,12 +42,15 @@ def hot_slots(keys: DataFrame, parts: int) -> DataFrame:
 
 
 class Spread:
-    """df with the rows of its hot keys dealt to slots, for joins on key with tables of few rows a key, which are copied to the slots."""
+    """df with the rows of its hot keys dealt to slots, for joins on key with tables of few rows a key, which are copied to the slots.
 
-    def __init__(self, df: DataFrame, key: str):
+    keys: rows that cost less than df and hold its keys about as often, where they are to be counted instead. Results do not depend on it.
+    """
+
+    def __init__(self, df: DataFrame, key: str, keys: DataFrame | None = None):
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.key = key
-        self.hot = kept(hot_slots(df.select(F.col(key).alias("id")), parts).select(F.col("id").alias(key), F.col("slots").alias("__slots")))
+        self.hot = kept(hot_slots((df if keys is None else keys).select(F.col(key).alias("id")), parts).select(F.col("id").alias(key), F.col("slots").alias("__slots")))
         slot = F.when(F.col("__slots").isNull(), 0).otherwise(F.pmod(F.xxhash64(*df.columns), F.col("__slots")).cast("int"))
         self.df = df.join(F.broadcast(self.hot), key, "left").withColumn("__slot", slot).drop("__slots")  # at most 4 * parts rows
 
@@ -56,12 +59,12 @@ class Spread:
         return self.df.join(copies, [self.key, "__slot"], how).drop("__slot")
 
 
-def sized_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def sized_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None) -> DataFrame:
     """df.join(other, key, how) for inner, left, left_semi and left_anti: other is broadcast if it is small, else df's hot keys are spread.
 
-    other is read twice: pass it kept or stored. df is read twice where other is not small.
+    other is read twice: pass it kept or stored. df is read twice where other is not small, unless its hot keys are found in keys (see Spread).
     """
-    return df.join(F.broadcast(other), key, how) if is_small(other) else Spread(df, key).join(other, how)
+    return df.join(F.broadcast(other), key, how) if is_small(other) else Spread(df, key, keys).join(other, how)
 
 
 def without(df: DataFrame, ids: DataFrame, columns: Sequence[str]) -> DataFrame:
