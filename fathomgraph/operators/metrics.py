@@ -96,8 +96,9 @@ def module_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """(from_id, to_id, kind, confidence, from_module, to_module) of structural edges; modules are null where unknown. Much-used ends are spread."""
     modules = kept(modules)
     a, b = modules.select(F.col("id").alias("from_id"), F.col("module").alias("from_module")), modules.select(F.col("id").alias("to_id"), F.col("module").alias("to_module"))
-    met = sized_join(edges.filter(is_structural()), a, "from_id", "left")
-    return sized_join(met, b, "to_id", "left").select("from_id", "to_id", "kind", "confidence", "from_module", "to_module")
+    own = edges.filter(is_structural())
+    met = sized_join(own, a, "from_id", "left")
+    return sized_join(met, b, "to_id", "left", own).select("from_id", "to_id", "kind", "confidence", "from_module", "to_module")
 
 
 def coupling(between: DataFrame, modules: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:

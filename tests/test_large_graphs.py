@@ -6,6 +6,7 @@ import pytest
 from test_graph import brute_components
 
 from fathomgraph.operators import components as C
+from fathomgraph.operators import metrics as M
 from fathomgraph.operators import skew
 
 
@@ -50,3 +51,17 @@ def test_ends_that_share_a_hash_are_told_apart(spark, monkeypatch):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     assert rows(C.strong_components(links)) == [(x, "a", 3) for x in "abc"]
     assert rows(C.longest_depth(links, C.strong_components(links))) == [("c", 0), ("d", 1)]
+
+
+def test_hot_keys_are_found_ahead_of_joins(spark, monkeypatch):
+    """Counting the keys of a second join must not compute the first."""
+    monkeypatch.setattr(skew, "MAX_ROWS", 0)
+    plans, found = [], skew.hot_slots
+    monkeypatch.setattr(skew, "hot_slots", lambda keys, parts: plans.append(keys._jdf.queryExecution().optimizedPlan().toString()) or found(keys, parts))
+    edges = spark.createDataFrame([("a", "b", "Call", "High"), ("b", "c", "Call", "Low"), ("c", "a", "Import", "High")], "from_id string, to_id string, kind string, confidence string")
+    modules = spark.createDataFrame([("a", "m"), ("b", "n")], "id string, module string")
+    assert [tuple(r) for r in M.module_edges(edges, modules).orderBy("from_id").collect()] == [("a", "b", "Call", "High", "m", "n"), ("b", "c", "Call", "Low", "n", None), ("c", "a", "Import", "High", None, "m")]
+    depth = spark.createDataFrame([("a", 0), ("b", 1), ("c", 3)], "node string, depth int")
+    none, fans, ids = spark.createDataFrame([], "node string"), spark.createDataFrame([("a", 0)], "id string, fan_in bigint"), spark.createDataFrame([("a",)], "id string")
+    assert rows(C.layer_violations(edges, depth, none, fans, ids, spark.createDataFrame([(5,)], "threshold bigint"))) == [("b", "c", 1, 3, 2)]
+    assert len(plans) >= 4 and not [p for p in plans if "Join" in p]
