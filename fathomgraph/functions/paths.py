@@ -60,7 +60,8 @@ def is_config_path(path: Column | str) -> Column:
 
 
 def is_non_production_path(path: Column | str) -> Column:
-    return lowered(path).rlike(NON_PRODUCTION_PATH)
+    """Every way to match begins at the path's start or at one of `-_./`, so no other place is tried."""
+    return lowered(path).rlike(rf"(?:^|(?=[-_./]))(?:{NON_PRODUCTION_PATH})")
 
 
 def path_role(path: Column | str) -> Column:

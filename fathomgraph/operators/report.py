@@ -51,9 +51,9 @@ def coupling_findings(coupled: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame
 
 def hotspot_findings(hot: DataFrame, production_functions: DataFrame, links: DataFrame) -> DataFrame:
     """High where other nodes reach the hotspot along links(src, dst). How many is not asked, and any that does comes in by a last link, so the ends of links tell."""
-    reached = links.filter("src != dst").select(F.col("dst").alias("id")).distinct().withColumn("reached", F.lit(True))
-    own = hot.join(production_functions.select("id"), "id", "left_semi").join(reached, "id", "left")
-    placed = numbered(own, [-F.col("fan_in"), F.col("id")], "k")
+    own = kept(hot.join(production_functions.select("id"), "id", "left_semi"))
+    reached = sized_join(links.filter("src != dst").select(F.col("dst").alias("id")), own.select("id"), "id", "left_semi").distinct().withColumn("reached", F.lit(True))
+    placed = numbered(own.join(reached, "id", "left"), [-F.col("fan_in"), F.col("id")], "k")
     return placed.select(*_finding("BlastRadiusHotspot", _called("hotspot", "k"), F.when(F.col("reached") & (F.col("fan_in") > 0), "High").otherwise("Warning"), "id", "fan_in"))
 
 

@@ -1,12 +1,15 @@
 """Graphs beyond one task of names: solved as hashes, and joined without computing a side twice."""
 
 import random
+import re
 
 import pytest
 from test_graph import brute_components
 
+from fathomgraph.functions import paths as P
 from fathomgraph.operators import components as C
 from fathomgraph.operators import metrics as M
+from fathomgraph.operators import report as R
 from fathomgraph.operators import skew
 
 
@@ -65,3 +68,22 @@ def test_hot_keys_are_found_ahead_of_joins(spark, monkeypatch):
     none, fans, ids = spark.createDataFrame([], "node string"), spark.createDataFrame([("a", 0)], "id string, fan_in bigint"), spark.createDataFrame([("a",)], "id string")
     assert rows(C.layer_violations(edges, depth, none, fans, ids, spark.createDataFrame([(5,)], "threshold bigint"))) == [("b", "c", 1, 3, 2)]
     assert len(plans) >= 4 and not [p for p in plans if "Join" in p]
+
+
+def test_hotspots_look_at_links_to_hot_functions_alone(spark, monkeypatch):
+    met, join = [], skew.sized_join
+    monkeypatch.setattr(R, "sized_join", lambda df, other, *rest: met.append(rows(other)) or join(df, other, *rest))
+    hot = spark.createDataFrame([("a", 9, 3), ("b", 8, 3), ("t", 9, 3)], "id string, fan_in bigint, threshold bigint")
+    links = spark.createDataFrame([("x", "a"), ("y", "a"), ("x", "t"), ("x", "z"), ("b", "b")], "src string, dst string")
+    own = spark.createDataFrame([("a",), ("b",), ("z",)], "id string")
+    assert rows(R.hotspot_findings(hot, own, links).select("primary_node", "severity")) == [("a", "High"), ("b", "Warning")]
+    assert met == [[("a",), ("b",)]]
+
+
+def test_non_production_paths_as_the_whole_pattern_says(spark):
+    rng = random.Random(5)
+    parts = ["test", "tests", "spec", "src", "__tests__", "a_test.py", "test_a.py", "x.config.js", ".eslintrc.js", "tsconfig.json", "docs", "latest", "contest.x", ".jest", ".jest.a", "e2e", "my-mock", "a.spec.ts", "perfume", ".yml", "B__mocks__", "", "a.TESTS.b"]
+    paths = ["/".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(600)] + [a + s + b for a in parts for s in "-_.\\" for b in parts]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", P.is_non_production_path("p").alias("x"))
+    want = {p: bool(re.search(P.NON_PRODUCTION_PATH, p.replace("\\", "/").lower())) for p in paths}
+    assert {r.p: r.x for r in got.collect()} == want and len(set(want.values())) == 2
