@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
 _numbers = itertools.count()
+_writes = itertools.count(1)
+#: Results after which the driver collects its garbage: shuffle files and broadcasts of finished plans go only when it does.
+WRITES_A_SWEEP = 12
 _local: str | None = None
 
 
@@ -48,6 +51,8 @@ def kept(df: DataFrame, place: str | None = None) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{place or next(_numbers)}"
     df.write.mode("overwrite").parquet(path)
+    if next(_writes) % WRITES_A_SWEEP == 0:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
