@@ -229,9 +229,9 @@ def strong_components(links: DataFrame) -> DataFrame:
     Links that one task may hold, as they are or as hashes, are solved there. Of more, links that no cycle can use are shed. Nodes with one way in and one way on are drawn into a link between the ends of their chain, which
     leaves a small graph even where cycles are long. Its nodes are coloured with the least node that reaches them; a colour's
     root and the nodes that reach it backwards within the colour form a part. Parts found are taken out and the rest starts over.
-    Self-links are ignored.
+    Self-links are ignored. links is read several times: pass it kept or stored.
     """
-    links = kept(links.filter("src is not null and dst is not null and src != dst").select("src", "dst"))
+    links = links.filter("src is not null and dst is not null and src != dst").select("src", "dst")
     if fits_a_task(links):
         return _in_one_task(links, _strong_table, "node string, component string, size bigint")
     if numbers := _hashed(links):

@@ -56,7 +56,7 @@ class Spread:
 
     def join(self, other: DataFrame, how: str = "inner") -> DataFrame:
         copies = other.join(F.broadcast(self.hot), self.key, "left").withColumn("__slot", F.explode(F.sequence(F.lit(0), F.coalesce("__slots", F.lit(1)) - 1))).drop("__slots")
-        return self.df.join(copies, [self.key, "__slot"], how).drop("__slot")
+        return self.df.join(copies.hint("shuffle_hash"), [self.key, "__slot"], how).drop("__slot")  # few rows a key: nothing is sorted
 
 
 def sized_join(df: DataFrame, other: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None) -> DataFrame:

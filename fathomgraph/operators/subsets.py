@@ -47,7 +47,7 @@ def nearest_ancestor(values: DataFrame, parents: DataFrame) -> DataFrame:
 def file_index(nodes: DataFrame) -> DataFrame:
     """(key, file_id): File nodes by file path, repository path and qualified name; the least id where several share a key."""
     files = nodes.filter("kind = 'File'")
-    keys = files.select("id", F.explode(F.array("file", "path_repo_rel", "fqn")).alias("key")).filter("key is not null and key != ''")
+    keys = files.select("id", F.explode(F.array_distinct(F.array("file", "path_repo_rel", "fqn"))).alias("key")).filter("key is not null and key != ''")
     return keys.groupBy("key").agg(F.min("id").alias("file_id"))
 
 
@@ -80,7 +80,7 @@ def classifying_files(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     by_file = nodes.select("id", F.col("file").alias("key")).join(file_index(nodes), "key").join(told, "file_id", "left_semi").select("id", "file_id")
     own = F.when(F.col("kind").isin("File", "Folder") & tells, F.col("id"))
     above = nearest_ancestor(nodes.select(F.col("id").alias("node"), own.alias("value")), parents)
-    return nodes.select("id").join(by_file, "id", "left").join(above.withColumnRenamed("node", "id"), "id").select("id", F.coalesce("file_id", "value").alias("class_id"))
+    return nodes.select("id").join(by_file.hint("shuffle_hash"), "id", "left").join(above.withColumnRenamed("node", "id").hint("shuffle_hash"), "id").select("id", F.coalesce("file_id", "value").alias("class_id"))
 
 
 def non_production(nodes: DataFrame, parents: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def non_production(nodes: DataFrame, parents: DataFrame, classes: DataFrame | No
     )
     own = F.col("is_test") | F.coalesce(is_non_production_path("path_repo_rel"), F.lit(False)) | is_non_production_path("id")
     classes = classifying_files(nodes, parents) if classes is None else classes
-    marked = nodes.select("id", own.alias("own_not")).join(classes, "id").join(files, "class_id", "left")
+    marked = nodes.select("id", own.alias("own_not")).join(classes.hint("shuffle_hash"), "id").join(files.hint("shuffle_hash"), "class_id", "left")
     no = F.lit(False)
     return marked.select("id", (F.col("own_not") | F.coalesce("class_not", no)).alias("is_non_production"), F.coalesce("class_test", no).alias("in_test_file"), "class_path")
 

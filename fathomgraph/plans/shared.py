@@ -14,7 +14,7 @@ _RUN = uuid.uuid4().hex[:12]
 _numbers = itertools.count()
 _writes = itertools.count(1)
 #: Results after which the driver collects its garbage: shuffle files and broadcasts of finished plans go only when it does.
-WRITES_A_SWEEP = 12
+WRITES_A_SWEEP = 4
 _local: str | None = None
 
 
